@@ -1 +1,183 @@
-"""Queries."""
+"""Tokens, windows and embedded sequences."""
+
+from pyspark.sql import functions as F
+
+from vetloom.functions.vectors import array_sum
+from vetloom.operators import tokens as op
+from vetloom.operators.windows import char_windows, token_windows
+from vetloom.session import spread
+
+from .registry import FILES, WINDOWS, query
+
+TOKENS = FILES + """,
+tokens AS (SELECT file_id, regexp_extract_all(content, '[\\p{L}\\p{N}_]+') AS tokens FROM files),
+exploded AS (SELECT file_id, unnest(tokens) AS token,
+  CAST(generate_subscripts(tokens, 1) - 1 AS INTEGER) AS pos FROM tokens)"""
+
+# A vector id as a short word; the words of the first vectors occur in the texts.
+TOKEN_SQL = """concat(chr(CAST(97 + vec_id % 26 AS INTEGER)), chr(CAST(97 + vec_id // 26 % 26 AS INTEGER)),
+  CASE WHEN vec_id >= 676 THEN CAST(vec_id // 676 AS VARCHAR) ELSE '' END)"""
+VECTORS = f"vectors AS (SELECT vec_id, {TOKEN_SQL} AS token, embedding AS vector FROM embeddings)"
+DIM = 64
+
+
+def vectors(t):
+    v = F.col("vec_id")
+    letter = lambda n: F.char(F.lit(97) + n)
+    tail = F.when(v >= 676, F.floor(v / F.lit(676)).cast("string")).otherwise("")
+    token = F.concat(letter(v % 26), letter(F.floor(v / F.lit(26)) % 26), tail)
+    return t.embeddings.select("vec_id", token.alias("token"), F.col("embedding").alias("vector"))
+
+
+def tokens(t):
+    files = spread(t.files.select("file_id", "content"))
+    return files.select("file_id", op.word_tokens(F.col("content")).alias("tokens"))
+
+
+@query("word_tokens", f"""
+WITH {TOKENS} SELECT file_id, CAST(len(tokens) AS INTEGER) AS n,
+  md5(array_to_string(tokens, ' ')) AS tokens FROM tokens""")
+def word_tokens(t):
+    joined = F.md5(F.array_join("tokens", " ")).alias("tokens")
+    return tokens(t).select("file_id", F.size("tokens").alias("n"), joined)
+
+
+@query("lexical_tokens")
+def lexical_tokens(t):
+    df = op.lexical_tokens(spread(t.files.select("file_id", "content")))
+    return df.select("file_id", F.size("tokens").alias("n_tokens"))
+
+
+@query("char_windows", f"""
+WITH {WINDOWS} SELECT file_id, chunk_idx, n_chunks, md5(text) AS text FROM windows""")
+def char_windows_query(t):
+    df = char_windows(spread(t.files.select("file_id", "content")))
+    return df.withColumn("text", F.md5("text"))
+
+
+def token_window_sql(size: int, overlap: int) -> str:
+    step = size - overlap
+    return f"""
+WITH {TOKENS}, counted AS (
+  SELECT *, CAST(CASE WHEN len(tokens) = 0 THEN 0 WHEN len(tokens) <= {size} THEN 1
+    ELSE 1 + ceil((len(tokens) - {size}) / {step}e0) END AS INTEGER) AS n_chunks FROM tokens)
+SELECT file_id, CAST(i AS INTEGER) AS chunk_idx, n_chunks,
+  md5(array_to_string(tokens[CAST(i * {step} + 1 AS INTEGER) : CAST(i * {step} + {size} AS INTEGER)], ' ')) AS tokens
+FROM (SELECT *, unnest(range(n_chunks)) AS i FROM counted)"""
+
+
+def token_window_query(size: int, overlap: int):
+    @query(f"token_windows_{size}_{overlap}", token_window_sql(size, overlap))
+    def run(t):
+        df = token_windows(tokens(t), size, overlap)
+        return df.withColumn("tokens", F.md5(F.array_join("tokens", " ")))
+
+
+for _size, _overlap in ((512, 64), (512, 128), (512, 102), (512, 256)):
+    token_window_query(_size, _overlap)
+
+
+@query("vocabulary", f"""
+WITH {TOKENS} SELECT token, count(*) AS n FROM exploded GROUP BY 1 HAVING count(*) >= 10""")
+def vocabulary(t):
+    return op.vocabulary(tokens(t))
+
+
+@query("train_word2vec")
+def train_word2vec(t):
+    model = op.train_word2vec(tokens(t), size=16, epochs=1)
+    return op.model_vectors(model).select("token", F.size("vector").alias("dim"))
+
+
+@query("similar_tokens", f"""
+WITH {VECTORS}, q AS (SELECT vector AS v FROM vectors WHERE token = 'on')
+SELECT token, round(list_cosine_similarity(CAST(vector AS DOUBLE[]), CAST(v AS DOUBLE[])), 6)
+  AS similarity FROM vectors, q WHERE token <> 'on'
+ORDER BY list_cosine_similarity(CAST(vector AS DOUBLE[]), CAST(v AS DOUBLE[])) DESC, token LIMIT 5""")
+def similar_tokens(t):
+    return op.similar_tokens(vectors(t).select("token", "vector"), "on", 5)
+
+
+def _digest(df):
+    """Vectors as their sum, so that rows can be compared."""
+    total = array_sum(F.transform("vector", lambda x: x.cast("double")))
+    return df.select("file_id", "pos", "token", total.alias("total"))
+
+
+@query("embed_tokens_drop", f"""
+WITH {TOKENS}, {VECTORS}
+SELECT file_id, pos, e.token, round(list_sum(CAST(vector AS DOUBLE[])), 6) AS total
+FROM exploded e JOIN vectors v ON e.token = v.token""")
+def embed_tokens_drop(t):
+    rows = op.explode_tokens(tokens(t))
+    return _digest(op.embed_tokens(rows, vectors(t).drop("vec_id"), "drop", DIM))
+
+
+@query("embed_tokens_zero", f"""
+WITH {TOKENS}, {VECTORS}
+SELECT file_id, pos, e.token, round(coalesce(list_sum(CAST(vector AS DOUBLE[])), 0e0), 6) AS total
+FROM exploded e LEFT JOIN vectors v ON e.token = v.token""")
+def embed_tokens_zero(t):
+    rows = op.explode_tokens(tokens(t))
+    return _digest(op.embed_tokens(rows, vectors(t).drop("vec_id"), "zero", DIM))
+
+
+def _sequence_digest(df):
+    weighted = F.transform(
+        "sequence", lambda v, i: (i + 1) * array_sum(F.transform(v, lambda x: x.cast("double")))
+    )
+    return df.select(
+        "file_id", "n_known", F.size("sequence").alias("length"), array_sum(weighted).alias("total")
+    )
+
+
+@query("fix_length_drop", f"""
+WITH {TOKENS}, {VECTORS}, known AS (
+  SELECT file_id, list_sum(CAST(vector AS DOUBLE[])) AS s,
+    row_number() OVER (PARTITION BY file_id ORDER BY pos) AS r
+  FROM exploded e JOIN vectors v ON e.token = v.token)
+SELECT file_id, CAST(count(*) AS INTEGER) AS n_known, 100 AS length, round(sum(r * s), 6) AS total
+FROM known WHERE r <= 100 GROUP BY 1""")
+def fix_length_drop(t):
+    rows = op.explode_tokens(tokens(t))
+    return _sequence_digest(op.fix_length(rows, vectors(t).drop("vec_id"), 100, "drop", DIM))
+
+
+@query("fix_length_zero", f"""
+WITH {TOKENS}, {VECTORS}
+SELECT file_id, CAST(count(*) AS INTEGER) AS n_known, 100 AS length,
+  round(sum((pos + 1) * coalesce(list_sum(CAST(vector AS DOUBLE[])), 0e0)), 6) AS total
+FROM exploded e LEFT JOIN vectors v ON e.token = v.token WHERE pos < 100 GROUP BY 1""")
+def fix_length_zero(t):
+    rows = op.explode_tokens(tokens(t))
+    return _sequence_digest(op.fix_length(rows, vectors(t).drop("vec_id"), 100, "zero", DIM))
+
+
+@query("first_appearance_rank", f"""
+WITH {TOKENS}, firsts AS (SELECT file_id, token, min(pos) AS p FROM exploded GROUP BY 1, 2)
+SELECT file_id, token, CAST(dense_rank() OVER (PARTITION BY file_id ORDER BY p) AS INTEGER)
+  AS appearance FROM firsts""")
+def first_appearance_rank(t):
+    return op.first_appearance_rank(tokens(t))
+
+
+@query("canonicalize_identifiers")
+def canonicalize_identifiers(t):
+    files = spread(t.files.select("file_id", "content"))
+    return files.select(
+        "file_id", op.canonicalize_identifiers(F.col("content")).alias("code")
+    )
+
+
+@query("corpus_stats", """
+SELECT CAST(sum(length(t)) AS BIGINT) AS n_chars,
+  CAST(sum(length(t) - length(replace(t, ' ', ''))) AS BIGINT) AS n_spaces
+FROM (SELECT replace(lower(text), chr(10), ' ') AS t FROM documents)""")
+def corpus_stats(t):
+    return op.corpus_stats(t.files)
+
+
+@query("sentences")
+def sentences(t):
+    df = op.sentences(t.files)
+    return df.select("file_id", "sentence_idx", F.size("words").alias("n_words"))

@@ -71,7 +71,7 @@ def main() -> None:
     sf_dir = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
     wanted = sys.argv[1:]
     spark = get_spark("compare", "local[8]", **{"spark.sql.shuffle.partitions": "8",
-        "spark.ui.enabled": "false", "spark.driver.memory": "8g"})
+        "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g"})
     spark.sparkContext.setLogLevel("ERROR")
     con, bad = duck(sf_dir), 0
     for name, run in QUERIES.items():

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.ml.feature import Word2Vec, Word2VecModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..constants import PYTHON_KEYWORDS
 from ..functions.lexer import lexical_tokens as lex
@@ -23,7 +24,7 @@ def word_tokens(col: Column) -> Column:
     return F.regexp_extract_all(col, F.lit(WORD), F.lit(0))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _lexical(codes: pd.Series) -> pd.Series:
     return codes.map(lex)
 
@@ -84,11 +85,12 @@ def similar_tokens(vectors: DataFrame, word: str, n: int = 5) -> DataFrame:
     The query vector is a scalar subquery, and only the ``n`` best rows of each task are kept.
     """
     query = vectors.filter(F.col("token") == word).select("vector").scalar()
-    similarity = let(query, lambda q: F.try_divide(
-        dot(F.col("vector"), q), norm(F.col("vector")) * norm(q)
-    ))
+    similarity = F.try_divide(
+        dot(F.col("vector"), F.col("_query")), norm(F.col("vector")) * norm(F.col("_query"))
+    )
     return (
         vectors.filter(F.col("token") != word)
+        .withColumn("_query", query)
         .select("token", similarity.alias("similarity"))
         .filter("similarity IS NOT NULL")
         .orderBy(F.desc("similarity"), "token")
