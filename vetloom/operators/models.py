@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -11,10 +12,11 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.feature import HashingTF
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import CWE_CLASSES, PACKAGE_FEATURES
+from ..constants import PACKAGE_FEATURES
 from .aggregates import class_weights
 from .features import assemble_features
 
@@ -43,7 +45,12 @@ def train_package_models(
         ),
         "logistic_regression": LogisticRegression(maxIter=iterations),
     }
-    return {name: estimator.fit(train) for name, estimator in models.items()}
+    # Every estimator passes over the rows several times; the features are computed once.
+    train.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return {name: estimator.fit(train) for name, estimator in models.items()}
+    finally:
+        train.unpersist()
 
 
 def train_code_classifier(
@@ -65,34 +72,33 @@ def train_code_classifier(
     model = Pipeline(
         stages=[
             HashingTF(inputCol=tokens, outputCol="features", numFeatures=buckets),
-            LogisticRegression(maxIter=iterations, weightCol="weight" if weighted else None)
-            if weighted
-            else LogisticRegression(maxIter=iterations),
+            LogisticRegression(maxIter=iterations, **({"weightCol": "weight"} if weighted else {})),
         ]
     )
     return model.fit(train)
 
 
-def predict(df: DataFrame, model: object, out: str = "is_malicious") -> DataFrame:
+def predict(
+    df: DataFrame, model: object, out: str = "is_malicious", confidence: str = "confidence"
+) -> DataFrame:
     """0/1 (or class index) prediction with the probability of the predicted class."""
-    from pyspark.ml.functions import vector_to_array
-
     scored = model.transform(df)
-    confidence = F.array_max(vector_to_array("probability"))
+    best = F.array_max(vector_to_array("probability"))
     return scored.select(
-        *df.columns, F.col("prediction").cast("int").alias(out), confidence.alias("confidence")
+        *[F.col(f"`{c}`") for c in df.columns],
+        F.col("prediction").cast("int").alias(out),
+        best.alias(confidence),
     )
 
 
 def predict_packages(
-    df: DataFrame, model: object, features: Sequence[str] = tuple(PACKAGE_FEATURES)
+    df: DataFrame,
+    model: object,
+    features: Sequence[str] = tuple(PACKAGE_FEATURES),
+    out: str = "is_malicious",
+    confidence: str = "xgboost_confidence",
 ) -> DataFrame:
-    ready = assemble_features(df, features)
-    return (
-        predict(ready, model)
-        .withColumnRenamed("confidence", "xgboost_confidence")
-        .drop("features")
-    )
+    return predict(assemble_features(df, features), model, out, confidence).drop("features")
 
 
 def feature_importance(
@@ -112,7 +118,3 @@ def load_model(kind: type, path: str) -> object:
     """Load a fitted model of class ``kind``, e.g. ``PipelineModel``."""
     return kind.load(path)
 
-
-def class_names(df: DataFrame, index: str = "prediction", out: str = "class_name") -> DataFrame:
-    literal = F.array(*map(F.lit, CWE_CLASSES))
-    return df.withColumn(out, F.get(literal, F.col(index).cast("int")))

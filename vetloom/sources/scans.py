@@ -213,10 +213,10 @@ def scan_labels(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], "class_idx int, name string")
 
 
-def scan_top_packages(spark: SparkSession, path: str) -> DataFrame:
-    """``{"rows": [{"project": ...}]}`` to one row per project, in list order."""
+def scan_top_packages(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """``{"rows": [{"project": ...}]}`` to one row per project; one document per file or line."""
     schema = "rows array<struct<project:string,download_count:bigint>>"
-    rows = spark.read.schema(schema).option("multiLine", "true").json(path)
+    rows = spark.read.schema(schema).option("multiLine", multi_line).json(path)
     return rows.select(F.explode("rows").alias("r")).select("r.project")
 
 

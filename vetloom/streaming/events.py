@@ -68,7 +68,7 @@ def session_timeouts(events: DataFrame, limit_seconds: int = 600) -> DataFrame:
     ended = F.max(F.when(F.col("event").isin(*TERMINAL), F.col("ts")))
     last = events.groupBy("session_id").agg(started.alias("started"), ended.alias("ended"))
     end = F.when(F.col("ended") >= F.col("started"), F.col("ended"))
-    waited = F.unix_micros(F.coalesce(end, now)) - F.unix_micros("started")
+    waited = F.timestamp_diff("MICROSECOND", F.col("started"), F.coalesce(end, now))
     return (
         last.filter("started IS NOT NULL")
         .withColumn("waited_seconds", F.floor(waited / F.lit(1_000_000)).cast("bigint"))
