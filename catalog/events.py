@@ -76,8 +76,7 @@ FROM judged GROUP BY 1"""
 def file_analysis(t):
     """Files to session log with scorers that are column expressions: one shuffle, of the log."""
     files = spread(t.files.select("session_id", "file_id", "content", "size"))
-    scored = plan.score_files_in_place(files, vul_score).withColumnRenamed("prob", "vul_prob")
-    scored = plan.score_files_in_place(scored, mal_score).withColumnRenamed("prob", "mal_prob")
+    scored = plan.score_files_in_place(files, {"vul_prob": vul_score, "mal_prob": mal_score})
     judged = scored.select(
         "session_id",
         (F.col("vul_prob") > 0.5).alias("is_vulnerable"),
@@ -90,13 +89,12 @@ def file_analysis(t):
 @query("file_analysis_store", PIPELINE_SQL)
 def file_analysis_store(t):
     """The same through window tables, routed store rows and the log made from them."""
-    vul = plan.score_files(
-        t.files, lambda w: w.withColumn("prob", vul_score(F.col("text")))
+    text = F.col("text")
+    scores = plan.score_files(
+        spread(t.files),
+        lambda w: w.withColumns({"vul_prob": vul_score(text), "mal_prob": mal_score(text)}),
     )
-    mal = plan.score_files(
-        t.files, lambda w: w.withColumn("prob", mal_score(F.col("text")))
-    )
-    verdicts = plan.file_verdicts(t.files, vul, mal).withColumn(
+    verdicts = plan.file_verdicts(t.files, scores).withColumn(
         "analysis_time", F.col("size") / F.lit(1e3)
     )
     return plan.session_log(plan.store_rows(verdicts, "bert"), is_bert=True)

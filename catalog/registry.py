@@ -7,7 +7,7 @@ the same derivation, so a query and its oracle start from the same rows.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,7 +58,7 @@ def share_sql(text: str, letters: str, factor: str) -> str:
 
 VUL = ("aeiou", 1.25)
 MAL = ("nrt", 2.0)
-CLASS_LETTERS = ["ab", "cd", "ef", "gh", "ij", "kl", "mn", "op"]
+CLASS_LETTERS = ["a", "c", "e", "g", "i", "l", "n", "o"]
 
 
 def vul_score(text: Column) -> Column:
@@ -92,7 +92,7 @@ chunk_probs AS (SELECT file_id, chunk_idx, n_chunks, {VUL_SQL} AS prob FROM wind
 mal_probs AS (SELECT file_id, chunk_idx, n_chunks, {MAL_SQL} AS prob FROM windows)"""
 
 _COUNTS = ", ".join(
-    f"length(text) - length(translate(text, '{g}', '')) + 1e0" for g in CLASS_LETTERS
+    f"length(text) - length(replace(text, '{g}', '')) + 1e0" for g in CLASS_LETTERS
 )
 CLASS_CHUNKS = WINDOWS + f""",
 class_counts AS (SELECT file_id, chunk_idx, n_chunks, [{_COUNTS}] AS c FROM windows),
@@ -219,7 +219,9 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        self.__dict__[name] = df
+        return df
 
     @cached_property
     def files(self) -> DataFrame:
@@ -244,25 +246,21 @@ class Tables:
             "file_id", "chunk_idx", "n_chunks", vul_score(F.col("text")).alias("prob")
         )
 
-    @cached_property
-    def mal_probs(self) -> DataFrame:
-        return self.windows.select(
-            "file_id", "chunk_idx", "n_chunks", mal_score(F.col("text")).alias("prob")
-        )
-
     @cached_property
     def class_probs(self) -> DataFrame:
         text = F.col("text")
-        counts = [
-            (F.length(text) - F.length(F.translate(text, g, "")) + 1).cast("double")
-            for g in CLASS_LETTERS
-        ]
-        total = sum(counts[1:], counts[0])
-        probs = F.array(*[c / F.col("total") for c in map(F.col, map("c{}".format, range(8)))])
+        counts = {
+            f"c{i}": F.length(text) - F.length(F.replace(text, F.lit(g), F.lit(""))) + F.lit(1.0)
+            for i, g in enumerate(CLASS_LETTERS)
+        }
+        total = reduce(lambda a, b: a + b, map(F.col, counts))
+        probs = F.array(*[F.col(c) / F.col("total") for c in counts])
         return (
-            self.windows.withColumns({f"c{i}": c for i, c in enumerate(counts)})
-            .withColumn("total", sum((F.col(f"c{i}") for i in range(1, 8)), F.col("c0")))
-            .select("file_id", "chunk_idx", "n_chunks", F.posexplode(probs).alias("class_idx", "prob"))
+            self.windows.withColumns(counts)
+            .withColumn("total", total)
+            .select(
+                "file_id", "chunk_idx", "n_chunks", F.posexplode(probs).alias("class_idx", "prob")
+            )
         )
 
     @cached_property

@@ -62,7 +62,7 @@ def agg_triangular_counted(t):
 WITH {CHUNKS} SELECT file_id, round({TRIANGULAR}, 6) AS prob FROM chunk_probs GROUP BY 1""")
 def in_place(t):
     files = spread(t.files.select("file_id", "content"))
-    return score_files_in_place(files, vul_score).select("file_id", "prob")
+    return score_files_in_place(files, {"prob": vul_score}).select("file_id", "prob")
 
 
 @query("agg_exponential", f"""

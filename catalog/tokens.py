@@ -99,14 +99,17 @@ def similar_tokens(t):
 
 
 def _digest(df):
-    """Vectors as their sum, so that rows can be compared."""
-    total = array_sum(F.transform("vector", lambda x: x.cast("double")))
-    return df.select("file_id", "pos", "token", total.alias("total"))
+    """Both ends of each vector, so that rows can be compared."""
+    ends = F.get("vector", F.lit(0)).cast("double") + F.get("vector", F.lit(DIM - 1)).cast("double")
+    return df.select("file_id", "pos", "token", ends.alias("ends"), F.size("vector").alias("dim"))
+
+
+ENDS = "CAST(vector[1] AS DOUBLE) + CAST(vector[64] AS DOUBLE)"
 
 
 @query("embed_tokens_drop", f"""
 WITH {TOKENS}, {VECTORS}
-SELECT file_id, pos, e.token, round(list_sum(CAST(vector AS DOUBLE[])), 6) AS total
+SELECT file_id, pos, e.token, round({ENDS}, 6) AS ends, 64 AS dim
 FROM exploded e JOIN vectors v ON e.token = v.token""")
 def embed_tokens_drop(t):
     rows = op.explode_tokens(tokens(t))
@@ -115,7 +118,7 @@ def embed_tokens_drop(t):
 
 @query("embed_tokens_zero", f"""
 WITH {TOKENS}, {VECTORS}
-SELECT file_id, pos, e.token, round(coalesce(list_sum(CAST(vector AS DOUBLE[])), 0e0), 6) AS total
+SELECT file_id, pos, e.token, round(coalesce({ENDS}, 0e0), 6) AS ends, 64 AS dim
 FROM exploded e LEFT JOIN vectors v ON e.token = v.token""")
 def embed_tokens_zero(t):
     rows = op.explode_tokens(tokens(t))

@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..constants import CWE_CLASSES
+from .vectors import let
 
 # Text before and after one "name <mail>" pair; a line break ends the match.
 NAME_EMAIL = r"^([^\n]*)<([^\n]*@[^\n]*)>"
@@ -92,20 +93,32 @@ def class_index(col: Column, classes: Sequence[str] = tuple(CWE_CLASSES)) -> Col
 def shannon_entropy(col: Column) -> Column:
     """Bits per character; empty text gives 0.
 
-    Counts come from length differences after removing one distinct character, so a row is handled
-    in place, without exploding characters into a shuffle.
+    One distinct character after the other is removed and counted by the bytes that went, so the
+    remaining text shrinks with every step and the row never leaves its place for a shuffle.
     """
-    n = F.length(col)
-    counts = F.transform(
-        F.array_distinct(F.split(col, "")),
-        lambda ch: n - F.length(F.replace(col, ch, F.lit(""))),
-    )
-    bits = F.aggregate(
-        counts,
-        F.lit(0.0),
-        lambda acc, c: acc - F.when(c > 0, (c / n) * F.log2(c / n)).otherwise(0.0),
+
+    def count_out(acc: Column, ch: Column, n: Column) -> Column:
+        return let(
+            F.replace(acc["rest"], ch, F.lit("")),
+            lambda rest: let(
+                (F.octet_length(acc["rest"]) - F.octet_length(rest)) / F.octet_length(ch) / n,
+                lambda p: F.struct(
+                    rest.alias("rest"),
+                    (acc["bits"] - F.when(p > 0, p * F.log2(p)).otherwise(0.0)).alias("bits"),
+                ),
+            ),
+        )
+
+    bits = let(
+        F.length(col),
+        lambda n: F.aggregate(
+            F.array_distinct(F.split(col, "")),
+            F.struct(col.alias("rest"), F.lit(0.0).alias("bits")),
+            lambda acc, ch: count_out(acc, ch, n),
+            lambda acc: acc["bits"],
+        ),
     )
-    return F.when(n > 0, bits).when(n == 0, F.lit(0.0))
+    return F.when(F.length(col) > 0, bits).when(F.length(col) == 0, F.lit(0.0))
 
 
 def base_name(col: Column) -> Column:

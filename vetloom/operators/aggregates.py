@@ -165,9 +165,10 @@ def session_detail(log: DataFrame, results: DataFrame) -> DataFrame:
         F.when(is_vul, text("cwe_label", safe_word)).alias("cwe_label"),
         F.coalesce("analysis_time", F.lit(0.0)).alias("analysis_time"),
     )
-    safe = results.filter(~flagged).groupBy("session_id").agg(
-        F.count_if(F.col("task") == "vul").alias("_vul_safe"),
-        F.count_if(F.col("task") == "mal").alias("_mal_safe"),
+    safe = results.groupBy("session_id").agg(
+        F.count("*").alias("_items"),
+        F.count_if(~flagged & (F.col("task") == "vul")).alias("_vul_safe"),
+        F.count_if(~flagged & (F.col("task") == "mal")).alias("_mal_safe"),
     )
     counted = F.when(_true("is_mal"), F.col("_mal_safe")).otherwise(F.col("_vul_safe"))
     computed = F.when(_true("is_ml"), F.col("safe_files")).otherwise(
@@ -179,8 +180,9 @@ def session_detail(log: DataFrame, results: DataFrame) -> DataFrame:
         .withColumn("upload_time", iso_timestamp(F.col("upload_time")))
         .drop("_vul_safe", "_mal_safe")
     )
-    with_items = header.join(items, "session_id")
-    without = header.join(items, "session_id", "left_anti")
+    # An inner join, so that a large session can be split; the rest needs no join.
+    with_items = header.drop("_items").join(items, "session_id")
+    without = header.filter("_items IS NULL").drop("_items")
     return with_items.unionByName(without, allowMissingColumns=True)
 
 

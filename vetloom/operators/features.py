@@ -45,7 +45,7 @@ def standard_scale(df: DataFrame, column: str, out: str) -> DataFrame:
 
     The statistics are one aggregate row, read as a scalar subquery: no join is planned.
     """
-    stats = df.select(
+    stats = df.select(column).select(
         F.struct(F.avg(column).alias("mean"), F.stddev_pop(column).alias("sd"))
     ).scalar()
     divisor = F.when(stats["sd"] > 0, stats["sd"]).otherwise(1.0)
@@ -54,7 +54,7 @@ def standard_scale(df: DataFrame, column: str, out: str) -> DataFrame:
 
 def minmax_inverted(df: DataFrame, column: str, out: str) -> DataFrame:
     """1 for the smallest value, 0 for the largest, 1 for a constant column."""
-    stats = df.select(
+    stats = df.select(column).select(
         F.struct(F.min(column).alias("lo"), F.max(column).alias("hi"))
     ).scalar()
     scaled = F.try_divide(F.col(column) - stats["lo"], stats["hi"] - stats["lo"])
@@ -132,10 +132,11 @@ def package_features(
     """All metadata features of packages that carry name, summary, version and download."""
     df = meta.withColumn("download", F.coalesce("download", F.lit(0)).cast("bigint"))
     df = df.withColumn("download_log", download_log(F.col("download")))
+    # Statistics first: their passes then read one column of the scan and no join.
+    df = quantile_flags(df, "download_log")
     df = standard_scale(df, "download_log", "download_scaled")
+    df = minmax_inverted(df, "download_log", "download_log_scaled")
     df = entropy_features(summary_features(df))
     df = df.withColumn("version_valid", is_valid_version(F.col("version")))
-    df = typosquat_flag(df, popular)
-    df = quantile_flags(df, "download_log")
     df = disposable_email_flag(df, blocklist, email)
-    return minmax_inverted(df, "download_log", "download_log_scaled")
+    return typosquat_flag(df, popular)

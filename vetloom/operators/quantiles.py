@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Up to this many rows one exact aggregate is used; its buffer is bounded by it.
-SMALL_ROWS = 2_000_000
-BUCKETS = 2048
+SMALL_ROWS = 50_000
+ACCURACY = 10_000
 
 
 def exact_quantiles(
@@ -18,44 +18,76 @@ def exact_quantiles(
 ) -> list[float | None]:
     """Linearly interpolated quantiles, exact for any number of rows.
 
-    Few rows: the built-in exact percentile. Many: the interval around each wanted rank is narrowed
-    by bucket counts, which combine map-side and come back as at most ``BUCKETS`` rows.
+    Few rows: the built-in exact percentile. Many: a mergeable sketch gives an interval around each
+    wanted rank, one count shows how many rows lie below and inside it, and the rank is then looked
+    for among the rows inside, a few thousandths of the table. Only these counts reach the driver.
     """
     x = df.select(F.col(column).cast("double").alias("x")).filter("x IS NOT NULL")
-    head = x.agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).first()
-    n, lo, hi = head["n"], head["lo"], head["hi"]
+    marks = [min(max(p + d, 0.0), 1.0) for p in probs for d in (-2 / ACCURACY, 2 / ACCURACY)]
+    head = x.agg(
+        F.count("*").alias("n"),
+        F.min("x").alias("lo"),
+        F.max("x").alias("hi"),
+        F.percentile_approx("x", marks, ACCURACY).alias("marks"),
+    ).first()
+    n = head["n"]
     if n == 0:
         return [None] * len(probs)
     if n <= small_rows:
         return list(x.agg(F.percentile("x", list(probs)).alias("q")).first()["q"])
+    brackets = list(zip(head["marks"][::2], head["marks"][1::2]))
+    columns = []
+    for i, (lo, hi) in enumerate(brackets):
+        columns.append(F.count_if(F.col("x") < lo).alias(f"below{i}"))
+        columns.append(F.count_if(F.col("x").between(lo, hi)).alias(f"inside{i}"))
+    counts = x.agg(*columns).first()
     out = []
-    for p in probs:
+    for i, p in enumerate(probs):
+        (lo, hi), below, inside = brackets[i], counts[f"below{i}"], counts[f"inside{i}"]
         position = p * (n - 1)
-        below = math.floor(position)
-        left = _order_statistic(x, below, lo, hi, small_rows)
-        right = left if position == below else _order_statistic(x, below + 1, lo, hi, small_rows)
-        out.append(left + (right - left) * (position - below))
+        first, last = math.floor(position), math.ceil(position)
+        if not (below <= first and last < below + inside):
+            # The sketch missed; every row stays a candidate and the whole range is halved.
+            lo, hi, below, inside = head["lo"], head["hi"], 0, n
+            out.append(_interpolate(x, lo, hi, position - below, inside, small_rows, halve=True))
+        else:
+            out.append(_interpolate(x, lo, hi, position - below, inside, small_rows))
     return out
 
 
-def _order_statistic(x: DataFrame, rank: int, lo: float, hi: float, small_rows: int) -> float:
-    """Value at zero-based ``rank``; each pass keeps one bucket of the interval."""
+def _interpolate(
+    x: DataFrame,
+    lo: float,
+    hi: float,
+    position: float,
+    inside: int,
+    small_rows: int,
+    halve: bool = False,
+) -> float:
+    """Value at a fractional position among the ``inside`` rows between ``lo`` and ``hi``."""
+    if lo == hi or inside == 1:
+        return lo
+    rows = x.filter(F.col("x").between(lo, hi))
+    fraction = position / (inside - 1)
+    if inside <= small_rows:
+        return rows.agg(F.percentile("x", fraction)).first()[0]
+    if not halve:
+        return exact_quantiles(rows, "x", [fraction], small_rows)[0]
+    low = _order_statistic(rows, math.floor(position), lo, hi)
+    high = _order_statistic(rows, math.ceil(position), lo, hi)
+    return low + (high - low) * (position - math.floor(position))
+
+
+def _order_statistic(x: DataFrame, rank: int, lo: float, hi: float) -> float:
+    """Value at zero-based ``rank``, by halving the interval with one count each."""
     while lo < hi:
-        inside = x.filter(F.col("x").between(lo, hi))
-        width = (hi - lo) / BUCKETS
-        bucket = F.least(F.floor((F.col("x") - lo) / width), F.lit(BUCKETS - 1))
-        counts = (
-            inside.groupBy(bucket.alias("b"))
-            .agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
-            .orderBy("b")
-            .collect()
-        )
-        for row in counts:
-            if rank < row["n"]:
-                break
-            rank -= row["n"]
-        lo, hi = row["lo"], row["hi"]
-        if lo < hi and row["n"] <= small_rows:
-            kept = x.filter(F.col("x").between(lo, hi))
-            return kept.agg(F.percentile("x", rank / (row["n"] - 1))).first()[0]
+        middle = lo + (hi - lo) / 2
+        left, right = F.col("x") <= middle, F.col("x") > middle
+        row = x.filter(F.col("x").between(lo, hi)).agg(
+            F.count_if(left), F.max(F.when(left, F.col("x"))), F.min(F.when(right, F.col("x")))
+        ).first()
+        if rank < row[0]:
+            hi = row[1]
+        else:
+            rank, lo = rank - row[0], row[2]
     return lo

@@ -67,12 +67,19 @@ def chunk_position_weights(df: DataFrame, key: str = "file_id") -> DataFrame:
     )
 
 
-def agg_triangular(df: DataFrame, key: str = "file_id") -> DataFrame:
-    """0.7 of the centre-weighted mean and 0.3 of the maximum."""
+def agg_triangular(
+    df: DataFrame, key: str = "file_id", probs: Sequence[str] = ("prob",)
+) -> DataFrame:
+    """0.7 of the centre-weighted mean and 0.3 of the maximum, for each probability column."""
     df = with_chunk_count(df, key)
     w = triangular_weight(F.col("chunk_idx"), F.col("n_chunks"))
-    mean = F.sum(F.col("prob") * w) / F.greatest(F.sum(w), F.lit(1e-8))
-    return df.groupBy(key).agg((0.7 * mean + 0.3 * F.max("prob")).alias("prob"))
+    scores = [
+        (
+            0.7 * F.sum(F.col(p) * w) / F.greatest(F.sum(w), F.lit(1e-8)) + 0.3 * F.max(p)
+        ).alias(p)
+        for p in probs
+    ]
+    return df.groupBy(key).agg(*scores)
 
 
 def agg_exponential(df: DataFrame, key: str = "file_id") -> DataFrame:

@@ -8,15 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..constants import PYTHON_KEYWORDS
+from ..functions.lexer import canonical_code
 from ..functions.lexer import lexical_tokens as lex
 from ..functions.text import lower_flatten
-from ..functions.vectors import dot, let, norm, zeros
+from ..functions.vectors import dot, norm, zeros
 
 WORD = r"[\p{L}\p{N}_]+"
-# A word starts where no word character stands before it.
-CONDITION = r"(?<![\p{L}\p{N}_])(if|while|for)(?U:\s)+([^:]+):"
-IDENTIFIER = r"(?<![\p{L}\p{N}_])[a-z_][a-z0-9_]*(?![\p{L}\p{N}_])"
 
 
 def word_tokens(col: Column) -> Column:
@@ -36,15 +33,14 @@ def lexical_tokens(df: DataFrame, content: str = "content", out: str = "tokens")
 
 def explode_tokens(df: DataFrame, tokens: str = "tokens", key: str = "file_id") -> DataFrame:
     """``(key, pos, token)`` with positions from 0."""
-    return df.select(key, F.posexplode(tokens).alias("pos", "token"))
+    rows = df.select(key, F.posexplode_outer(tokens).alias("pos", "token"))
+    return rows.filter("pos IS NOT NULL")
 
 
 def vocabulary(df: DataFrame, min_count: int = 10, tokens: str = "tokens") -> DataFrame:
     """Token counts from ``min_count`` on; counts combine map-side before the shuffle."""
-    counts = df.select(F.explode(tokens).alias("token")).groupBy("token").agg(
-        F.count("*").alias("n")
-    )
-    return counts.filter(F.col("n") >= min_count)
+    rows = df.select(F.explode_outer(tokens).alias("token")).filter("token IS NOT NULL")
+    return rows.groupBy("token").agg(F.count("*").alias("n")).filter(F.col("n") >= min_count)
 
 
 def train_word2vec(
@@ -160,61 +156,28 @@ def first_appearance_rank(df: DataFrame, tokens: str = "tokens", key: str = "fil
     The order of first appearance is what ``array_distinct`` keeps, so the file's row is handled
     in place.
     """
-    ranked = df.select(key, F.posexplode(F.array_distinct(tokens)).alias("_i", "token"))
-    return ranked.select(key, "token", (F.col("_i") + 1).alias("appearance"))
-
-
-def _number_conditions(code: Column) -> Column:
-    """``if x:`` to ``if cond1:`` and so on, in order."""
-    keywords = F.regexp_extract_all(code, F.lit(CONDITION), F.lit(1))
-    return let(keywords, lambda kw: F.array_join(
-        F.transform(
-            F.split(code, CONDITION),
-            lambda piece, i: F.when(
-                i < F.size(kw),
-                F.concat(piece, F.get(kw, i), F.lit(" cond"), (i + 1).cast("string"), F.lit(":")),
-            ).otherwise(piece),
-        ),
-        "",
-    ))
+    ranked = df.select(key, F.posexplode_outer(F.array_distinct(tokens)).alias("_i", "token"))
+    return ranked.filter("_i IS NOT NULL").select(key, "token", (F.col("_i") + 1).alias("appearance"))
 
 
 def canonicalize_identifiers(code: Column, legacy: bool = False) -> Column:
     """Lower-cased code with numbered conditions and renamed identifiers, single-spaced.
 
-    With ``legacy`` capitalised keywords do not match lower-cased code and are renamed too.
+    With ``legacy`` capitalised keywords do not match lower-cased code and are renamed too. The
+    numbering needs a lookup of names seen so far, which array functions only offer as a linear
+    search; one Arrow batch at a time keeps the work linear in the text.
     """
-    words = PYTHON_KEYWORDS if legacy else [k.lower() for k in PYTHON_KEYWORDS]
-    kept = lambda w: w.isin(words) | w.startswith("cond")
-    flat = F.regexp_replace(_number_conditions(F.lower(code)), r"(?U)^\s+|\s+$", "")
-    flat = F.regexp_replace(flat, r"(?U)\s+", " ")
-
-    def rename(text: Column) -> Column:
-        found = F.regexp_extract_all(text, F.lit(IDENTIFIER), F.lit(0))
-        pieces = F.split(text, IDENTIFIER)
-        return let(found, lambda ids: let(
-            F.array_distinct(F.filter(ids, lambda w: ~kept(w))),
-            lambda names: F.array_join(
-                F.transform(
-                    pieces,
-                    lambda piece, i: F.when(
-                        i < F.size(ids),
-                        F.concat(
-                            piece,
-                            F.when(kept(F.get(ids, i)), F.get(ids, i)).otherwise(
-                                F.concat(
-                                    F.lit("a"),
-                                    F.array_position(names, F.get(ids, i)).cast("string"),
-                                )
-                            ),
-                        ),
-                    ).otherwise(piece),
-                ),
-                "",
-            ),
-        ))
-
-    return let(flat, rename)
+    return (_canonical_legacy if legacy else _canonical)(code)
+
+
+@F.pandas_udf(T.StringType())
+def _canonical(codes: pd.Series) -> pd.Series:
+    return codes.map(canonical_code, na_action="ignore")
+
+
+@F.pandas_udf(T.StringType())
+def _canonical_legacy(codes: pd.Series) -> pd.Series:
+    return codes.map(lambda c: canonical_code(c, legacy=True), na_action="ignore")
 
 
 def corpus_stats(df: DataFrame, text: str = "content") -> DataFrame:

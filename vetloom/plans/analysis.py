@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,45 +33,57 @@ def triangular_score(probs: Column) -> Column:
 
 
 def score_files_in_place(
-    files: DataFrame, score: Callable[[Column], Column], size: int = 512, overlap: int = 64
+    files: DataFrame,
+    scores: Mapping[str, Callable[[Column], Column]],
+    size: int = 512,
+    overlap: int = 64,
 ) -> DataFrame:
-    """Add ``prob`` per file for a scorer that is a column expression.
+    """Add one score per file for each scorer, a function from window text to a column.
 
-    Windows stay inside the row of their file, so the whole score needs no shuffle.
+    Windows are cut once and stay inside the row of their file, so no score needs a shuffle.
     """
     windows = char_window_array(F.col("content"), size, overlap)
-    probs = F.transform(windows, score)
-    return drop_empty_content(files).withColumn("prob", triangular_score(probs))
+    columns = {
+        name: triangular_score(F.transform("_windows", score)) for name, score in scores.items()
+    }
+    return (
+        drop_empty_content(files)
+        .withColumn("_windows", windows)
+        .withColumns(columns)
+        .drop("_windows")
+    )
 
 
 def score_files(
-    files: DataFrame, scorer: Callable[[DataFrame], DataFrame], size: int = 512, overlap: int = 64
+    files: DataFrame,
+    scorer: Callable[[DataFrame], DataFrame],
+    probs: Sequence[str] = ("vul_prob", "mal_prob"),
+    size: int = 512,
+    overlap: int = 64,
 ) -> DataFrame:
-    """``(file_id, prob)`` for a scorer that adds ``prob`` to a window table."""
+    """One row per file with its scores, for a scorer that adds ``probs`` to a window table.
+
+    All scores come from one cut into windows and one aggregate.
+    """
     windows = char_windows(drop_empty_content(files), size, overlap)
-    return agg_triangular(scorer(windows))
+    return agg_triangular(scorer(windows), probs=probs)
 
 
 def file_verdicts(
-    files: DataFrame,
-    vul: DataFrame,
-    mal: DataFrame,
-    threshold: float = 0.5,
-    strict: bool = True,
+    files: DataFrame, scores: DataFrame, threshold: float = 0.5, strict: bool = True
 ) -> DataFrame:
-    """Files with both verdicts from two ``(file_id, prob)`` tables."""
-
-    def side(scores: DataFrame, name: str) -> DataFrame:
-        judged = verdict(scores, threshold, strict)
-        return judged.select(
-            "file_id", F.col("prob").alias(f"{name}_prob"), F.col("flagged").alias(f"{name}_flag")
-        )
-
-    return (
-        files.drop("content")
-        .join(side(vul, "vul"), "file_id", "left")
-        .join(side(mal, "mal"), "file_id", "left")
-    )
+    """File columns without the text, with ``vul_prob, vul_flag, mal_prob, mal_flag``."""
+    judged = scores
+    for side in ("vul", "mal"):
+        if f"{side}_prob" in scores.columns:
+            judged = verdict(judged, threshold, strict, prob=f"{side}_prob").withColumnRenamed(
+                "flagged", f"{side}_flag"
+            )
+        else:
+            judged = judged.withColumns(
+                {f"{side}_prob": F.lit(None).cast("double"), f"{side}_flag": F.lit(None).cast("boolean")}
+            )
+    return files.drop("content").join(judged.drop("status"), "file_id", "left")
 
 
 def store_rows(verdicts: DataFrame, engine: str, mode: str = "both") -> DataFrame:
