@@ -57,7 +57,10 @@ def _as_files(df: DataFrame, on_bad_utf8: str) -> DataFrame:
 def scan_source_files(
     spark: SparkSession, path: str, on_bad_utf8: str = "strict", ignore_case: bool = True
 ) -> DataFrame:
-    """All ``.py`` files below a folder; paths are relative to it."""
+    """All ``.py`` files below a folder; paths are relative to it.
+
+    Spark's scan leaves out files of no bytes, which the analysis would drop as empty anyway.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     root = path.split("://", 1)[-1].rstrip("/") + "/"
     relative = F.substring_index(F.regexp_replace("path", "^[a-z0-9]+:/*", "/"), root, -1)
