@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from ..constants import MODEL_BERT, MODEL_LSTM, MODEL_PACKAGES
 from ..functions.text import package_directory, strip_comments, strip_whitespace
 from .quantiles import exact_quantiles
+from .skew import salted_join
 
 # Characters of merged source that are put into one row.
 MERGE_LIMIT = 64 * 1024 * 1024
@@ -180,8 +181,8 @@ def session_detail(log: DataFrame, results: DataFrame) -> DataFrame:
         .withColumn("upload_time", iso_timestamp(F.col("upload_time")))
         .drop("_vul_safe", "_mal_safe")
     )
-    # An inner join, so that a large session can be split; the rest needs no join.
-    with_items = header.drop("_items").join(items, "session_id")
+    # The rows of a large session are spread; sessions without results need no join.
+    with_items = salted_join(items, header.drop("_items"), "session_id")
     without = header.filter("_items IS NULL").drop("_items")
     return with_items.unionByName(without, allowMissingColumns=True)
 

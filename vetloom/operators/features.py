@@ -17,6 +17,7 @@ from ..constants import (
 from ..functions.text import email_domain, is_valid_version, shannon_entropy
 from .quantiles import exact_quantiles
 from .similarity import typosquat_flag
+from .skew import salted_join
 
 
 def summary_features(df: DataFrame, summary: str = "summary") -> DataFrame:
@@ -84,9 +85,9 @@ def disposable_email_flag(
     listed = blocklist.select(F.lower(F.trim("domain")).alias("_domain")).filter(
         "_domain <> ''"
     ).distinct().withColumn("_listed", F.lit(True))
+    mailed = df.withColumn("_domain", F.lower(email_domain(F.col(f"`{email}`"))))
     return (
-        df.withColumn("_domain", F.lower(email_domain(F.col(f"`{email}`"))))
-        .join(listed, "_domain", "left")
+        salted_join(mailed, listed, "_domain", "left")
         .withColumn("is_disposable", F.coalesce("_listed", F.lit(False)))
         .drop("_domain", "_listed")
     )

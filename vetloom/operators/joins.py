@@ -2,7 +2,8 @@
 
 No side is force-broadcast: Spark broadcasts a side only after its own size check, and otherwise
 runs a sort-merge join whose hot partitions are split at run time. Each outer join keeps the large
-table on the preserved side, which is the side that can be split.
+table on the preserved side, which is the side that can be split. Where the other table is itself
+an aggregate by the join key, ``salts`` above 1 spreads the rows of a hot key instead.
 """
 
 from __future__ import annotations
@@ -16,11 +17,13 @@ from ..constants import CWE_CODES, CWE_OTHER_CODE, PRIORITY_COLUMNS, STATUS_CODE
 from ..functions.text import map_labels
 from .features import threat_level
 from .files import reorder_columns
+from .skew import salted_join
 
 
-def join_code_verdicts(meta: DataFrame, verdicts: DataFrame) -> DataFrame:
+def join_code_verdicts(meta: DataFrame, verdicts: DataFrame, salts: int = 1) -> DataFrame:
     """Numeric code verdicts next to each package; a package without one gets 0, 0 and 0.0."""
     coded = verdicts.select(
+        F.col("package").alias("name"),
         F.col("package"),
         map_labels(F.col("vulnerability_status"), STATUS_CODES).alias(
             "vulnerability_status_numeric"
@@ -28,7 +31,7 @@ def join_code_verdicts(meta: DataFrame, verdicts: DataFrame) -> DataFrame:
         map_labels(F.col("cwe_label"), CWE_CODES, CWE_OTHER_CODE).alias("cwe_label_numeric"),
         F.col("confidence"),
     )
-    out = meta.join(coded, meta["name"] == coded["package"], "left").na.fill(
+    out = salted_join(meta, coded, "name", "left", salts).na.fill(
         {"vulnerability_status_numeric": 0, "cwe_label_numeric": 0, "confidence": 0.0}
     )
     status, cwe = F.col("vulnerability_status_numeric"), F.col("cwe_label_numeric")
@@ -43,16 +46,16 @@ def join_code_verdicts(meta: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 
 def comprehensive_results(
-    df: DataFrame, verdicts: DataFrame, prediction: str = "is_malicious"
+    df: DataFrame, verdicts: DataFrame, prediction: str = "is_malicious", salts: int = 1
 ) -> DataFrame:
     """Verdict columns as ``lstm_*``, the prediction renamed, priority columns first."""
     renamed = verdicts.select(
-        F.col("package").alias("_package"),
+        F.col("package").alias("name"),
         F.col("vulnerability_status").alias("lstm_vulnerability_status"),
         F.col("cwe_label").alias("lstm_cwe_label"),
         F.col("confidence").alias("lstm_confidence"),
     )
-    out = df.join(renamed, df["name"] == renamed["_package"], "left").drop("_package")
+    out = salted_join(df, renamed, "name", "left", salts)
     out = out.withColumnRenamed(prediction, "xgboost_prediction")
     return reorder_columns(out, PRIORITY_COLUMNS)
 
@@ -62,8 +65,9 @@ def attach_labels(
     extra: DataFrame,
     key: str = "package",
     columns: Sequence[str] = ("vulnerability_status", "cwe_label"),
+    salts: int = 1,
 ) -> DataFrame:
-    return main.join(extra.select(key, *columns), key, "left")
+    return salted_join(main, extra.select(key, *columns), key, "left", salts)
 
 
 def keep_common(left: DataFrame, right: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
@@ -72,12 +76,20 @@ def keep_common(left: DataFrame, right: DataFrame, key: str) -> tuple[DataFrame,
 
 
 def session_results(log: DataFrame, results: DataFrame) -> DataFrame:
-    """Every result row with its session's columns; both sides of the join can be split."""
-    return log.join(results, "session_id")
+    """Every result row with its session's columns.
+
+    One session may hold a large part of all results, and its log row is often an aggregate by
+    session, so the results are salted.
+    """
+    return salted_join(results, log, "session_id")
 
 
 def download_fallback(
-    packages: DataFrame, first: DataFrame, second: DataFrame, name: str = "name"
+    packages: DataFrame,
+    first: DataFrame,
+    second: DataFrame,
+    name: str = "name",
+    salts: int = 1,
 ) -> DataFrame:
     """Downloads from the first source, else the second, else 0; -1 means missing."""
     out = packages
@@ -86,5 +98,5 @@ def download_fallback(
             F.col("project").alias(name),
             F.nullif(F.col("downloads"), F.lit(-1)).alias(f"_d{i}"),
         )
-        out = out.join(count, name, "left")
+        out = salted_join(out, count, name, "left", salts)
     return out.withColumn("download", F.coalesce("_d0", "_d1", F.lit(0))).drop("_d0", "_d1")

@@ -25,31 +25,33 @@ def hash_cut(
     df: DataFrame,
     group: Column,
     key: str,
-    cuts: Callable[[DataFrame], DataFrame],
+    cuts: Callable[[Column], Column],
     seed: int = 42,
     digits: int = BUCKET_DIGITS,
 ) -> DataFrame:
     """Add ``_part``: how many of the group's cut ranks lie before the row's hash rank.
 
-    ``cuts`` turns the class sizes ``(_g, size)`` into ``(_g, cuts array<bigint>)``.
+    ``cuts`` turns the class size into an array of cut ranks. ``key`` has to be unique, else equal
+    keys share a bucket.
     """
     rows = df.withColumns({"_g": group, "_h": hash_order(key, seed)}).withColumn(
         "_b", F.substring("_h", 1, digits)
     )
     counts = rows.groupBy("_g", "_b").agg(F.count("*").alias("_n"))
-    sizes = counts.groupBy("_g").agg(F.sum("_n").alias("size"))
-    # At most 16**digits rows per class, whatever the size of the table.
-    running = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    # At most 16**digits rows per class from here on, whatever the size of the table.
+    whole = Window.partitionBy("_g")
+    running = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     buckets = (
-        counts.withColumn("_hi", F.sum("_n").over(running))
-        .withColumn("_lo", F.col("_hi") - F.col("_n"))
-        .join(cuts(sizes), "_g")
-        .select("_g", "_b", "_lo", "cuts", F.exists(
-            "cuts", lambda c: (c > F.col("_lo")) & (c < F.col("_hi"))
-        ).alias("_split"))
+        counts.withColumns({"_hi": F.sum("_n").over(running), "_size": F.sum("_n").over(whole)})
+        .withColumns({"_lo": F.col("_hi") - F.col("_n"), "_cuts": cuts(F.col("_size"))})
+        .withColumn(
+            "_split",
+            F.exists("_cuts", lambda c: (c > F.col("_lo")) & (c < F.col("_hi"))),
+        )
+        .select("_g", "_b", "_lo", "_cuts", "_split")
     )
     located = rows.join(buckets, ["_g", "_b"])
-    part = lambda rank: F.size(F.filter("cuts", lambda c: c < rank))
+    part = lambda rank: F.size(F.filter("_cuts", lambda c: c < rank))
     decided = located.filter(~F.col("_split")).withColumn("_part", part(F.col("_lo") + 1))
     order = Window.partitionBy("_g", "_b").orderBy("_h", key)
     ranked = located.filter("_split").withColumn(
@@ -58,29 +60,29 @@ def hash_cut(
     return decided.unionByName(ranked).select(*df.columns, "_part")
 
 
-def balanced_sample(df: DataFrame, label: str, key: str, seed: int = 42) -> DataFrame:
-    """As many rows of every class as the smallest class has."""
+def _smallest(df: DataFrame, label: str) -> Column:
+    """Row count of the smallest class, as a scalar subquery."""
+    counts = df.groupBy(label).agg(F.count("*").alias("n"))
+    return counts.agg(F.min("n").alias("m")).select("m").scalar()
 
-    def smallest(sizes: DataFrame) -> DataFrame:
-        least = sizes.agg(F.min("size").alias("m")).select("m").scalar()
-        return sizes.select("_g", F.array(least).alias("cuts"))
 
-    return hash_cut(df, F.col(label), key, smallest, seed).filter("_part = 0").drop("_part")
+def balanced_sample(df: DataFrame, label: str, key: str, seed: int = 42) -> DataFrame:
+    """As many rows of every class as the smallest class has."""
+    least = _smallest(df, label)
+    cut = hash_cut(df, F.col(label), key, lambda size: F.array(least), seed)
+    return cut.filter("_part = 0").drop("_part")
 
 
 def shuffle_rows(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
     return df.orderBy(hash_order(key, seed), key)
 
 
-def _fractions(fractions: Sequence[float]) -> Callable[[DataFrame], DataFrame]:
+def _fractions(fractions: Sequence[float]) -> Callable[[Column], Column]:
     """Cut ranks after each fraction but the last."""
     edges = [sum(fractions[: i + 1]) for i in range(len(fractions) - 1)]
-
-    def cuts(sizes: DataFrame) -> DataFrame:
-        at = [F.floor(F.col("size") * F.lit(float(e)) + 1e-9).cast("bigint") for e in edges]
-        return sizes.select("_g", F.array(*at).alias("cuts"))
-
-    return cuts
+    return lambda size: F.array(
+        *[F.floor(size * F.lit(float(e)) + 1e-9).cast("bigint") for e in edges]
+    )
 
 
 def random_split(
@@ -107,10 +109,7 @@ def stratified_split(
 
     When a class has fewer than ``min_per_class`` rows, the table is split as a whole.
     """
-    least = (
-        df.groupBy(label).agg(F.count("*").alias("n")).agg(F.min("n").alias("m")).select("m")
-    ).scalar()
-    group = F.when(least >= min_per_class, F.col(label).cast("string")).otherwise(F.lit("*"))
+    group = F.when(_smallest(df, label) >= min_per_class, F.col(label).cast("string")).otherwise(F.lit("*"))
     split = hash_cut(df, group, key, _fractions(fractions), seed)
     name = F.element_at(F.array(*map(F.lit, names)), F.col("_part") + 1)
     return split.withColumn(out, name).drop("_part")

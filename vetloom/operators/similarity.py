@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import core_name
+from .skew import salted_join
 
 
 def _deletions(name: Column) -> Column:
@@ -61,7 +62,8 @@ def typosquat_pairs(
 ) -> DataFrame:
     """Package name, its core name and every popular core name one edit away."""
     pairs = core_pairs(_cores(packages, name), _cores(popular, project))
-    return packages.select(F.col(name), core_name(F.col(name)).alias("core")).join(pairs, "core")
+    named = packages.select(F.col(name), core_name(F.col(name)).alias("core"))
+    return salted_join(named, pairs, "core")
 
 
 def typosquat_flag(
@@ -74,9 +76,9 @@ def typosquat_flag(
     """True when any popular core name is one edit away; an equal name is no hit."""
     hits = core_pairs(_cores(packages, name), _cores(popular, project))
     hits = hits.select("core").distinct().withColumn(out, F.lit(True))
+    named = packages.withColumn("core", core_name(F.col(name)))
     return (
-        packages.withColumn("core", core_name(F.col(name)))
-        .join(hits, "core", "left")
+        salted_join(named, hits, "core", "left")
         .withColumn(out, F.coalesce(out, F.lit(False)))
         .drop("core")
     )

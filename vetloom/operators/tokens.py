@@ -12,6 +12,7 @@ from ..functions.lexer import canonical_code
 from ..functions.lexer import lexical_tokens as lex
 from ..functions.text import lower_flatten
 from ..functions.vectors import dot, norm, zeros
+from .skew import salted_join
 
 WORD = r"[\p{L}\p{N}_]+"
 
@@ -94,15 +95,6 @@ def similar_tokens(vectors: DataFrame, word: str, n: int = 5) -> DataFrame:
     )
 
 
-def spread_hot_tokens(tokens: DataFrame, vectors: DataFrame, salts: int) -> tuple:
-    """Token rows over ``salts`` keys per token, and the vectors once per salt."""
-    salted = tokens.withColumn("_salt", F.pmod(F.col("pos"), F.lit(salts)).cast("int"))
-    copies = vectors.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    )
-    return salted, copies
-
-
 def embed_tokens(
     tokens: DataFrame, vectors: DataFrame, oov: str = "drop", dim: int = 100, salts: int = 8
 ) -> DataFrame:
@@ -114,9 +106,9 @@ def embed_tokens(
     """
     if oov not in ("drop", "zero"):
         raise ValueError(f"unknown rule for unknown tokens: {oov}")
-    salted, copies = spread_hot_tokens(tokens, vectors, salts)
-    out = salted.join(copies, ["token", "_salt"], "inner" if oov == "drop" else "left")
-    return out.drop("_salt").withColumn("vector", F.coalesce("vector", zeros(dim)))
+    how = "inner" if oov == "drop" else "left"
+    out = salted_join(tokens, vectors, "token", how, salts, by=["pos"])
+    return out.withColumn("vector", F.coalesce("vector", zeros(dim)))
 
 
 def fix_length(
@@ -137,7 +129,8 @@ def fix_length(
         first = tokens.filter(F.col("pos") < n)
         kept = embed_tokens(first, vectors, "zero", dim)
     else:
-        known = tokens.join(vectors.select("token").distinct(), "token", "left_semi")
+        words = vectors.select("token").distinct()
+        known = salted_join(tokens, words, "token", "left_semi", by=["pos"])
         order = Window.partitionBy(key).orderBy("pos")
         first = known.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= n)
         kept = embed_tokens(first.drop("_rank"), vectors, "drop", dim)

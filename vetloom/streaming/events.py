@@ -78,25 +78,24 @@ def session_timeouts(events: DataFrame, limit_seconds: int = 600) -> DataFrame:
 
 
 def stream_session_timeouts(
-    events: DataFrame, limit: str = "10 minutes", lateness: str = "10 minutes"
+    events: DataFrame, limit_seconds: int = 600, lateness: str = "10 minutes"
 ) -> DataFrame:
-    """Streaming form: starts left-joined with terminal events inside the limit.
+    """Streaming form: each run of events without a longer gap than the limit is one window.
 
-    A start comes out unmatched once the watermark has passed its limit, and its state is dropped
-    then. The lateness of 10 minutes is this library's choice.
+    A run whose last start has no later terminal event has timed out once the watermark has passed
+    it. The state is two times per run, never a list of events. The lateness of 10 minutes is this
+    library's choice.
     """
-    timed = events.withWatermark("ts", lateness)
-    start = timed.filter(F.col("event") == "analysis_started").select(
-        F.col("session_id"), F.col("ts").alias("started")
+    gap = f"{limit_seconds * 1000 + 1} milliseconds"
+    runs = (
+        events.withWatermark("ts", lateness)
+        .filter(F.col("event").isin("analysis_started", *TERMINAL))
+        .groupBy("session_id", F.session_window("ts", gap).alias("run"))
+        .agg(
+            F.max(F.when(F.col("event") == "analysis_started", F.col("ts"))).alias("started"),
+            F.max(F.when(F.col("event").isin(*TERMINAL), F.col("ts"))).alias("ended"),
+        )
     )
-    end = timed.filter(F.col("event").isin(*TERMINAL)).select(
-        F.col("session_id").alias("end_session"), F.col("ts").alias("ended")
-    )
-    within = (
-        (F.col("session_id") == F.col("end_session"))
-        & (F.col("ended") >= F.col("started"))
-        & (F.col("ended") <= F.col("started") + F.expr(f"INTERVAL {limit}"))
-    )
-    return start.join(end, within, "left_outer").filter("ended IS NULL").select(
+    return runs.filter("started IS NOT NULL AND (ended IS NULL OR ended < started)").select(
         "session_id", "started"
     )
