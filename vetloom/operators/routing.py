@@ -85,23 +85,19 @@ def table_rows(routed: DataFrame, engine: str, table: str) -> DataFrame:
     )
 
 
-def _truth(name: str) -> Column:
-    """Flag or number as a condition; a missing value is false."""
-    return F.coalesce(F.col(name).cast("int") == 1, F.lit(False))
-
-
-def _zero(name: str) -> Column:
-    """Exactly 0, as a missing status counts as 0."""
-    return F.coalesce(F.col(name).cast("int"), F.lit(0)) == 0
-
-
 def _reasons(rules: list[tuple[str, bool, str]]) -> Column:
+    """Sentences of the rules that hold, in order. A missing flag counts as off.
+
+    The code status is a number: only 1 is on, and only 0 or a missing status is off.
+    """
     clauses = []
     for name, wanted, sentence in rules:
-        numeric = name == "vulnerability_status_noisy"
-        off = _zero(name) if numeric else ~_truth(name)
-        clauses.append(F.when(_truth(name) if wanted else off, sentence))
-    return F.array_compact(F.array(*clauses))
+        if name == "vulnerability_status_noisy":
+            test = f"coalesce(CAST({name} AS INT), 0) = {int(wanted)}"
+        else:
+            test = f"coalesce(CAST({name} AS INT), 0) {'=' if wanted else '<>'} 1"
+        clauses.append(f"CASE WHEN {test} THEN '{sentence}' END")
+    return F.expr(f"array_compact(array({', '.join(clauses)}))")
 
 
 def malicious_reasons() -> Column:
