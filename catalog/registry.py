@@ -43,10 +43,8 @@ def round_doubles(df: DataFrame) -> DataFrame:
 def share_of(text: Column, letters: str, factor: float) -> Column:
     """Stand-in score of a text: share of some letters, scaled and cut at 1."""
     hits = F.length(text) - F.length(F.translate(text, letters, ""))
-    return F.coalesce(
-        F.least(F.lit(1.0), F.try_divide(hits * F.lit(factor), F.length(text).cast("double"))),
-        F.lit(0.0),
-    )
+    # An empty text has no letters either, so its length may count as 1.
+    return F.least(F.lit(1.0), hits * factor / F.greatest(F.length(text), F.lit(1)))
 
 
 def share_sql(text: str, letters: str, factor: str) -> str:

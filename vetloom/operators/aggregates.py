@@ -29,33 +29,31 @@ def session_summary(
 
     Rows without either flag were not scored: they count as input, not as results.
     """
-    vul_on, mal_on = mode in ("both", "vul"), mode in ("both", "mal")
-    scored = F.col("is_vulnerable").isNotNull() | F.col("is_malicious").isNotNull()
-    vul, mal = _true("is_vulnerable"), _true("is_malicious")
-    safe = {"mal": ~mal, "vul": ~vul}.get(mode, ~vul & ~mal)
-    n_vul = F.count_if(vul) if vul_on else F.lit(0)
-    n_mal = F.count_if(mal) if mal_on else F.lit(0)
-    out = results.groupBy("session_id").agg(
-        F.count("*").alias("input_files"),
-        F.count_if(scored).alias("total_files"),
-        F.count_if(scored & safe).alias("safe_files"),
-        n_vul.cast("bigint").alias("vulnerable_files"),
-        n_mal.cast("bigint").alias("malicious_files"),
-        F.coalesce(F.sum(F.when(scored, F.col("analysis_time"))), F.lit(0.0)).alias(
+    if mode not in ("both", "vul", "mal"):
+        raise ValueError(f"unknown mode: {mode}")
+    vul, mal = "coalesce(is_vulnerable, false)", "coalesce(is_malicious, false)"
+    scored = "(is_vulnerable IS NOT NULL OR is_malicious IS NOT NULL)"
+    found = {"mal": mal, "vul": vul, "both": f"({vul} OR {mal})"}[mode]
+    counted = results.groupBy("session_id").agg(
+        F.expr("count(*)").alias("input_files"),
+        F.expr(f"count_if({scored})").alias("total_files"),
+        F.expr(f"count_if({scored} AND NOT {found})").alias("safe_files"),
+        F.expr(f"count_if({vul})" if mode != "mal" else "0L").alias("vulnerable_files"),
+        F.expr(f"count_if({mal})" if mode != "vul" else "0L").alias("malicious_files"),
+        F.expr(f"coalesce(sum(analysis_time) FILTER (WHERE {scored}), 0D)").alias(
             "analysis_duration"
         ),
     )
-    return out.withColumns(
-        {
-            "skipped_files": F.col("input_files") - F.col("total_files"),
-            "analysis_model": F.lit(MODEL_BERT if is_bert else MODEL_LSTM),
-            "vul_flag": F.col("vulnerable_files") > 0,
-            "mal_flag": F.col("malicious_files") > 0,
-            "is_bert": F.lit(is_bert),
-            "is_mal": F.lit(mode == "mal"),
-            "is_ml": F.lit(is_ml),
-            "is_safe": (F.col("vulnerable_files") == 0) & (F.col("malicious_files") == 0),
-        }
+    return counted.selectExpr(
+        "*",
+        "input_files - total_files AS skipped_files",
+        f"'{MODEL_BERT if is_bert else MODEL_LSTM}' AS analysis_model",
+        "vulnerable_files > 0 AS vul_flag",
+        "malicious_files > 0 AS mal_flag",
+        f"{str(is_bert).lower()} AS is_bert",
+        f"{str(mode == 'mal').lower()} AS is_mal",
+        f"{str(is_ml).lower()} AS is_ml",
+        "vulnerable_files = 0 AND malicious_files = 0 AS is_safe",
     )
 
 

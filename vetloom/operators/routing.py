@@ -31,38 +31,29 @@ def route_verdicts(results: DataFrame, engine: str, mode: str = "both") -> DataF
     analysis_time``.
     """
 
-    def row(task: str, flag: str, prob: str, hit: str, cwe: Column) -> Column:
-        flagged = F.coalesce(F.col(flag), F.lit(False))
-        word = F.when(flagged, hit).otherwise("Safe")
-        return F.struct(
-            F.lit(task).alias("task"),
-            F.when(flagged, task).otherwise(f"{task}_safe").alias("verdict"),
-            flagged.alias("flagged"),
-            word.alias("status"),
-            F.coalesce(F.col(prob), F.lit(0.0)).alias("probability"),
-            F.when(flagged, hit).alias("label"),
-            cwe.alias("cwe_label"),
-        )
-
-    cwe = F.coalesce(
-        F.col("cwe_label"), F.when(F.coalesce("is_vulnerable", F.lit(False)), "").otherwise("Safe")
-    )
+    def row(task: str, flag: str, prob: str, hit: str, cwe: str) -> str:
+        return f"""named_struct(
+            'task', '{task}', 'verdict', if({flag}, '{task}', '{task}_safe'), 'flagged', {flag},
+            'status', if({flag}, '{hit}', 'Safe'), 'probability', coalesce({prob}, 0D),
+            'label', if({flag}, '{hit}', NULL), 'cwe_label', {cwe})"""
+
+    vul, mal = "coalesce(is_vulnerable, false)", "coalesce(is_malicious, false)"
+    cwe = f"coalesce(cwe_label, if({vul}, '', 'Safe'))"
     rows = []
     if mode in ("both", "vul"):
-        rows.append(row("vul", "is_vulnerable", "vul_prob", "Vulnerable", cwe))
+        rows.append(row("vul", vul, "vul_prob", "Vulnerable", cwe))
     if mode in ("both", "mal"):
-        no_cwe = F.lit(None).cast("string")
-        rows.append(row("mal", "is_malicious", "mal_prob", "malicious", no_cwe))
+        rows.append(row("mal", mal, "mal_prob", "malicious", "CAST(NULL AS STRING)"))
     if not rows:
         raise ValueError(f"unknown mode: {mode}")
-    return results.select(
+    return results.selectExpr(
         "session_id",
         "file_path",
         "file_name",
         "file_size",
-        F.col("analysis_time"),
-        F.lit(engine).alias("engine"),
-        F.inline(F.array(*rows)),
+        "analysis_time",
+        f"'{engine}' AS engine",
+        f"inline(array({', '.join(rows)}))",
     )
 
 

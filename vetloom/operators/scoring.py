@@ -45,25 +45,21 @@ def with_chunk_count(
     return keyed.join(blocks, [key, "_block"]).drop("_block")
 
 
-def triangular_weight(idx: Column, n: Column) -> Column:
-    """1 at the middle window, falling to 0 at both ends, at least 0.1."""
-    centre = (n - 1) / F.lit(2.0)
-    distance = F.abs(idx - centre)
-    return F.greatest(
-        F.lit(0.1), 1.0 - distance / F.when(centre > 0, centre).otherwise(F.lit(1.0))
-    )
+def triangular_weight(idx: str = "chunk_idx", n: str = "n_chunks") -> str:
+    """SQL text: 1 at the middle window, falling to 0 at both ends, at least 0.1."""
+    centre = f"(({n} - 1) / 2D)"
+    return f"greatest(0.1D, 1D - abs({idx} - {centre}) / if({n} > 1, {centre}, 1D))"
 
 
-def exponential_weight(idx: Column, n: Column) -> Column:
-    return F.exp(F.lit(-0.1) * F.abs(idx - n / F.lit(2.0)))
+def exponential_weight(idx: str = "chunk_idx", n: str = "n_chunks") -> str:
+    return f"exp(-0.1D * abs({idx} - {n} / 2D))"
 
 
 def chunk_position_weights(df: DataFrame, key: str = "file_id") -> DataFrame:
     """Index, count and both position weights of every window."""
     df = with_chunk_count(df, key)
-    idx, n = F.col("chunk_idx"), F.col("n_chunks")
     return df.withColumns(
-        {"w_triangular": triangular_weight(idx, n), "w_exponential": exponential_weight(idx, n)}
+        {"w_triangular": F.expr(triangular_weight()), "w_exponential": F.expr(exponential_weight())}
     )
 
 
@@ -71,23 +67,21 @@ def agg_triangular(
     df: DataFrame, key: str = "file_id", probs: Sequence[str] = ("prob",)
 ) -> DataFrame:
     """0.7 of the centre-weighted mean and 0.3 of the maximum, for each probability column."""
-    df = with_chunk_count(df, key)
-    w = triangular_weight(F.col("chunk_idx"), F.col("n_chunks"))
+    w = triangular_weight()
     scores = [
-        (
-            0.7 * F.sum(F.col(p) * w) / F.greatest(F.sum(w), F.lit(1e-8)) + 0.3 * F.max(p)
+        F.expr(
+            f"0.7D * sum({p} * {w}) / greatest(sum({w}), 1e-8D) + 0.3D * max({p})"
         ).alias(p)
         for p in probs
     ]
-    return df.groupBy(key).agg(*scores)
+    return with_chunk_count(df, key).groupBy(key).agg(*scores)
 
 
 def agg_exponential(df: DataFrame, key: str = "file_id") -> DataFrame:
     """Per class: 0.6 of the weighted mean and 0.4 of the maximum; need not sum to 1."""
-    df = with_chunk_count(df, key)
-    w = exponential_weight(F.col("chunk_idx"), F.col("n_chunks"))
-    mean = F.sum(F.col("prob") * w) / F.sum(w)
-    return df.groupBy(key, "class_idx").agg((0.6 * mean + 0.4 * F.max("prob")).alias("prob"))
+    w = exponential_weight()
+    score = F.expr(f"0.6D * sum(prob * {w}) / sum({w}) + 0.4D * max(prob)")
+    return with_chunk_count(df, key).groupBy(key, "class_idx").agg(score.alias("prob"))
 
 
 def agg_max(df: DataFrame, key: str = "file_id", files: DataFrame | None = None) -> DataFrame:
@@ -131,8 +125,8 @@ def verdict(
     """``flagged`` and ``status``: above the threshold, or at least it when not ``strict``."""
     p = F.col(prob)
     flag = (p > threshold) if strict else (p >= threshold)
-    return df.withColumn("flagged", flag).withColumn(
-        "status", F.when(F.col("flagged"), positive).otherwise(negative)
+    return df.withColumns(
+        {"flagged": flag, "status": F.when(flag, positive).otherwise(negative)}
     )
 
 

@@ -7,29 +7,27 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import array_sum, let
 from ..operators.aggregates import session_summary
 from ..operators.features import package_features
 from ..operators.files import drop_empty_content
 from ..operators.joins import comprehensive_results, join_code_verdicts
 from ..operators.models import predict_packages
 from ..operators.routing import package_rows, route_verdicts
-from ..operators.scoring import agg_triangular, triangular_weight, verdict
+from ..operators.scoring import agg_triangular, triangular_weight
 from ..operators.windows import char_window_array, char_windows
 
 
-def triangular_score(probs: Column) -> Column:
-    """Triangular score of one file whose window probabilities are an array; no windows give 0."""
-
-    def score(p: Column) -> Column:
-        n = F.size(p)
-        weights = F.transform(p, lambda x, i: triangular_weight(i, n))
-        weighted = let(weights, lambda w: array_sum(
-            F.zip_with(p, w, lambda x, y: x * y)
-        ) / F.greatest(array_sum(w), F.lit(1e-8)))
-        return F.when(n > 0, 0.7 * weighted + 0.3 * F.array_max(p)).otherwise(0.0)
-
-    return let(probs, score)
+def triangular_score(probs: str) -> Column:
+    """Triangular score of one file whose window probabilities are the array column ``probs``."""
+    w = triangular_weight("i", f"size({probs})")
+    return F.expr(
+        f"""CASE WHEN size({probs}) > 0 THEN 0.7D * aggregate(
+              transform({probs}, (p, i) -> named_struct('p', p, 'w', {w})),
+              named_struct('s', 0D, 'w', 0D),
+              (acc, x) -> named_struct('s', acc.s + x.p * x.w, 'w', acc.w + x.w),
+              acc -> acc.s / greatest(acc.w, 1e-8D)) + 0.3D * array_max({probs})
+            ELSE 0D END"""
+    )
 
 
 def score_files_in_place(
@@ -43,14 +41,14 @@ def score_files_in_place(
     Windows are cut once and stay inside the row of their file, so no score needs a shuffle.
     """
     windows = char_window_array(F.col("content"), size, overlap)
-    columns = {
-        name: triangular_score(F.transform("_windows", score)) for name, score in scores.items()
-    }
+    probs = {f"_{name}": F.transform("_windows", score) for name, score in scores.items()}
+    columns = {name: triangular_score(f"_{name}") for name in scores}
     return (
         drop_empty_content(files)
         .withColumn("_windows", windows)
+        .withColumns(probs)
         .withColumns(columns)
-        .drop("_windows")
+        .drop("_windows", *probs)
     )
 
 
@@ -73,34 +71,30 @@ def file_verdicts(
     files: DataFrame, scores: DataFrame, threshold: float = 0.5, strict: bool = True
 ) -> DataFrame:
     """File columns without the text, with ``vul_prob, vul_flag, mal_prob, mal_flag``."""
-    judged = scores
+    test = ">" if strict else ">="
+    columns = ["file_id"]
     for side in ("vul", "mal"):
-        if f"{side}_prob" in scores.columns:
-            judged = verdict(judged, threshold, strict, prob=f"{side}_prob").withColumnRenamed(
-                "flagged", f"{side}_flag"
-            )
-        else:
-            judged = judged.withColumns(
-                {f"{side}_prob": F.lit(None).cast("double"), f"{side}_flag": F.lit(None).cast("boolean")}
-            )
-    return files.drop("content").join(judged.drop("status"), "file_id", "left")
+        known = f"{side}_prob" in scores.columns
+        p = f"{side}_prob" if known else "CAST(NULL AS DOUBLE)"
+        columns += [f"{p} AS {side}_prob", f"{p} {test} {threshold}D AS {side}_flag"]
+    return files.drop("content").join(scores.selectExpr(*columns), "file_id", "left")
 
 
 def store_rows(verdicts: DataFrame, engine: str, mode: str = "both") -> DataFrame:
     """Routed result rows of judged files."""
-    shaped = verdicts.select(
+    cwe = "cwe_label" if "cwe_label" in verdicts.columns else "CAST(NULL AS STRING) AS cwe_label"
+    time = "analysis_time" if "analysis_time" in verdicts.columns else "0D AS analysis_time"
+    shaped = verdicts.selectExpr(
         "session_id",
-        F.col("path").alias("file_path"),
-        F.col("name").alias("file_name"),
-        F.col("size").alias("file_size"),
-        F.col("vul_flag").alias("is_vulnerable"),
+        "path AS file_path",
+        "name AS file_name",
+        "size AS file_size",
+        "vul_flag AS is_vulnerable",
         "vul_prob",
-        F.col("cwe_label") if "cwe_label" in verdicts.columns
-        else F.lit(None).cast("string").alias("cwe_label"),
-        F.col("mal_flag").alias("is_malicious"),
+        cwe,
+        "mal_flag AS is_malicious",
         "mal_prob",
-        F.col("analysis_time") if "analysis_time" in verdicts.columns
-        else F.lit(0.0).alias("analysis_time"),
+        time,
     )
     return route_verdicts(shaped, engine, mode)
 
@@ -108,8 +102,8 @@ def store_rows(verdicts: DataFrame, engine: str, mode: str = "both") -> DataFram
 def session_log(routed: DataFrame, mode: str = "both", is_bert: bool = False) -> DataFrame:
     """Session log from routed rows: one row per file again, then one per session."""
     per_file = routed.groupBy("session_id", "file_path").agg(
-        F.max(F.when(F.col("task") == "vul", F.col("flagged"))).alias("is_vulnerable"),
-        F.max(F.when(F.col("task") == "mal", F.col("flagged"))).alias("is_malicious"),
+        F.expr("max(flagged) FILTER (WHERE task = 'vul')").alias("is_vulnerable"),
+        F.expr("max(flagged) FILTER (WHERE task = 'mal')").alias("is_malicious"),
         F.max("analysis_time").alias("analysis_time"),
     )
     return session_summary(per_file, mode, is_bert)
