@@ -45,12 +45,13 @@ def test_typosquat_flag(spark):
     }
 
 
-@pytest.mark.parametrize("kind", ["normal", "ties", "constant", "skewed"])
+@pytest.mark.parametrize("kind", ["normal", "ties", "two", "constant", "skewed"])
 def test_exact_quantiles(spark, kind):
     rng = np.random.default_rng(3)
     values = {
         "normal": rng.normal(size=4000),
         "ties": rng.integers(0, 5, 4000).astype(float),
+        "two": np.repeat([1.0, 2.0], [200, 3800]),
         "constant": np.full(4000, 2.5),
         "skewed": np.where(rng.random(4000) < 0.4, 0.0, np.exp(rng.normal(size=4000) * 5)),
     }[kind]

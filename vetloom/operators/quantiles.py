@@ -46,23 +46,18 @@ def exact_quantiles(
         (lo, hi), below, inside = brackets[i], counts[f"below{i}"], counts[f"inside{i}"]
         position = p * (n - 1)
         first, last = math.floor(position), math.ceil(position)
-        if not (below <= first and last < below + inside):
-            # The sketch missed; every row stays a candidate and the whole range is halved.
-            lo, hi, below, inside = head["lo"], head["hi"], 0, n
-            out.append(_interpolate(x, lo, hi, position - below, inside, small_rows, halve=True))
-        else:
+        held = below <= first and last < below + inside
+        if held and (inside <= small_rows or inside <= n / 2 or lo == hi):
             out.append(_interpolate(x, lo, hi, position - below, inside, small_rows))
+        else:
+            # The sketch missed, or equal values keep most rows inside: halve the value range.
+            ends = (lo, hi, below) if held else (head["lo"], head["hi"], 0)
+            out.append(_halve(x, *ends, position))
     return out
 
 
 def _interpolate(
-    x: DataFrame,
-    lo: float,
-    hi: float,
-    position: float,
-    inside: int,
-    small_rows: int,
-    halve: bool = False,
+    x: DataFrame, lo: float, hi: float, position: float, inside: int, small_rows: int
 ) -> float:
     """Value at a fractional position among the ``inside`` rows between ``lo`` and ``hi``."""
     if lo == hi or inside == 1:
@@ -71,10 +66,15 @@ def _interpolate(
     fraction = position / (inside - 1)
     if inside <= small_rows:
         return rows.agg(F.percentile("x", fraction)).first()[0]
-    if not halve:
-        return exact_quantiles(rows, "x", [fraction], small_rows)[0]
-    low = _order_statistic(rows, math.floor(position), lo, hi)
-    high = _order_statistic(rows, math.ceil(position), lo, hi)
+    return exact_quantiles(rows, "x", [fraction], small_rows)[0]
+
+
+def _halve(x: DataFrame, lo: float, hi: float, below: int, position: float) -> float:
+    """The same by value range only; ``below`` rows are smaller than ``lo``."""
+    low = _order_statistic(x, math.floor(position) - below, lo, hi)
+    high = low
+    if position != math.floor(position):
+        high = _order_statistic(x, math.ceil(position) - below, lo, hi)
     return low + (high - low) * (position - math.floor(position))
 
 

@@ -16,11 +16,13 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "128MB",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Archives and files go to Python in batches bounded by bytes, not only by rows.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "64MB",
 }
 
 
 def get_spark(app: str = "vetloom", master: str | None = None, **conf: str) -> SparkSession:
-    """Session with the library's settings; ``conf`` keys use ``_`` for ``.``-free overrides."""
+    """Session with the library's settings; ``conf`` overrides them."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
