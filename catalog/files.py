@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from vetloom.constants import CWE_CLASSES, STATUS_CODES, CWE_CODES, TRAINING_CWE_CODES
 from vetloom.functions import text as fn
 from vetloom.operators import files as op
+from vetloom.session import spread
 
 from .registry import FILES, PACKAGES, RESULTS, query
 
@@ -95,7 +96,8 @@ def strip_comments(t):
         F.lit("x = 1 # "), quotes, "content", quotes, F.lit(" y\n"), doubles, "name", doubles,
         F.lit("\n"), "content",
     )
-    return t.files.select("file_id", F.md5(fn.strip_comments(marked)).alias("code"))
+    files = spread(t.files.select("file_id", "name", "content"))
+    return files.select("file_id", F.md5(fn.strip_comments(marked)).alias("code"))
 
 
 @query("normalize_code", """
