@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from vetloom.functions.text import email_domain, is_valid_version, shannon_entropy
+from vetloom.functions.text import shannon_entropy
 from vetloom.operators import features as op
 from vetloom.operators.similarity import typosquat_flag, typosquat_pairs
 
