@@ -8,8 +8,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import slices, texts
 
@@ -140,20 +141,21 @@ def decode(margins: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, n
     return best, np.clip(score, 0, 1), gap
 
 
-def predict(docs: DataFrame, model: Model, doc: str = "doc_id", text: str = "text", ambiguous_below: float = 0.05) -> DataFrame:
-    """``doc``, ``lang_pred``, ``score`` (0 to 1) and ``ambiguous`` of every whole text.
+def identify(docs: DataFrame, model: Model, text: str = "text", ambiguous_below: float = 0.05) -> DataFrame:
+    """Every row with all its columns and ``_lang_pred``, ``_score`` (0 to 1) and ``_ambiguous``.
 
     ``und`` with score 0 if the text is null or has no letter, or if nothing was learned. A text is
-    ambiguous if two languages lie within ``ambiguous_below`` of each other. The language, the
-    source and the id of a row play no part; repeated rows stay; other columns are ignored.
+    ambiguous if two languages lie within ``ambiguous_below`` of each other. Only the text plays a
+    part; repeated rows stay.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # languages times buckets, whatever the number of rows
     known = len(model.langs) > 0
+    at_text = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for batch in slices(batches, 1):
-            raw = texts(batch.column(1))
+        for batch in slices(batches, at_text):
+            raw = texts(batch.column(at_text))
             lettered = np.array([bool(_LETTER.search(t.decode("utf-8", "replace"))) for t in raw], bool)
             pred = np.full(len(raw), UNKNOWN, dtype=object)
             score, unsure = np.zeros(len(raw)), np.ones(len(raw), bool)
@@ -163,10 +165,21 @@ def predict(docs: DataFrame, model: Model, doc: str = "doc_id", text: str = "tex
                 counts = np.stack([grams(raw[k]) for k in some]).astype(float)
                 best, s, gap = decode(counts @ m.weights / counts.sum(axis=1, keepdims=True), m)
                 pred[some], score[some], unsure[some] = np.array(m.langs, dtype=object)[best], s, gap < ambiguous_below
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(pred, pa.string()), pa.array(score), pa.array(unsure)],
-                names=["doc", "lang_pred", "score", "ambiguous"])
+            new = [pa.array(pred, pa.string()), pa.array(score), pa.array(unsure)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, "_lang_pred", "_score", "_ambiguous"])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField("_lang_pred", T.StringType()),
+                           T.StructField("_score", T.DoubleType()), T.StructField("_ambiguous", T.BooleanType())])
+    return docs.mapInArrow(run, schema)
+
+
+def predict(docs: DataFrame, model: Model, doc: str = "doc_id", text: str = "text", ambiguous_below: float = 0.05) -> DataFrame:
+    """``doc``, ``lang_pred``, ``score`` and ``ambiguous`` of every row; see ``identify``."""
+    slim = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"))
+    found = identify(slim, model, "text", ambiguous_below)
+    return found.select("doc", F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"), F.col("_ambiguous").alias("ambiguous"))
+
 
-    kind = docs.schema[doc].dataType.simpleString()
-    return docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")).mapInArrow(
-        run, f"doc {kind}, lang_pred string, score double, ambiguous boolean")
+def held_out(doc: Column) -> Column:
+    """Rows kept from learning: CRC-32 of the id as text leaves 1 when divided by 3; none without an id."""
+    return F.coalesce(F.pmod(F.crc32(doc.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))

@@ -83,6 +83,31 @@ def _threshold(rows: DataFrame, goals: DataFrame) -> DataFrame:
                         .otherwise(F.col("prefix") - 1).alias("cut"))
 
 
+def plan(rows: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
+    """Per source: ``_source``, ``source_size``, ``target``, ``whole`` and ``cut``.
+
+    The mix takes a document ``whole`` times and once more if its hash is at most ``cut``.
+    """
+    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    goals = targets(sizes, weights, most)
+    share = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
+    goals = keep(goals.withColumn("whole", F.least(share, F.lit(most)).cast("long")), "goals")
+    budgets = goals.select("source", (F.col("target") - F.col("whole") * F.col("source_size")).alias("budget"))
+    cuts = _threshold(rows, budgets.where("budget > 0")).withColumnRenamed("source", "_s")
+    found = goals.join(cuts, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
+    return keep(found.withColumnRenamed("source", "_source"), "plan")
+
+
+def _sized(docs: DataFrame, doc: str, text: str, source: str) -> DataFrame:
+    slim = docs.select(F.col(doc).alias("doc"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"),
+                       _hash(F.col(doc)).alias("hash"))
+    return keep(slim, "sizes")
+
+
+def _times(hashed: Column) -> Column:
+    return (F.col("whole") + F.when(hashed <= F.col("cut"), F.lit(1)).otherwise(F.lit(0))).cast("long")
+
+
 def mix(
     docs: DataFrame, doc: str = "doc_id", text: str = "text", source: str = "source",
     weights: tuple[float, ...] = (1, 2, 3), most: int = 3,
@@ -96,27 +121,20 @@ def mix(
     size zero; null is a source of its own; repeated rows share a hash and are taken alike; an empty
     table gives an empty result; other columns are ignored.
     """
-    rows = keep(
-        docs.select(F.col(doc).alias("doc"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"),
-                    _hash(F.col(doc)).alias("hash")),
-        "sizes",
-    )
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    goals = targets(sizes, weights, most)
-    share = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
-    goals = keep(goals.withColumn("whole", F.least(share, F.lit(most)).cast("long")), "goals")
-    budgets = goals.select("source", (F.col("target") - F.col("whole") * F.col("source_size")).alias("budget"))
-    cuts = _threshold(rows, budgets.where("budget > 0"))
-    plan = goals.join(cuts.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
-    plan = keep(plan.withColumnRenamed("source", "_source"), "plan")
-    once = F.when(F.col("hash") <= F.col("cut"), F.lit(1)).otherwise(F.lit(0))
-    taken = rows.join(plan, F.col("source").eqNullSafe(F.col("_source")))
-    return taken.select("doc", "source", "size", "source_size", "target", (F.col("whole") + once).cast("long").alias("times"))
-
-
-def mixed_documents(docs: DataFrame, doc: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
-    """``docs`` after mixing: rows the mix leaves out go, rows it takes k times come k times."""
-    plan = mix(docs, doc, text, source, **options)
-    once = keep(plan.groupBy(F.col("doc").alias("_doc"), F.col("source").alias("_source")).agg(F.max("times").alias("_times")), "times")
-    rows = docs.join(once, docs[doc].eqNullSafe(once._doc) & docs[source].eqNullSafe(once._source))
-    return rows.where("_times > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*docs.columns)
+    rows = _sized(docs, doc, text, source)
+    taken = rows.join(plan(rows, weights, most), F.col("source").eqNullSafe(F.col("_source")))
+    return taken.select("doc", "source", "size", "source_size", "target", _times(F.col("hash")).alias("times"))
+
+
+def mixed_documents(
+    docs: DataFrame, doc: str = "doc_id", text: str = "text", source: str = "source",
+    weights: tuple[float, ...] = (1, 2, 3), most: int = 3,
+) -> DataFrame:
+    """``docs`` after mixing: rows the mix leaves out go, rows it takes k times come k times.
+
+    Texts are not shuffled: each row is decided by its source's line of the plan and its own hash.
+    """
+    found = plan(_sized(docs, doc, text, source), weights, most)
+    rows = docs.join(found.select("_source", "whole", "cut"), docs[source].eqNullSafe(F.col("_source")))
+    rows = rows.withColumn("_times", _times(_hash(docs[doc])).cast("int")).where("_times > 0")
+    return rows.withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[docs[c] for c in docs.columns])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, simhash
+from . import bpe, language, mixing, simhash, suffixes
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,11 +27,11 @@ def query(name: str, sql: str | None = None):
 @query("op2_language_id")
 def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
-    model = language.fit(docs.where(~held & F.col("doc_id").isNotNull()))
+    model = language.fit(docs.where(~language.held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()))
     found = language.predict(docs, model)
-    held = F.coalesce(F.pmod(F.crc32(F.col("doc").cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
-    return found.select(F.col("doc").alias("doc_id"), held.alias("held_out"), "lang_pred", "score", "ambiguous")
+    return found.select(
+        F.col("doc").alias("doc_id"), language.held_out(F.col("doc")).alias("held_out"), "lang_pred", "score", "ambiguous"
+    )
 
 
 @query("op7_simhash_dedup")
@@ -88,3 +88,19 @@ def mixing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         F.col("doc").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken")
     )
+
+
+@query("op3_bpe")
+def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    found = bpe.encode_table(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return found.select(F.col("doc").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@query("op8_suffix_dedup")
+def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.remove_repeats(table(spark, sf_dir, "documents"), match=50)
+    return found.select(
+        "row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )

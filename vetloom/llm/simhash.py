@@ -225,3 +225,14 @@ def simhash_dedup(
     )
     labels = keep(labels, "labels")
     return prints.join(labels, prints.fp == labels._fp).select("doc", "fp", "component")
+
+
+def one_of_each(docs: DataFrame, doc: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates: the one with the smallest id.
+
+    Of repeated rows of that id one stays; rows without an id cannot stand for a group and all stay.
+    """
+    found = simhash_dedup(docs, doc, text, shingle, radius)
+    first = keep(found.where("doc = component").select(F.col("doc").alias("_doc")).distinct(), "first")
+    named = docs.join(first, docs[doc] == first._doc, "left_semi").dropDuplicates([doc])
+    return named.unionByName(docs.where(F.col(doc).isNull()))
