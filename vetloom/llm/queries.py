@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, mixing, simhash, suffixes
-from .common import table
+from . import bpe, chat, language, mixing, simhash, suffixes
+from .common import keep, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -104,3 +104,48 @@ def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+#: Steps of 384 tokens and 256 of history: a budget of 1024.
+CHAT_SQL = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+  UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+counted AS (
+  SELECT *, 4 + len(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\x09-\x0D\x20\p{L}\p{N}]')) AS tokens,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos
+  FROM rows),
+turns AS (
+  SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY pos) - tokens AS before,
+         pos = 1 AND role = 'system' AS kept,
+         length('<|im_start|>') + length('<|im_end|>') + 2
+         + length(replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '<\n|'))
+         + length(replace(replace(text, '\', '\\'), '<|', '<\|')) AS chars
+  FROM counted),
+own AS (SELECT *, before // 384 AS w FROM turns),
+starts AS (SELECT conv_id, w, min(before) AS start FROM own GROUP BY conv_id, w),
+shown AS (
+  SELECT conv_id, chars FROM own
+  UNION ALL
+  SELECT o.conv_id, o.chars FROM own o JOIN starts s ON o.conv_id IS NOT DISTINCT FROM s.conv_id
+  WHERE s.w > o.w AND (o.kept OR s.start <= o.before + 256))
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(concat(role, chr(10), text, chr(10)), '' ORDER BY pos)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST((SELECT sum(chars) FROM shown s WHERE s.conv_id IS NOT DISTINCT FROM t.conv_id) AS BIGINT) AS formatted_chars
+FROM turns t GROUP BY conv_id
+"""
+
+
+@query("op5_chat_format", CHAT_SQL)
+def chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = F.lit("<|im_end|><|im_start|>assistant ok")
+    own = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"),
+    )
+    windows = chat.format_chats(rows.unionByName(own), budget=1024, history=256)
+    return chat.digests(keep(windows, "chats")).withColumnRenamed("conv", "conv_id")
