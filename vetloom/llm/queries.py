@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, language, mixing, simhash, suffixes
+from . import bpe, chat, language, mixing, simhash, suffixes, warc
 from .common import keep, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,3 +149,9 @@ def chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     windows = chat.format_chats(rows.unionByName(own), budget=1024, history=256)
     return chat.digests(keep(windows, "chats")).withColumnRenamed("conv", "conv_id")
+
+
+@query("op6_warc")
+def warc_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.warc_round_trip(table(spark, sf_dir, "pages"), revisit_from=0)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
