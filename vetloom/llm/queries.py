@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, language, mixing, simhash, suffixes, warc
+from . import bpe, chat, embeddings, language, mixing, simhash, suffixes, warc
 from .common import keep, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -155,3 +155,9 @@ def chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def warc_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.warc_round_trip(table(spark, sf_dir, "pages"), revisit_from=0)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op1_embedding_dedup")
+def embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embeddings.embedding_dedup(table(spark, sf_dir, "embeddings"), threshold=0.95)
+    return found.select(F.col("vec").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
