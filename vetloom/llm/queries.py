@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embeddings, language, mixing, simhash, suffixes, warc
+from . import bpe, chat, embeddings, language, mixing, simhash, suffixes, topk, urls, warc
 from .common import keep, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -161,3 +161,79 @@ def warc_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = embeddings.embedding_dedup(table(spark, sf_dir, "embeddings"), threshold=0.95)
     return found.select(F.col("vec").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
+
+
+TOP_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+@query("op4_top_k", TOP_SQL)
+def top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+URL_SQL = r"""
+WITH captures AS (
+  SELECT page_id, url, CAST(DATE '2024-01-01' + CAST(page_id % 366 AS INTEGER) AS DATE) AS day,
+         rtrim(lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '.') AS host,
+         regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)', 1) AS path
+  FROM pages),
+named AS (SELECT *, host || CASE WHEN path = '' THEN '/' ELSE path END AS address, string_split(host, '.') AS labels FROM captures),
+listed AS (
+  SELECT DISTINCT 'block' AS list, 'domain' AS kind, host AS pattern, [0, 45, 120] AS steps FROM named WHERE host <> ''
+  UNION ALL SELECT DISTINCT 'allow', 'domain', array_to_string(labels[-2:], '.'), [150] FROM named WHERE host <> ''
+  UNION ALL SELECT DISTINCT 'block', 'url', address, [0, 30] FROM named WHERE host <> '' AND contains(path, '?')),
+dated AS (
+  SELECT list, kind, pattern, DATE '2024-01-01' + CAST(CAST('0x' || substr(md5(pattern), 1, 4) AS INTEGER) % 200 AS INTEGER) AS d, steps
+  FROM listed),
+spans AS (
+  SELECT list, kind, pattern, CAST(d + steps[1] AS DATE) AS since, CAST(d + steps[2] AS DATE) AS until FROM dated
+  UNION ALL SELECT list, kind, pattern, CAST(d + steps[3] AS DATE), NULL FROM dated WHERE len(steps) > 2),
+asked AS (
+  SELECT page_id, day, 'url' AS kind, address AS pattern, 1000 AS depth FROM named WHERE host <> ''
+  UNION ALL
+  SELECT page_id, day, 'domain', array_to_string(labels[-n:], '.'), n
+  FROM (SELECT page_id, day, labels, unnest(range(1, len(labels) + 1)) AS n FROM named WHERE host <> '')),
+best AS (
+  SELECT page_id, list, pattern, since,
+         row_number() OVER (PARTITION BY page_id ORDER BY depth DESC, list DESC, since DESC) AS r
+  FROM asked JOIN spans USING (kind, pattern) WHERE since <= day AND (until IS NULL OR day < until))
+SELECT c.page_id, c.day, coalesce(b.list = 'block', false) AS blocked, b.list AS by_list, b.pattern AS by_pattern, b.since
+FROM captures c LEFT JOIN best b ON c.page_id = b.page_id AND b.r = 1
+"""
+
+
+def url_lists(pages: DataFrame) -> DataFrame:
+    """Dated entries for every host, every registered domain and every address with a query string of ``pages``."""
+    host, address = urls.host_of(F.col("url")), urls.address_of(F.col("url"))
+    named = pages.select(host.alias("host"), address.alias("address")).where("host <> ''")
+    domain = F.array_join(F.slice(F.split("host", r"\."), F.greatest(-F.size(F.split("host", r"\.")), F.lit(-2)), 2), ".")
+
+    def entries(rows, kind, pattern, name, steps):
+        start = F.conv(F.substring(F.md5(F.col("pattern").cast("binary")), 1, 4), 16, 10).cast("int") % 200
+        listed = rows.select(F.lit(name).alias("list"), F.lit(kind).alias("kind"), pattern.alias("pattern")).distinct()
+        dated = listed.withColumn("s", F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.lit(a).alias("action")) for d, a in steps])))
+        return dated.select("list", "kind", "pattern", F.date_add(F.to_date(F.lit("2024-01-01")), start + F.col("s.d")).alias("day"), "s.action")
+
+    hosts = entries(named, "domain", F.col("host"), "block", [(0, "add"), (45, "remove"), (120, "add")])
+    domains = entries(named, "domain", domain, "allow", [(150, "add")])
+    tagged = entries(named.where(F.contains(F.col("address"), F.lit("?"))), "url", F.col("address"), "block", [(0, "add"), (30, "remove")])
+    return hosts.unionByName(domains).unionByName(tagged)
+
+
+@query("op9_url_filter", URL_SQL)
+def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    captures = pages.withColumn("day", F.date_add(F.to_date(F.lit("2024-01-01")), (F.col("page_id") % 366).cast("int")))
+    return urls.judge(captures, url_lists(pages)).select("page_id", "day", "blocked", "by_list", "by_pattern", "since")
