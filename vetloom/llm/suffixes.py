@@ -34,7 +34,7 @@ GROUP_BYTES, SHARD_BYTES, PIECE = 4 << 20, 4 << 20, 1 << 20
 #: Places beyond which an anchor's windows are dealt out one by one.
 HOT = 2000
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-_KEY_BITS, _PLACE_BITS = 40, 22
+_KEY_BITS, _PLACE_BITS = 32, 22
 _HOT_BIT = np.uint64(1) << np.uint64(63)
 
 
@@ -102,7 +102,7 @@ def windows(pieces: list[bytes], match: int, gram: int = GRAM) -> tuple[np.ndarr
 
 
 def _keys(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket, and bucket with 40 more bits. The low bits have no part in the choice of anchors."""
+    """Bucket, and bucket with 32 more bits. The low bits have no part in the choice of anchors."""
     bits = np.uint64(buckets.bit_length() - 1)
     bucket = hashes & np.uint64(buckets - 1)
     return bucket, (bucket << np.uint64(_KEY_BITS)) | ((hashes >> bits) & np.uint64((1 << _KEY_BITS) - 1))
@@ -123,8 +123,17 @@ def _pieces(rows: list[bytes], match: int):
         yield some
 
 
-def _bytes(a: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a).tobytes())
+def _bytes(a: np.ndarray | bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(a if isinstance(a, bytes) else np.ascontiguousarray(a).tobytes())
+
+
+def _turns(docs: list[int | None], tags: np.ndarray) -> np.ndarray:
+    """0 for the first text of an id in order of its hash, 1 for the second, ...; rows of one id share a group."""
+    by_doc: dict[int | None, set[int]] = {}
+    for d, t in zip(docs, tags.tolist()):
+        by_doc.setdefault(d, set()).add(t)
+    several = {d: sorted(t) for d, t in by_doc.items() if d is not None and len(t) > 1}
+    return np.array([several[d].index(t) if d in several else 0 for d, t in zip(docs, tags.tolist())], np.int64)
 
 
 def _array(data: bytes, kind) -> np.ndarray:
@@ -194,7 +203,7 @@ def _shared_anchors(hot: int):
 
 def _send(match: int, buckets: int, shards: int):
     schema = pa.schema([("shard", pa.int32()), ("strings", pa.binary()), ("lengths", pa.binary()), ("string", pa.binary()),
-                        ("g", pa.int32()), ("doc", pa.binary()), ("tag", pa.binary()), ("place", pa.binary())])
+                        ("g", pa.int32()), ("doc", pa.binary()), ("turn", pa.binary()), ("place", pa.binary())])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         """Windows of a document group that have a shared anchor, packed by shard."""
@@ -204,7 +213,8 @@ def _send(match: int, buckets: int, shards: int):
         wanted.sort()
         hot = wanted[wanted >= _HOT_BIT] ^ _HOT_BIT
         wanted = np.sort(wanted & ~_HOT_BIT)
-        docs, tags = left.column("doc").to_pylist(), left.column("tag").to_numpy()
+        docs = left.column("doc").to_pylist()
+        turns = _turns(docs, left.column("tag").to_numpy())
         found: dict[int, tuple[dict[bytes, int], list[tuple[int, int, int]]]] = {}
         raw = texts(left.column("text").combine_chunks())
         known = [b"" if d is None else t for d, t in zip(docs, raw)]
@@ -226,8 +236,8 @@ def _send(match: int, buckets: int, shards: int):
         g = left.column("g")[0].as_py()
         for s, (strings, entries) in found.items():
             e = np.array(entries, np.int64)
-            out.append((s, zstandard.ZstdCompressor(level=1).compress(b"".join(strings)), _bytes(np.array([*map(len, strings)], "<u4")),
-                        _bytes(e[:, 0].astype("<u4")), g, _bytes(np.array([docs[r] for r in e[:, 1]], "<i8")), _bytes(tags[e[:, 1]]), _bytes(e[:, 2])))
+            out.append((s, _bytes(b"".join(strings)), _bytes(np.array([*map(len, strings)], "<u4")),
+                        _bytes(e[:, 0].astype("<u4")), g, _bytes(np.array([docs[r] for r in e[:, 1]], "<i8")), _bytes(turns[e[:, 1]]), _bytes(e[:, 2])))
         return pa.Table.from_pylist([dict(zip(schema.names, o)) for o in out], schema=schema)
 
     return run
@@ -262,7 +272,7 @@ def suffix_array(words: np.ndarray) -> np.ndarray:
     yet told apart are sorted by the rank of what follows, which doubles the depth.
     """
     n = len(words)
-    order = np.argsort(words, kind="stable")
+    order = np.argsort(words)
     sorted_words = words[order]
     start = np.r_[True, sorted_words[1:] != sorted_words[:-1]]
     rank = np.empty(n + 1, np.int64)
@@ -276,7 +286,7 @@ def suffix_array(words: np.ndarray) -> np.ndarray:
     while len(open_at):
         suffix = order[open_at]
         key = (rank[suffix] << np.int64(32)) + rank[np.minimum(suffix + depth, n)] + 1
-        by = np.argsort(key, kind="stable")
+        by = np.argsort(key)
         key, suffix = key[by], suffix[by]
         order[open_at] = suffix
         start = np.r_[True, key[1:] != key[:-1]]
@@ -332,8 +342,8 @@ def repeats_previous(words: np.ndarray, order: np.ndarray, match: int) -> np.nda
 def first_holders(strings: list[bytes], holder: np.ndarray, match: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Smallest holder of every window of some strings.
 
-    Returns string and offset of each window, its smallest holder among these strings, and its place
-    in the order of windows (equal windows share a place, counted from 0).
+    Returns string and offset of each window, its smallest holder among these strings, and a number
+    that equal windows share and that orders the others.
     """
     lengths = np.array([len(s) for s in strings], np.int64)
     starts = np.cumsum(lengths + 1) - lengths - 1
@@ -348,8 +358,7 @@ def first_holders(strings: list[bytes], holder: np.ndarray, match: int) -> tuple
     group[order] = np.cumsum(apart) - 1
     offset = np.arange(len(symbols)) - starts[string]
     at = np.flatnonzero(offset <= lengths[string] - match)
-    _, place = np.unique(group[at], return_inverse=True)
-    return string[at], offset[at], smallest[group[at]], place
+    return string[at], offset[at], smallest[group[at]], group[at]
 
 
 def merge_runs(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -377,22 +386,22 @@ def smallest_holders(strings: list[bytes], holder: np.ndarray, match: int, part_
     if len(parts) > 1:
         runs = []
         for string, offset, least, place in parts:
-            _, first = np.unique(place, return_index=True)
+            _, first, inverse = np.unique(place, return_index=True, return_inverse=True)
             keys = np.array([strings[s][o : o + match] for s, o in zip(string[first].tolist(), offset[first].tolist())], f"S{match}")
-            runs.append((keys, least[first]))
-        keys, least = merge_runs(runs)
-        for part, (own, _) in zip(parts, runs):
-            part[2] = least[np.searchsorted(keys, own)][part[3]]
+            runs.append((keys, least[first], inverse))
+        keys, least = merge_runs([r[:2] for r in runs])
+        for part, (own, _, inverse) in zip(parts, runs):
+            part[2] = least[np.searchsorted(keys, own)][inverse]
     return tuple(np.concatenate([p[i] for p in parts]) for i in range(3))
 
 
 def _resolve(match: int):
-    schema = pa.schema([("g", pa.int32()), ("doc", pa.binary()), ("tag", pa.binary()), ("start", pa.binary()), ("end", pa.binary())])
+    schema = pa.schema([("g", pa.int32()), ("doc", pa.binary()), ("turn", pa.binary()), ("start", pa.binary()), ("end", pa.binary())])
 
     def run(rows: pa.Table) -> pa.Table:
         """Covered spans of the documents that sent windows to a shard."""
         known: dict[bytes, int] = {}
-        string, group, doc, tag, place = [], [], [], [], []
+        string, group, doc, turn, place = [], [], [], [], []
         for r in rows.to_pylist():
             data, ids, at = zstandard.ZstdDecompressor().decompress(r["strings"]), [], 0
             for n in _array(r["lengths"], "<u4").tolist():
@@ -401,9 +410,9 @@ def _resolve(match: int):
             string.append(np.array(ids, np.int64)[_array(r["string"], "<u4")])
             group.append(np.full(len(string[-1]), r["g"], np.int32))
             doc.append(_array(r["doc"], "<i8"))
-            tag.append(_array(r["tag"], "<i8"))
+            turn.append(_array(r["turn"], "<i8"))
             place.append(_array(r["place"], "<i8"))
-        string, group, doc, tag, place = map(np.concatenate, (string, group, doc, tag, place))
+        string, group, doc, turn, place = map(np.concatenate, (string, group, doc, turn, place))
         strings = list(known)
         lengths = np.array([len(s) for s in strings], np.int64)
         holder = np.full(len(strings), np.iinfo(np.int64).max)
@@ -420,16 +429,16 @@ def _resolve(match: int):
         own = np.flatnonzero(doc == holder[string])
         times = count[string[own]]
         entry = np.repeat(own, times)
-        turn = np.arange(len(entry)) - np.repeat(np.cumsum(times) - times, times) + first[string[entry]]
+        run = np.arange(len(entry)) - np.repeat(np.cumsum(times) - times, times) + first[string[entry]]
         # In every other document the whole string is covered.
         later = np.flatnonzero(doc > holder[string])
         entries = np.r_[later, entry]
-        start = np.r_[place[later], place[entry] + run_start[turn]] if len(entries) else place[:0]
-        end = np.r_[place[later] + lengths[string[later]], place[entry] + run_end[turn]] if len(entries) else place[:0]
+        start = np.r_[place[later], place[entry] + run_start[run]] if len(entries) else place[:0]
+        end = np.r_[place[later] + lengths[string[later]], place[entry] + run_end[run]] if len(entries) else place[:0]
         out = []
         for g, i in _split(np.argsort(group[entries], kind="stable"), group[entries]):
             e = entries[i]
-            out.append((g, _bytes(doc[e]), _bytes(tag[e]), _bytes(start[i]), _bytes(end[i])))
+            out.append((g, _bytes(doc[e]), _bytes(turn[e]), _bytes(start[i]), _bytes(end[i])))
         return pa.Table.from_pylist([dict(zip(schema.names, o)) for o in out], schema=schema)
 
     return run
@@ -460,14 +469,15 @@ def _remove(row_type: pa.DataType, whole: bool):
         spans: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
         if right.num_rows:
             rows = right.to_pylist()
-            doc, tag, start, end = (np.concatenate([_array(r[c], "<i8") for r in rows]) for c in ("doc", "tag", "start", "end"))
-            order = np.lexsort((tag, doc))
-            cuts = np.flatnonzero((np.diff(doc[order]) != 0) | (np.diff(tag[order]) != 0)) + 1
+            doc, turn, start, end = (np.concatenate([_array(r[c], "<i8") for r in rows]) for c in ("doc", "turn", "start", "end"))
+            order = np.lexsort((turn, doc))
+            cuts = np.flatnonzero((np.diff(doc[order]) != 0) | (np.diff(turn[order]) != 0)) + 1
             for at in np.split(order, cuts):
-                spans[int(doc[at[0]]), int(tag[at[0]])] = merge_spans(start[at], end[at])
+                spans[int(doc[at[0]]), int(turn[at[0]])] = merge_spans(start[at], end[at])
         raw = texts(left.column("text").combine_chunks())
         removed, count, kept = [], [], []
-        for d, t, text in zip(left.column("doc").to_pylist(), left.column("tag").to_pylist(), raw):
+        docs = left.column("doc").to_pylist()
+        for d, t, text in zip(docs, _turns(docs, left.column("tag").to_numpy()).tolist(), raw):
             start, end = spans.get((d, t), ((), ()))
             edges = [0, *np.c_[start, end].ravel().tolist(), len(text)] if len(start) else [0, len(text)]
             parts = [text[a:b] for a, b in zip(edges[::2], edges[1::2])]
@@ -513,8 +523,8 @@ def remove_repeats(docs: DataFrame, doc: str = "doc_id", text: str = "text", mat
     grouped = base.groupBy("g")
     sent = grouped.cogroup(shared.groupBy("g")).applyInArrow(
         _send(match, buckets, shards),
-        "shard int, strings binary, lengths binary, string binary, g int, doc binary, tag binary, place binary")
-    spans = sent.groupBy("shard").applyInArrow(_resolve(match), "g int, doc binary, tag binary, start binary, end binary")
+        "shard int, strings binary, lengths binary, string binary, g int, doc binary, turn binary, place binary")
+    spans = sent.groupBy("shard").applyInArrow(_resolve(match), "g int, doc binary, turn binary, start binary, end binary")
     kind = base.schema["row"].dataType
     return grouped.cogroup(spans.groupBy("g")).applyInArrow(
         _remove(to_arrow_type(kind), whole),
