@@ -64,8 +64,9 @@ class Merges:
         self.pieces |= {i: t.encode() for t, i in self.special.items()}
         self.single = [ids[c] for c, _ in sorted(byte.items(), key=lambda x: x[1])]
         pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
-        #: Rank and result of the merge of two ids.
-        self.merge = {(ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in enumerate(pairs)}
+        #: Rank of the merge of two ids, and what it results in.
+        self.ranks = {(ids[a], ids[b]): rank for rank, (a, b) in enumerate(pairs)}
+        self.results = [ids[a + b] for a, b in pairs]
 
     @cached_property
     def lookahead(self) -> int:
@@ -79,7 +80,8 @@ class Merges:
         """
         reach = dict.fromkeys(self.pieces, 0)
         most = max(map(len, self.pieces.values()))
-        for (x, y), (_, xy) in self.merge.items():
+        for (x, y), rank in self.ranks.items():
+            xy = self.results[rank]
             moved = len(self.pieces[x]) + reach[y]
             most = max(most, moved)
             reach[xy] = max(reach[xy], reach[x], moved)
@@ -91,36 +93,36 @@ class Merges:
         ids = [self.single[b] for b in piece]
         if len(ids) > 48:
             return self._encode_long(ids)
-        get = self.merge.get
-        while len(ids) > 1:
-            best = min((get(p, (1 << 30, 0)) for p in zip(ids, ids[1:])))
-            if best[0] == 1 << 30:
-                break
-            i = 0
-            while i < len(ids) - 1:
-                if get((ids[i], ids[i + 1])) == best:
-                    ids[i : i + 2] = [best[1]]
-                i += 1
+        get, none = self.ranks.get, len(self.results)
+        ranks = [get(pair, none) for pair in zip(ids, ids[1:])]
+        while ranks and (rank := min(ranks)) < none:
+            i = ranks.index(rank)
+            ids[i] = self.results[rank]
+            del ids[i + 1], ranks[i]
+            if i < len(ranks):
+                ranks[i] = get((ids[i], ids[i + 1]), none)
+            if i:
+                ranks[i - 1] = get((ids[i - 1], ids[i]), none)
         return ids
 
     def _encode_long(self, ids: list[int]) -> list[int]:
         """The same with a heap of the possible merges and links to the neighbours."""
-        n, get = len(ids), self.merge.get
+        n, get = len(ids), self.ranks.get
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(m[0], i, ids[i], ids[i + 1]) for i in range(n - 1) if (m := get((ids[i], ids[i + 1])))]
+        heap = [(m, i, ids[i], ids[i + 1]) for i in range(n - 1) if (m := get((ids[i], ids[i + 1]))) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b = heapq.heappop(heap)
+            rank, i, a, b = heapq.heappop(heap)
             j = after[i]
             if ids[i] != a or j >= n or ids[j] != b:
                 continue
-            ids[i], ids[j] = self.merge[a, b][1], -1
+            ids[i], ids[j] = self.results[rank], -1
             after[i] = after[j]
             if after[i] < n:
                 before[after[i]] = i
             for k in (before[i], i):
-                if k >= 0 and after[k] < n and (m := get((ids[k], ids[after[k]]))):
-                    heapq.heappush(heap, (m[0], k, ids[k], ids[after[k]]))
+                if k >= 0 and after[k] < n and (m := get((ids[k], ids[after[k]]))) is not None:
+                    heapq.heappush(heap, (m, k, ids[k], ids[after[k]]))
         return [i for i in ids if i >= 0]
 
 
@@ -152,16 +154,17 @@ class Transducer:
 
 
 class _Memo(dict):
-    """Ids of a word as little-endian unsigned 32-bit integers."""
+    """Ids of a word as little-endian unsigned 32-bit integers; words not met for long are forgotten."""
 
     def __init__(self, merges: Merges):
         super().__init__()
-        self.merges = merges
+        self.merges, self.older = merges, {}
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= MEMO:
+        if len(self) >= MEMO // 2:
+            self.older = dict(self)
             self.clear()
-        self[word] = out = _packed(self.merges.encode(word.encode()))
+        self[word] = out = self.older.get(word) or _packed(self.merges.encode(word.encode()))
         return out
 
 
@@ -292,7 +295,7 @@ def encode_table(docs: DataFrame, path: str, doc: str = "doc_id", text: str = "t
         run, f"doc {kind}, ids binary, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
-def decode_table(tokens: DataFrame, path: str, doc: str = "doc_id", ids: str = "ids", chunk: int = 1 << 14) -> DataFrame:
+def decode_table(tokens: DataFrame, path: str, doc: str = "doc", ids: str = "ids", chunk: int = 1 << 14) -> DataFrame:
     """``doc`` and ``text`` decoded from packed ``ids``; null counts as no ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -107,8 +107,10 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     sums = rows.mapInArrow(_counts, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     got = sums.toPandas()
     langs = sorted(got["lang"].unique())
+    if not langs:
+        return Model([], np.ones((0, 1), int), np.zeros((BUCKETS, 1)), np.zeros(1))
     counts = np.zeros((len(langs), BUCKETS))
-    counts[np.searchsorted(langs, got["lang"].to_numpy(dtype=object)) if langs else [], got["bucket"]] = got["n"]
+    counts[np.searchsorted(langs, got["lang"].to_numpy(dtype=object)), got["bucket"]] = got["n"]
     code = codewords(len(langs))
     shares = (counts + 0.5) / (counts + 0.5).sum(axis=1, keepdims=True)
     weights = np.zeros((BUCKETS, code.shape[1]))
