@@ -86,9 +86,10 @@ def inflate(read: Callable[[int], bytes]) -> Iterator[bytes]:
                 inflater, fresh = zlib.decompressobj(31), True
             yield inflater.decompress(data, CHUNK)
             fresh = False
-            while inflater.unconsumed_tail:
+            while inflater.unconsumed_tail and not inflater.eof:
                 yield inflater.decompress(inflater.unconsumed_tail, CHUNK)
             data = inflater.unused_data
+    yield inflater.flush()
     if not fresh and not inflater.eof:
         raise ValueError("the gzip stream is cut off")
 
