@@ -15,7 +15,7 @@ from .simhash import find
 from .vectors import rows_of
 
 #: Vectors that the cells are fitted on, vectors a cell is meant to hold, most cells, rows of a block.
-SAMPLE, CELL, MOST_CELLS, BLOCK = 8192, 512, 512, 2048
+SAMPLE, CELL, MOST_CELLS, BLOCK = 8192, 2048, 512, 2048
 
 
 def unit(x: np.ndarray | None) -> bytes | None:
