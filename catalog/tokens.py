@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from vetloom.functions.vectors import array_sum
+from vetloom.constants import PYTHON_KEYWORDS
 from vetloom.operators import tokens as op
 from vetloom.operators.windows import char_windows, token_windows
 from vetloom.session import spread
@@ -42,10 +43,35 @@ def word_tokens(t):
     return tokens(t).select("file_id", F.size("tokens").alias("n"), joined)
 
 
-@query("lexical_tokens")
+_LEXEME = op.LEXEME.replace("'", "''")
+
+
+@query("lexical_tokens", f"""
+WITH lexemes AS (
+  SELECT doc_id AS file_id, regexp_extract_all(concat(text, chr(10)), '{_LEXEME}') AS l FROM documents),
+rows AS (
+  SELECT file_id, unnest(range(len(l))) AS k, unnest(l) AS token FROM lexemes),
+kept AS (
+  SELECT *, regexp_matches(token, '^\r?\n') AS is_end,
+    sum(CASE WHEN token IN ('(', '[', '{{') THEN 1 WHEN token IN (')', ']', '}}') THEN -1 ELSE 0 END)
+      OVER (PARTITION BY file_id ORDER BY k) AS depth
+  FROM rows WHERE token[1] <> '#' AND token[1:3] <> repeat(chr(39), 3) AND token[1:3] <> repeat('"', 3)),
+ends AS (
+  SELECT *, lead(is_end) OVER (PARTITION BY file_id ORDER BY k) AS follows FROM kept WHERE NOT is_end OR depth <= 0),
+sized AS (
+  SELECT *, CASE WHEN is_end THEN length(replace(replace(token, chr(10), ''), chr(13), '')) END AS width,
+    max(CAST(NOT is_end AS INTEGER)) OVER (PARTITION BY file_id ORDER BY k) AS seen
+  FROM ends WHERE NOT is_end OR coalesce(NOT follows, true)),
+marked AS (
+  SELECT *, coalesce(lag(width) OVER (PARTITION BY file_id, is_end ORDER BY k), 0) AS before FROM sized),
+told AS (
+  SELECT file_id, k, 0 AS part, CASE WHEN is_end THEN '<EOL>' ELSE token END AS token FROM marked WHERE NOT is_end OR seen = 1
+  UNION ALL
+  SELECT file_id, k, 1, CASE WHEN width > before THEN '<INDENT>' ELSE '<DEDENT>' END
+  FROM marked WHERE is_end AND follows IS NOT NULL AND width <> before)
+SELECT file_id, CAST(row_number() OVER (PARTITION BY file_id ORDER BY k, part) - 1 AS INTEGER) AS pos, token FROM told""")
 def lexical_tokens(t):
-    df = op.lexical_tokens(spread(t.files.select("file_id", "content")))
-    return df.select("file_id", F.size("tokens").alias("n_tokens"))
+    return op.lexical_tokens(t.files.select("file_id", "content"))
 
 
 @query("char_windows", f"""
@@ -164,12 +190,35 @@ def first_appearance_rank(t):
     return op.first_appearance_rank(tokens(t))
 
 
-@query("canonicalize_identifiers")
+_KEYWORDS = ", ".join(f"'{w.lower()}'" for w in PYTHON_KEYWORDS)
+
+
+@query("canonicalize_identifiers", f"""
+WITH lowered AS (
+  SELECT doc_id AS file_id, replace(lower(text), ':', concat(':', chr(1))) AS code FROM documents WHERE text IS NOT NULL),
+cut AS (
+  SELECT file_id, string_split_regex(code, '(^|[^\p{{L}}\p{{N}}_])(if|while|for)[\x09-\x0D\x20]+[^:]+:') AS texts,
+    regexp_extract_all(code, '(^|[^\p{{L}}\p{{N}}_])(if|while|for)[\x09-\x0D\x20]+[^:]+:', 1) AS pre,
+    regexp_extract_all(code, '(^|[^\p{{L}}\p{{N}}_])(if|while|for)[\x09-\x0D\x20]+[^:]+:', 2) AS heads
+  FROM lowered),
+flat AS (
+  SELECT file_id, trim(regexp_replace(replace(array_to_string(list_transform(range(1, len(texts) + 1),
+    lambda i: concat(texts[i], pre[i], CASE WHEN i <= len(heads) THEN concat(heads[i], ' cond', i, ':') END)), ''), chr(1), ''),
+    '[\x09-\x0D\x1c-\x20]+', ' ', 'g')) AS code FROM cut),
+pieces AS (
+  SELECT file_id, string_split_regex(code, '[\p{{L}}\p{{N}}_]+') AS gaps, regexp_extract_all(code, '[\p{{L}}\p{{N}}_]+') AS words FROM flat),
+placed AS (
+  SELECT file_id, unnest(range(1, len(words) + 1)) AS pos, unnest(words) AS word, unnest(gaps[2:]) AS gap FROM pieces),
+firsts AS (
+  SELECT file_id, word, min(pos) AS p FROM placed
+  WHERE regexp_full_match(word, '[a-z_][a-z0-9_]*') AND word[1:4] <> 'cond' AND word NOT IN ({_KEYWORDS}) GROUP BY 1, 2),
+names AS (SELECT file_id, word, concat('a', row_number() OVER (PARTITION BY file_id ORDER BY p)) AS name FROM firsts),
+joined AS (
+  SELECT file_id, string_agg(concat(coalesce(name, word), gap), '' ORDER BY pos) AS tail
+  FROM placed LEFT JOIN names USING (file_id, word) GROUP BY 1)
+SELECT file_id, concat(gaps[1], tail) AS code FROM pieces LEFT JOIN joined USING (file_id)""")
 def canonicalize_identifiers(t):
-    files = spread(t.files.select("file_id", "content"))
-    return files.select(
-        "file_id", op.canonicalize_identifiers(F.col("content")).alias("code")
-    )
+    return op.canonicalize_identifiers(t.files.select("file_id", "content"))
 
 
 @query("corpus_stats", """

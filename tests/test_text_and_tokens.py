@@ -1,16 +1,11 @@
-import io
-import pathlib
-import tokenize
-
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from vetloom.functions import text as fn
-from vetloom.functions.lexer import canonical_code, lexical_tokens
 from vetloom.operators.files import fill_author, parse_metadata
-from vetloom.operators.tokens import fix_length, word_tokens
+from vetloom.operators.tokens import canonicalize_identifiers, fix_length, lexical_tokens, word_tokens
 from vetloom.operators.windows import char_windows, token_windows
 
 
@@ -109,79 +104,47 @@ def test_token_windows(spark):
             assert got == (expected if cap is None else expected[:cap])
 
 
-SNIPPETS = [
-    "x = 1\n",
-    "x = 1",
-    "if a:\n    b = 1\nc = 2\n",
-    "def f(a,\n      b):\n    # note\n    return a >= b ** 2  # end\n\n\nclass C:\n\tpass\n",
-    "if a:\n  if b:\n    c\n  d\ne\n",
-    'x = "#1" + \'y\'\n',
-    "a = [1,\n\n  # c\n  2]\nb = {'k': 0x1F, 'j': 1_0.5e-3j}\n",
-    "x = a \\\n  + b\ny -> z := ... != <<= //\n",
-    "   \n\n# only\n",
-    "while x: y\n",
-    'r = rb"a" u"b"\n',
-    "x = 1\n   ",
+LEXED = [
+    ("a = 1\nif a:\n    b()  # c\n\nd\n", "a = 1 <EOL> if a : <EOL> <INDENT> b ( ) <EOL> <DEDENT> d <EOL>"),
+    ("f(1,\n   [2,\n3])\nx", "f ( 1 , [ 2 , 3 ] ) <EOL> x <EOL>"),
+    ("# only\n\n   \n", ""),
+    ("\n\n  a\n", "<INDENT> a <EOL>"),
+    ('"""doc\nmore"""\nx = "s#t" + \'q\'\n', 'x = "s#t" + \'q\' <EOL>'),
+    ("a **= 2.5 // b != c -> d\r\ne", "a **= 2.5 // b != c -> d <EOL> e <EOL>"),
+    ("while x:\n  if y:\n    z\nw", "while x : <EOL> <INDENT> if y : <EOL> <INDENT> z <EOL> <DEDENT> w <EOL>"),
+    ("été = 'öpen\n", "été = ' öpen <EOL>"),
 ]
 
 
-def expected_tokens(code):
-    """Tokens by the standard lexer, reshaped; for code whose strings are plain."""
-    out = []
-    for tok in tokenize.generate_tokens(io.StringIO(code).readline):
-        if tok.type in (tokenize.ENDMARKER, tokenize.NL, tokenize.COMMENT):
-            continue
-        marks = {tokenize.NEWLINE: "<EOL>", tokenize.INDENT: "<INDENT>", tokenize.DEDENT: "<DEDENT>"}
-        if tok.type == tokenize.STRING and tok.string[:3] in ("'''", '"""'):
-            continue
-        out.append(marks.get(tok.type, tok.string))
-    return out
-
-
-@pytest.mark.parametrize("code", SNIPPETS[:-1])
-def test_lexer_snippets(code):
-    assert lexical_tokens(code) == expected_tokens(code)
-
-
-def test_lexer_own_sources():
-    seen = 0
-    for path in pathlib.Path(__file__).parent.parent.glob("vetloom/**/*.py"):
-        code = path.read_text()
-        if 'f"' not in code and "f'" not in code:
-            assert lexical_tokens(code) == expected_tokens(code), path
-            seen += 1
-    assert seen > 3
-
-
-def test_lexer_special_cases():
-    assert lexical_tokens(None) == [] and lexical_tokens("") == []
-    assert lexical_tokens('"""doc"""\nx\n') == ["<EOL>", "x", "<EOL>"]
-    assert lexical_tokens('r"""doc"""\n') == ['r"""doc"""', "<EOL>"]
-    assert lexical_tokens('f"{a}" b') == ['f"{a}"', "b", "<EOL>"]
-    assert lexical_tokens('a = 1\nb = """open\nc') == ["a", "=", "1", "<EOL>", "b", "="]
-    assert lexical_tokens("f(1,\n2") == ["f", "(", "1", ",", "2"]
-    assert lexical_tokens("if a:\n    b\n  c\n") == [
-        "if", "a", ":", "<EOL>", "<INDENT>", "b", "<EOL>"
-    ]
-    assert lexical_tokens("a $ b\n") == ["a", " ", "$", "b", "<EOL>"]
-    assert lexical_tokens("x = 'open\n") == ["x", "=", " ", "'", "open", "<EOL>"]
-
-
-def test_canonical_code():
-    assert canonical_code("Foo = BAR(foo)\nif Foo > 1 and x:\n  y = foo\nfor i in z: pass") == (
-        "a1 = a2(a1) if cond1: a3 = a1 for cond2: pass"
-    )
-    assert canonical_code("x = None") == "a1 = none"
-    assert canonical_code("x = None", legacy=True) == "a1 = a2"
-    assert canonical_code("condition = conda + b") == "condition = conda + a1"
+def test_lexical_tokens(spark):
+    df = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(LEXED)] + [(99, None)], "file_id int, content string")
+    rows = sorted(tuple(r) for r in lexical_tokens(df).collect())
+    for i, (_, expected) in enumerate(LEXED):
+        own = [(pos, token) for f, pos, token in rows if f == i]
+        assert [t for _, t in own] == expected.split(" ") if expected else own == []
+        assert [p for p, _ in own] == list(range(len(own)))
+    assert not [r for r in rows if r[0] == 99]
+
+
+RENAMED = [
+    ("Foo = BAR(foo)\nif Foo > 1 and x:\n  y = foo\nfor i in z: pass", "a1 = a2(a1) if cond1: a3 = a1 for cond2: pass"),
+    ("x = None", "a1 = none"),
+    ("condition = conda + b", "condition = conda + a1"),
+    ("if a:if b:x", "if cond1:if cond2:a1"),
+    ("notif a: b", "a1 a2: a3"),
+    ("é1 1a _b\t=  b_", "é1 1a a1 = a2"),
+    ("while x", "while a1"),
+    ("", ""),
+    ("...", "..."),
+]
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.text(alphabet="abif: \n=_1é", max_size=60))
-def test_canonical_code_keeps_shape(code):
-    out = canonical_code(code)
-    assert out == " ".join(out.split())
-    assert canonical_code(code) == out
+def test_canonicalize_identifiers(spark):
+    df = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(RENAMED)] + [(99, None)], "file_id int, content string")
+    found = {r.file_id: r.code for r in canonicalize_identifiers(df).collect()}
+    assert found == {i: e for i, (_, e) in enumerate(RENAMED)}
+    legacy = {r.file_id: r.code for r in canonicalize_identifiers(df, legacy=True).collect()}
+    assert legacy[1] == "a1 = a2" and legacy[0] == found[0]
 
 
 def test_fix_length(spark):

@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.ml.feature import Word2Vec, Word2VecModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.lexer import canonical_code
-from ..functions.lexer import lexical_tokens as lex
+from ..constants import PYTHON_KEYWORDS
 from ..functions.text import lower_flatten
 from ..functions.vectors import dot, norm, zeros
 from .skew import salted_join
 
 WORD = r"[\p{L}\p{N}_]+"
+#: Comment, triple-quoted text, string, word or number, line end with the next margin, operator, any other.
+LEXEME = (
+    r"#[^\r\n]*|(?s:'''.*?'''|\"\"\".*?\"\"\")|'(?:[^\n'\\]|\\.)*'|\"(?:[^\n\"\\]|\\.)*\""
+    r"|[\p{L}\p{N}_]+(?:\.[0-9]+)?|\r?\n[ \t]*|\*\*=?|//=?|[-+*/%&|^=<>!:@]=|->|<<|>>|[^\x09-\x0D\x20]"
+)
+CONDITION = r"(?<![\p{L}\p{N}_])(if|while|for)[\x09-\x0D\x20]+[^:]+:"
 
 
 def word_tokens(col: Column) -> Column:
@@ -22,14 +26,39 @@ def word_tokens(col: Column) -> Column:
     return F.regexp_extract_all(col, F.lit(WORD), F.lit(0))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _lexical(codes: pd.Series) -> pd.Series:
-    return codes.map(lex)
+def lexical_tokens(df: DataFrame, content: str = "content", key: str = "file_id") -> DataFrame:
+    """``(key, pos, token)``: code tokens with ``<EOL>``, ``<INDENT>`` and ``<DEDENT>``, positions from 0.
 
-
-def lexical_tokens(df: DataFrame, content: str = "content", out: str = "tokens") -> DataFrame:
-    """Code tokens with ``<EOL>``, ``<INDENT>``, ``<DEDENT>``; one Arrow batch at a time."""
-    return df.withColumn(out, _lexical(F.col(content)))
+    Comments, blank lines and triple-quoted texts are left out. A line ends where no bracket is open;
+    it is indented or dedented against the line before it. ``key`` tells the files apart.
+    """
+    lexemes = F.regexp_extract_all(F.concat(content, F.lit("\n")), F.lit(LEXEME), F.lit(0))
+    rows = df.select(key, F.posexplode(lexemes).alias("at", "token"))
+    rows = rows.filter(~F.col("token").rlike("^(#|\'\'\'|\"\"\")"))
+    order = Window.partitionBy(key).orderBy("at")
+    opened = F.when(F.col("token").isin("(", "[", "{"), 1).when(F.col("token").isin(")", "]", "}"), -1).otherwise(0)
+    is_end = F.col("token").rlike(r"^\r?\n")
+    rows = rows.withColumns({
+        "is_end": is_end,
+        "depth": F.sum(opened).over(order.rowsBetween(Window.unboundedPreceding, 0)),
+    }).filter("NOT is_end OR depth <= 0")
+    # Of the line ends in a row the last one has the margin of the line that follows.
+    rows = rows.withColumn("follows", F.lead("is_end").over(order))
+    rows = rows.filter("NOT is_end OR coalesce(NOT follows, true)")
+    lines = Window.partitionBy(key, "is_end").orderBy("at")
+    width = F.length(F.regexp_replace("token", r"[\r\n]", ""))
+    rows = rows.withColumn("width", F.when(F.col("is_end"), width))
+    rows = rows.withColumn("before", F.coalesce(F.lag("width").over(lines), F.lit(0)))
+    rows = rows.withColumn("any", F.max(~F.col("is_end")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    marks = F.array(
+        F.when(F.col("any"), F.lit("<EOL>")),
+        F.when(F.col("follows").isNull(), None).when(F.col("width") > F.col("before"), F.lit("<INDENT>"))
+        .when(F.col("width") < F.col("before"), F.lit("<DEDENT>")),
+    )
+    parts = F.when(F.col("is_end"), F.filter(marks, lambda m: m.isNotNull())).otherwise(F.array("token"))
+    out = rows.select(key, "at", F.posexplode(parts).alias("part", "token"))
+    number = F.row_number().over(Window.partitionBy(key).orderBy("at", "part")) - 1
+    return out.select(key, number.alias("pos"), "token")
 
 
 def explode_tokens(df: DataFrame, tokens: str = "tokens", key: str = "file_id") -> DataFrame:
@@ -153,24 +182,46 @@ def first_appearance_rank(df: DataFrame, tokens: str = "tokens", key: str = "fil
     return ranked.filter("_i IS NOT NULL").select(key, "token", (F.col("_i") + 1).alias("appearance"))
 
 
-def canonicalize_identifiers(code: Column, legacy: bool = False) -> Column:
-    """Lower-cased code with numbered conditions and renamed identifiers, single-spaced.
+def canonicalize_identifiers(
+    df: DataFrame, content: str = "content", key: str = "file_id", legacy: bool = False
+) -> DataFrame:
+    """``(key, code)``: lower-cased code with numbered conditions and renamed identifiers, single-spaced.
 
-    With ``legacy`` capitalised keywords do not match lower-cased code and are renamed too. The
-    numbering needs a lookup of names seen so far, which array functions only offer as a linear
-    search; one Arrow batch at a time keeps the work linear in the text.
+    The n-th condition after ``if``, ``while`` or ``for`` becomes ``condn``. Words of ASCII letters,
+    digits and underscores that are no keyword and do not begin with ``cond`` are named ``a1``, ``a2``,
+    ... by their first position in the file; the names are joined back by file and word. With
+    ``legacy`` capitalised keywords do not match lower-cased code and are renamed too. ``key`` tells
+    the files apart; null code has no row.
     """
-    return (_canonical_legacy if legacy else _canonical)(code)
-
-
-@F.pandas_udf(T.StringType())
-def _canonical(codes: pd.Series) -> pd.Series:
-    return codes.map(canonical_code, na_action="ignore")
-
-
-@F.pandas_udf(T.StringType())
-def _canonical_legacy(codes: pd.Series) -> pd.Series:
-    return codes.map(lambda c: canonical_code(c, legacy=True), na_action="ignore")
+    lower = df.filter(F.col(content).isNotNull()).select(key, F.lower(content).alias("code"))
+    between = F.split("code", CONDITION)
+    heads = F.regexp_extract_all("code", F.lit(CONDITION), F.lit(1))
+    numbered = F.transform(
+        F.arrays_zip(between.alias("text"), heads.alias("head")),
+        lambda p, i: F.concat(p["text"], F.coalesce(F.concat(p["head"], F.lit(" cond"), i + 1, F.lit(":")), F.lit(""))),
+    )
+    spaced = F.regexp_replace(F.array_join(numbered, ""), r"(?U)[\s\x1c-\x1f]+", " ")
+    flat = lower.select(key, F.trim(spaced).alias("code"))
+    gaps, found = F.split("code", WORD), F.regexp_extract_all("code", F.lit(WORD), F.lit(0))
+    after = F.slice(gaps, 2, F.greatest(F.size(gaps), F.lit(1)))
+    # Before the rows are multiplied, so that the texts are split once.
+    parted = flat.select(
+        key, F.get(gaps, F.lit(0)).alias("head"), F.arrays_zip(found.alias("word"), after.alias("gap")).alias("zipped")
+    )
+    pieces = parted.select(key, "head", F.posexplode_outer("zipped").alias("pos", "p")).select(
+        key, "head", "pos", "p.word", "p.gap"
+    )
+    words = [w if legacy else w.lower() for w in PYTHON_KEYWORDS]
+    renamed = F.col("word").rlike("^[a-z_][a-z0-9_]*$") & ~F.col("word").startswith("cond") & ~F.col("word").isin(words)
+    firsts = pieces.filter(renamed).groupBy(key, "word").agg(F.min("pos").alias("first"))
+    rank = F.row_number().over(Window.partitionBy(key).orderBy("first"))
+    names = firsts.select(key, "word", F.concat(F.lit("a"), rank.cast("string")).alias("name"))
+    placed = pieces.join(names, [key, "word"], "left")
+    piece = F.struct("pos", F.concat(F.coalesce("name", "word"), "gap").alias("text"))
+    ordered = F.sort_array(F.collect_list(piece))
+    return placed.groupBy(key, "head").agg(ordered.alias("parts")).select(
+        key, F.concat("head", F.array_join(F.col("parts.text"), "")).alias("code")
+    )
 
 
 def corpus_stats(df: DataFrame, text: str = "content") -> DataFrame:
