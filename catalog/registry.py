@@ -143,27 +143,27 @@ ROUTED = RESULTS + """,
 routed AS (
   SELECT session_id, file_path, file_name, file_size, analysis_time, 'lstm' AS engine,
          'vul' AS task,
-         CASE WHEN coalesce(is_vulnerable, false) THEN 'vul' ELSE 'vul_safe' END AS verdict,
-         coalesce(is_vulnerable, false) AS flagged,
-         CASE WHEN coalesce(is_vulnerable, false) THEN 'Vulnerable' ELSE 'Safe' END AS status,
+         CASE is_vulnerable WHEN true THEN 'vul' WHEN false THEN 'vul_safe' ELSE 'vul_error' END AS verdict,
+         is_vulnerable AS flagged,
+         CASE is_vulnerable WHEN true THEN 'Vulnerable' WHEN false THEN 'Safe' ELSE 'Error' END AS status,
          vul_prob AS probability,
          CASE WHEN coalesce(is_vulnerable, false) THEN 'Vulnerable' END AS label,
-         coalesce(cwe_label, CASE WHEN coalesce(is_vulnerable, false) THEN '' ELSE 'Safe' END)
+         coalesce(cwe_label, CASE is_vulnerable WHEN true THEN '' WHEN false THEN 'Safe' ELSE 'Error' END)
            AS cwe_label
   FROM results
   UNION ALL
   SELECT session_id, file_path, file_name, file_size, analysis_time, 'lstm', 'mal',
-         CASE WHEN coalesce(is_malicious, false) THEN 'mal' ELSE 'mal_safe' END,
-         coalesce(is_malicious, false),
-         CASE WHEN coalesce(is_malicious, false) THEN 'malicious' ELSE 'Safe' END,
+         CASE is_malicious WHEN true THEN 'mal' WHEN false THEN 'mal_safe' ELSE 'mal_error' END,
+         is_malicious,
+         CASE is_malicious WHEN true THEN 'malicious' WHEN false THEN 'Safe' ELSE 'Error' END,
          mal_prob, CASE WHEN coalesce(is_malicious, false) THEN 'malicious' END, NULL
   FROM results)"""
 
 PACKAGES = """misspelt AS (
   SELECT *, CASE p_partkey % 7
-    WHEN 0 THEN concat(substring(p_name, 1, 1), substring(p_name, 3, 100))
-    WHEN 1 THEN concat(substring(p_name, 1, 2), 'x', substring(p_name, 4, 100))
-    WHEN 2 THEN concat(substring(p_name, 1, 1), 'q', substring(p_name, 2, 100))
+    WHEN 0 THEN concat(substring(p_name, 1, 1), substring(p_name, 3))
+    WHEN 1 THEN concat(substring(p_name, 1, 2), 'x', substring(p_name, 4))
+    WHEN 2 THEN concat(substring(p_name, 1, 1), 'q', substring(p_name, 2))
     ELSE p_name END AS m
   FROM part),
 packages AS (
@@ -285,7 +285,7 @@ class Tables:
     @cached_property
     def packages(self) -> DataFrame:
         key, name, size = F.col("p_partkey"), F.col("p_name"), F.col("p_size")
-        tail = lambda i: F.substring(name, i, 100)
+        tail = lambda i: F.substring(name, i, F.length(name))
         head = lambda n: F.substring(name, 1, n)
         misspelt = (
             F.when(key % 7 == 0, F.concat(head(1), tail(3)))

@@ -142,9 +142,8 @@ SELECT h.session_id, CASE WHEN h.upload_time = date_trunc('second', h.upload_tim
     THEN strftime(h.upload_time, '%Y-%m-%dT%H:%M:%S')
     ELSE strftime(h.upload_time, '%Y-%m-%dT%H:%M:%S.%f') END AS upload_time,
   coalesce(s.n, 0) AS safe_files,
-  CASE WHEN task = 'vul' THEN CASE WHEN flagged THEN 'vulnerability_results'
-    ELSE 'vulnerability_safe_results' END WHEN task = 'mal' THEN CASE WHEN flagged
-    THEN 'malicious_results' ELSE 'malicious_safe_results' END END AS result_list,
+  CASE WHEN task IS NOT NULL THEN concat(CASE task WHEN 'vul' THEN 'vulnerability' ELSE 'malicious' END, CASE flagged WHEN true THEN '_results'
+    WHEN false THEN '_safe_results' ELSE '_errors' END) END AS result_list,
   file_path, status, probability, label, cwe_label, analysis_time
 FROM head h LEFT JOIN safe s ON h.session_id = s.session_id
 LEFT JOIN routed r ON h.session_id = r.session_id""")

@@ -197,16 +197,16 @@ _KEYWORDS = ", ".join(f"'{w.lower()}'" for w in PYTHON_KEYWORDS)
 WITH lowered AS (
   SELECT doc_id AS file_id, replace(lower(text), ':', concat(':', chr(1))) AS code FROM documents WHERE text IS NOT NULL),
 cut AS (
-  SELECT file_id, string_split_regex(code, '(^|[^\p{{L}}\p{{N}}_])(if|while|for)[\x09-\x0D\x20]+[^:]+:') AS texts,
-    regexp_extract_all(code, '(^|[^\p{{L}}\p{{N}}_])(if|while|for)[\x09-\x0D\x20]+[^:]+:', 1) AS pre,
-    regexp_extract_all(code, '(^|[^\p{{L}}\p{{N}}_])(if|while|for)[\x09-\x0D\x20]+[^:]+:', 2) AS heads
+  SELECT file_id, string_split_regex(code, '(^|[^\\p{{L}}\\p{{N}}_])(if|while|for)[\x09-\x0D\x20]+[^:]+:') AS texts,
+    regexp_extract_all(code, '(^|[^\\p{{L}}\\p{{N}}_])(if|while|for)[\x09-\x0D\x20]+[^:]+:', 1) AS pre,
+    regexp_extract_all(code, '(^|[^\\p{{L}}\\p{{N}}_])(if|while|for)[\x09-\x0D\x20]+[^:]+:', 2) AS heads
   FROM lowered),
 flat AS (
   SELECT file_id, trim(regexp_replace(replace(array_to_string(list_transform(range(1, len(texts) + 1),
     lambda i: concat(texts[i], pre[i], CASE WHEN i <= len(heads) THEN concat(heads[i], ' cond', i, ':') END)), ''), chr(1), ''),
     '[\x09-\x0D\x1c-\x20]+', ' ', 'g')) AS code FROM cut),
 pieces AS (
-  SELECT file_id, string_split_regex(code, '[\p{{L}}\p{{N}}_]+') AS gaps, regexp_extract_all(code, '[\p{{L}}\p{{N}}_]+') AS words FROM flat),
+  SELECT file_id, string_split_regex(code, '[\\p{{L}}\\p{{N}}_]+') AS gaps, regexp_extract_all(code, '[\\p{{L}}\\p{{N}}_]+') AS words FROM flat),
 placed AS (
   SELECT file_id, unnest(range(1, len(words) + 1)) AS pos, unnest(words) AS word, unnest(gaps[2:]) AS gap FROM pieces),
 firsts AS (

@@ -28,6 +28,9 @@ def test_stream_equals_batch(spark, tmp_path):
     for i in range(3):
         (uploads / f"a{i}.zip").write_bytes(zip_bytes(dict(list(members.items())[: i + 2])))
     (uploads / "none.zip").write_bytes(zip_bytes({"readme.txt": "no code"}))
+    (uploads / "broken.zip").write_bytes(b"no archive")
+    extra = {"p/__pycache__/x.py": "aeiou", "p/empty.py": "", "p\\\\q.py": "aeiou" * 50}
+    (uploads / "mixed.zip").write_bytes(zip_bytes(extra))
     check = str(tmp_path / "check")
 
     def run():
@@ -42,10 +45,9 @@ def test_stream_equals_batch(spark, tmp_path):
     batch = scan_archives(spark, f"{uploads}/*.zip").withColumn("session_id", F.col("archive"))
     log = session_log(analyze(batch.filter("size > 0")), is_bert=True)
     expected = {r[0]: tuple(r)[1:] for r in log.select("session_id", *columns).collect()}
-    expected["none"] = (0, 0, 0, 0, True)
-    # Empty files are routed as not flagged by the stream, so compare what was scored.
-    assert {k: v[2:4] for k, v in got.items()} == {k: v[2:4] for k, v in expected.items()}
-    assert got["none"] == expected["none"] and set(got) == set(expected)
+    assert got == expected and set(got) == {"a0", "a1", "a2", "mixed"} and got["mixed"][0] == 1
+    failures = {r.filename for r in sinks.read_failures(spark, root).collect()}
+    assert failures == {"none.zip", "broken.zip"}
 
     before = sinks.read_results(spark, root).count()
     run()  # nothing new

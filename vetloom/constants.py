@@ -19,7 +19,6 @@ CWE_CODES = {
     "analysis_error": -1,
 }
 CWE_OTHER_CODE = 1
-TRAINING_STATUS_CODES = {"Vulnerable": 1, "Not Vulnerable": 0}
 TRAINING_CWE_CODES = {"malicious": 1, "benign": 0}
 
 # Metadata keys that are kept.
@@ -113,7 +112,6 @@ PYTHON_KEYWORDS = [
 
 # Upload limits.
 MAX_UPLOAD_BYTES = 100 * 1024 * 1024
-CODE_CHARACTER_CAP = 200_000
 
 # Names of the analysis models in the session log.
 MODEL_BERT = "Integrated BERT"

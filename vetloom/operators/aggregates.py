@@ -146,14 +146,16 @@ def session_detail(log: DataFrame, results: DataFrame) -> DataFrame:
     instead of one nested value per session, because a session may hold any number of files. A
     session without results keeps one row. ``safe_files`` counts the safe list the mode looks at.
     """
-    flagged = _true("flagged")
+    flagged, scored = _true("flagged"), F.col("flagged").isNotNull()
     which = F.when(F.col("task") == "vul", "vulnerability").otherwise("malicious")
     text = lambda c, default: F.coalesce(F.nullif(F.col(c), F.lit("")), default)
-    safe_word = F.when(flagged, "").otherwise("Safe")
+    safe_word = F.when(flagged, "").when(scored, "Safe").otherwise("Error")
     is_vul = F.col("task") == "vul"
     items = results.select(
         "session_id",
-        F.concat(which, F.when(flagged, "_results").otherwise("_safe_results")).alias(
+        F.concat(
+            which, F.when(flagged, "_results").when(scored, "_safe_results").otherwise("_errors")
+        ).alias(
             "result_list"
         ),
         text("file_path", F.lit("")).alias("file_path"),
@@ -166,8 +168,8 @@ def session_detail(log: DataFrame, results: DataFrame) -> DataFrame:
     )
     safe = results.groupBy("session_id").agg(
         F.count("*").alias("_items"),
-        F.count_if(~flagged & (F.col("task") == "vul")).alias("_vul_safe"),
-        F.count_if(~flagged & (F.col("task") == "mal")).alias("_mal_safe"),
+        F.count_if(scored & ~flagged & (F.col("task") == "vul")).alias("_vul_safe"),
+        F.count_if(scored & ~flagged & (F.col("task") == "mal")).alias("_mal_safe"),
     )
     counted = F.when(_true("is_mal"), F.col("_mal_safe")).otherwise(F.col("_vul_safe"))
     computed = F.when(_true("is_ml"), F.col("safe_files")).otherwise(

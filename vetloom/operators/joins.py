@@ -20,11 +20,26 @@ from .files import reorder_columns
 from .skew import salted_join
 
 
-def join_code_verdicts(meta: DataFrame, verdicts: DataFrame, salts: int = 1) -> DataFrame:
-    """Numeric code verdicts next to each package; a package without one gets 0, 0 and 0.0."""
+#: Verdict columns as the comprehensive table names them.
+LSTM_COLUMNS = {
+    "vulnerability_status": "lstm_vulnerability_status",
+    "cwe_label": "lstm_cwe_label",
+    "confidence": "lstm_confidence",
+}
+
+
+def join_code_verdicts(
+    meta: DataFrame, verdicts: DataFrame, salts: int = 1, carry: bool = False
+) -> DataFrame:
+    """Numeric code verdicts next to each package; a package without one gets 0, 0 and 0.0.
+
+    With ``carry`` the verdicts come along as written (``lstm_*``), so that
+    ``comprehensive_results`` needs no second join with the same table.
+    """
     coded = verdicts.select(
         F.col("package").alias("name"),
         F.col("package"),
+        *[F.col(c).alias(n) for c, n in LSTM_COLUMNS.items() if carry],
         map_labels(F.col("vulnerability_status"), STATUS_CODES).alias(
             "vulnerability_status_numeric"
         ),
@@ -46,16 +61,18 @@ def join_code_verdicts(meta: DataFrame, verdicts: DataFrame, salts: int = 1) ->
 
 
 def comprehensive_results(
-    df: DataFrame, verdicts: DataFrame, prediction: str = "is_malicious", salts: int = 1
+    df: DataFrame, verdicts: DataFrame | None, prediction: str = "is_malicious", salts: int = 1
 ) -> DataFrame:
-    """Verdict columns as ``lstm_*``, the prediction renamed, priority columns first."""
-    renamed = verdicts.select(
-        F.col("package").alias("name"),
-        F.col("vulnerability_status").alias("lstm_vulnerability_status"),
-        F.col("cwe_label").alias("lstm_cwe_label"),
-        F.col("confidence").alias("lstm_confidence"),
-    )
-    out = salted_join(df, renamed, "name", "left", salts)
+    """Verdict columns as ``lstm_*``, the prediction renamed, priority columns first.
+
+    Without ``verdicts`` the ``lstm_*`` columns are those that ``df`` has already.
+    """
+    out = df
+    if verdicts is not None:
+        renamed = verdicts.select(
+            F.col("package").alias("name"), *[F.col(c).alias(n) for c, n in LSTM_COLUMNS.items()]
+        )
+        out = salted_join(df, renamed, "name", "left", salts)
     out = out.withColumnRenamed(prediction, "xgboost_prediction")
     return reorder_columns(out, PRIORITY_COLUMNS)
 
@@ -91,12 +108,14 @@ def download_fallback(
     name: str = "name",
     salts: int = 1,
 ) -> DataFrame:
-    """Downloads from the first source, else the second, else 0; -1 means missing."""
+    """Downloads from the first source, else the second, else 0; -1 means missing.
+
+    A project with several count rows has the largest of them, so no package row is multiplied.
+    """
     out = packages
     for i, source in enumerate((first, second)):
-        count = source.select(
-            F.col("project").alias(name),
-            F.nullif(F.col("downloads"), F.lit(-1)).alias(f"_d{i}"),
+        count = source.groupBy(F.col("project").alias(name)).agg(
+            F.max(F.nullif(F.col("downloads"), F.lit(-1))).alias(f"_d{i}")
         )
         out = salted_join(out, count, name, "left", salts)
     return out.withColumn("download", F.coalesce("_d0", "_d1", F.lit(0))).drop("_d0", "_d1")

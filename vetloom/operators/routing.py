@@ -26,19 +26,26 @@ def route_verdicts(results: DataFrame, engine: str, mode: str = "both") -> DataF
     """One row per file and task, with the columns all result tables share.
 
     ``engine``, ``task`` and ``verdict`` name the table and are the partition columns of the store.
+    A file without a flag was not scored: its verdict is ``vul_error`` or ``mal_error``, its status
+    ``Error`` and its flag stays null, so that no safe table holds it and logs count it as skipped.
     Both tasks come from one pass over the row, not from two scans. Needs ``session_id, file_path,
     file_name, file_size, is_vulnerable, vul_prob, cwe_label, is_malicious, mal_prob,
     analysis_time``.
     """
 
     def row(task: str, flag: str, prob: str, hit: str, cwe: str) -> str:
+        def by_flag(on: str, off: str, missing: str) -> str:
+            return f"CASE {flag} WHEN true THEN {on} WHEN false THEN {off} ELSE {missing} END"
+
+        verdict = by_flag(f"'{task}'", f"'{task}_safe'", f"'{task}_error'")
+        status = by_flag(f"'{hit}'", "'Safe'", "'Error'")
         return f"""named_struct(
-            'task', '{task}', 'verdict', if({flag}, '{task}', '{task}_safe'), 'flagged', {flag},
-            'status', if({flag}, '{hit}', 'Safe'), 'probability', coalesce({prob}, 0D),
+            'task', '{task}', 'verdict', {verdict}, 'flagged', {flag}, 'status', {status},
+            'probability', if({flag} IS NULL, {prob}, coalesce({prob}, 0D)),
             'label', if({flag}, '{hit}', NULL), 'cwe_label', {cwe})"""
 
-    vul, mal = "coalesce(is_vulnerable, false)", "coalesce(is_malicious, false)"
-    cwe = f"coalesce(cwe_label, if({vul}, '', 'Safe'))"
+    vul, mal = "is_vulnerable", "is_malicious"
+    cwe = f"coalesce(cwe_label, CASE {vul} WHEN true THEN '' WHEN false THEN 'Safe' ELSE 'Error' END)"
     rows = []
     if mode in ("both", "vul"):
         rows.append(row("vul", vul, "vul_prob", "Vulnerable", cwe))

@@ -118,8 +118,8 @@ def analyze_packages(
 ) -> DataFrame:
     """Comprehensive package table: features, code verdicts, prediction."""
     features = package_features(meta, popular, email=email)
-    joined = join_code_verdicts(features, verdicts)
-    return comprehensive_results(predict_packages(joined, model), verdicts)
+    joined = join_code_verdicts(features, verdicts, carry=True)
+    return comprehensive_results(predict_packages(joined, model), None)
 
 
 def package_store_rows(results: DataFrame, session_id: str) -> DataFrame:

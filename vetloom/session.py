@@ -35,11 +35,12 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder for checkpoints and hand-off tables.
 
     On a cluster this lies in the shared folder named by ``spark.checkpoint.dir``; only where that
-    is unset (tests on one machine) a local temporary folder is taken.
+    is unset (tests on one machine) a local temporary folder is taken and set for later calls.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        return tempfile.mkdtemp(prefix=f"vetloom-{name}-")
+    if not root:
+        root = f"file://{tempfile.mkdtemp(prefix='vetloom-')}"
+        spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{os.urandom(6).hex()}"
 
 

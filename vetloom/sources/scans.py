@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
@@ -14,6 +15,10 @@ from pyspark.sql import functions as F
 from ..functions.text import strip_whitespace, unix_path
 from ..operators.files import parse_metadata
 
+# What reading a damaged or unsupported archive member raises.
+DAMAGE = (
+    zipfile.BadZipFile, zlib.error, EOFError, OSError, RuntimeError, NotImplementedError, ValueError
+)
 # Path pieces whose files are not source of the project.
 EXCLUDED = ("__pycache__", ".dist-info", ".egg-info")
 # Column names that mean the same.
@@ -79,19 +84,26 @@ def _members(batches: Iterator[pd.DataFrame], fail: bool) -> Iterator[pd.DataFra
         for archive, data in zip(batch["archive"], batch["bytes"]):
             rows, held = [], 0
             try:
-                with zipfile.ZipFile(io.BytesIO(data)) as opened:
-                    for info in opened.infolist():
-                        if info.is_dir() or not info.filename.lower().endswith(".py"):
-                            continue
-                        member = opened.read(info)
-                        rows.append((archive, info.filename, member))
-                        held += len(member)
-                        if held > limit:
-                            yield pd.DataFrame(rows, columns=["archive", "path", "bytes"])
-                            rows, held = [], 0
-            except (zipfile.BadZipFile, RuntimeError, NotImplementedError):
+                opened = zipfile.ZipFile(io.BytesIO(data))
+            except DAMAGE:
                 if fail:
                     raise
+                continue
+            for info in opened.infolist():
+                if info.is_dir() or not info.filename.lower().endswith(".py"):
+                    continue
+                try:
+                    member = opened.read(info)
+                except DAMAGE:
+                    # This member only; the others of the archive are read.
+                    if fail:
+                        raise
+                    continue
+                rows.append((archive, info.filename, member))
+                held += len(member)
+                if held > limit:
+                    yield pd.DataFrame(rows, columns=["archive", "path", "bytes"])
+                    rows, held = [], 0
             if rows:
                 yield pd.DataFrame(rows, columns=["archive", "path", "bytes"])
 
@@ -122,7 +134,14 @@ def scan_archives(
     zips = spark.read.format("binaryFile").load(path).select(
         archive_stem(F.col("path")).alias("archive"), F.col("content").alias("bytes")
     )
-    members = expand_archives(zips, fail).withColumn("path", unix_path(F.col("path")))
+    return archive_files(zips, on_bad_utf8, fail, ignore_case)
+
+
+def archive_files(
+    archives: DataFrame, on_bad_utf8: str = "strict", fail: bool = False, ignore_case: bool = True
+) -> DataFrame:
+    """File table of ``(archive, bytes)``; the batch scan and the stream of uploads share it."""
+    members = expand_archives(archives, fail).withColumn("path", unix_path(F.col("path")))
     return _as_files(members.filter(_is_source(F.col("path"), ignore_case)), on_bad_utf8)
 
 

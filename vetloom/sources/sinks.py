@@ -51,6 +51,15 @@ def append_log(log: DataFrame, root: str, run_id: str) -> None:
     _replace_partitions(log.withColumn("run_id", F.lit(run_id)), f"{root}/main_log", ["run_id"])
 
 
+def append_failures(failed: DataFrame, root: str, run_id: str) -> None:
+    """Write sessions of one run that could not be analysed; they get no log row."""
+    _replace_partitions(failed.withColumn("run_id", F.lit(run_id)), f"{root}/failures", ["run_id"])
+
+
+def read_failures(spark: SparkSession, root: str) -> DataFrame:
+    return _read(spark, f"{root}/failures")
+
+
 def run_results(spark: SparkSession, root: str, run_id: str) -> DataFrame:
     """Everything one run has written, logged or not."""
     return _read(spark, f"{root}/results").filter(F.col("run_id") == run_id)

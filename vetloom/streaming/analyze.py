@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.files import drop_empty_content
 from ..plans.analysis import session_log
-from ..session import scratch_dir
-from ..sources.scans import _as_files, archive_stem, expand_archives
-from ..sources.sinks import append_log, append_results, run_results
-
-COUNTS = ["input_files", "total_files", "safe_files", "vulnerable_files", "malicious_files"]
+from ..sources.scans import archive_files, archive_stem
+from ..sources.sinks import append_failures, append_log, append_results, run_results
 
 
 def stream_analyze(
@@ -21,16 +20,19 @@ def stream_analyze(
     path: str,
     root: str,
     analyze: Callable[[DataFrame], DataFrame],
+    checkpoint: str,
     mode: str = "both",
     is_bert: bool = False,
     max_files: int = 8,
-    checkpoint: str | None = None,
     available_now: bool = True,
 ) -> StreamingQuery:
     """Analyse every new archive below ``path`` into the store at ``root``.
 
-    ``analyze`` turns a file table with ``session_id`` into routed result rows. The run id is the
-    batch number, and a batch that is retried replaces its own run. A session is one archive.
+    ``analyze`` turns a file table with ``session_id`` into routed result rows. The run id names the
+    stream by its ``checkpoint``, a folder all machines share, and the batch by its number: a batch
+    that is retried replaces its own run, and another stream never does. A session is one archive.
+    Archives are read as the batch scan reads them; empty files are left out. An archive without
+    a readable source file is an ``analysis_failed`` event and gets no log row.
     """
     arriving = (
         spark.readStream.format("binaryFile")
@@ -47,19 +49,21 @@ def stream_analyze(
         F.col("content").alias("bytes"),
     )
 
+    stream_id = hashlib.md5(checkpoint.encode()).hexdigest()[:8]
+
     def run(batch: DataFrame, batch_id: int) -> None:
-        run_id = f"batch-{batch_id:012d}"
-        members = expand_archives(batch.select("archive", "bytes"))
-        files = _as_files(members, "strict").withColumn("session_id", F.col("archive"))
-        append_results(analyze(files), root, run_id)
+        run_id = f"{stream_id}-{batch_id:012d}"
+        files = drop_empty_content(archive_files(batch.select("archive", "bytes")))
+        append_results(analyze(files.withColumn("session_id", F.col("archive"))), root, run_id)
         # The log is made from what was written, so files are scored once per batch.
         session = batch.sparkSession
-        log = session_log(run_results(session, root, run_id), mode, is_bert)
         sessions = batch.select(F.col("archive").alias("session_id"), "filename", "file_size")
-        full = sessions.join(log, "session_id", "left").na.fill(0, COUNTS + ["analysis_duration"])
-        append_log(full.na.fill(True, ["is_safe"]).na.fill(False), root, run_id)
+        written = run_results(session, root, run_id)
+        failed = sessions.join(written, "session_id", "left_anti")
+        append_failures(failed.withColumn("event", F.lit("analysis_failed")), root, run_id)
+        append_log(sessions.join(session_log(written, mode, is_bert), "session_id"), root, run_id)
 
-    writer = arriving_writer(uploads, run, checkpoint or scratch_dir(spark, "stream"))
+    writer = arriving_writer(uploads, run, checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
