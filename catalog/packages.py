@@ -133,15 +133,23 @@ def threat_level(t):
     return t.labels.select("doc_id", level.alias("threat_level"))
 
 
-@query("add_noise")
+def _noise_sql(column: str, seed: int) -> str:
+    digest = f"md5(concat(doc_id, '|{seed}'))"
+    u, v = (f"((CAST('0x' || substr({digest}, {i}, 12) AS BIGINT) + 5e-1) / 281474976710656e0)" for i in (1, 13))
+    return f"{column} + 5e-2 * (sqrt(-2 * ln({u})) * cos(2 * pi() * {v}))"
+
+
+@query("add_noise", f"""
+SELECT doc_id, quality, toxic, round({_noise_sql("quality", 42)}, 6) AS quality_noisy,
+  round({_noise_sql("toxic", 43)}, 6) AS toxic_noisy FROM labels""")
 def add_noise(t):
-    return op.add_noise(t.labels, ["quality", "toxic"])
+    return op.add_noise(t.labels, ["quality", "toxic"], ["doc_id"])
 
 
 @query("add_noise_copy", """
 SELECT *, CAST(quality AS DOUBLE) AS quality_noisy, CAST(toxic AS DOUBLE) AS toxic_noisy FROM labels""")
 def add_noise_copy(t):
-    return op.add_noise(t.labels, ["quality", "toxic"], sd=0)
+    return op.add_noise(t.labels, ["quality", "toxic"], ["doc_id"], sd=0)
 
 
 @query("assemble_features", """

@@ -152,10 +152,10 @@ def session_detail(t):
 
 
 @query("merge_package_source", f"""
-WITH {FILES}
-SELECT split_part(path, '/', 1) AS package, 0 AS part, md5(trim(string_agg(
-  regexp_replace(content, '#[^\n]*', '', 'g'), chr(10) ORDER BY path),
-  concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13)))) AS code FROM files GROUP BY 1""")
+WITH {FILES}, code AS (
+  SELECT split_part(path, '/', 1) AS package, path, regexp_replace(content, '#[^\n]*', '', 'g') AS code FROM files)
+SELECT package, CAST(row_number() OVER (PARTITION BY package ORDER BY path) - 1 AS INTEGER) AS part, path, md5(code) AS code
+FROM code WHERE trim(code, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))) <> ''""")
 def merge_package_source(t):
     return op.merge_package_source(t.files).withColumn("code", F.md5("code"))
 

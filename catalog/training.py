@@ -126,7 +126,7 @@ def training_packages(t):
             "label": (F.col("is_typo_like") | F.col("summary_low_entropy")).cast("int"),
         }
     )
-    return add_noise(df, ["vulnerability_status", "cwe_label", "download_log", "threat_level"])
+    return add_noise(df, ["vulnerability_status", "cwe_label", "download_log", "threat_level"], ["name"])
 
 
 def _package_models(t):

@@ -146,14 +146,12 @@ def test_merged_source_parts_equal_the_whole(spark):
     files = [("hot/%02d.py" % i, f"\n x{i} = 1 # c\n y\n") for i in range(60)]
     files += [("source/small/a.py", "a\n"), ("source/small/b.py", "# all\n"), ("empty/a.py", " # x\n")]
     df = spark.createDataFrame([(p, c, len(c)) for p, c in files], "path string, content string, size int")
-    whole = {r["package"]: r["code"] for r in merge_package_source(df).collect()}
-    assert set(whole) == {"hot", "small"}
-    assert whole["small"] == "a"
-    parts = merge_package_source(df, limit=100).orderBy("package", "part").collect()
-    hot = [r for r in parts if r["package"] == "hot"]
-    assert len(hot) > 5 and [r["part"] for r in hot] == list(range(len(hot)))
-    assert "".join(r["code"] for r in hot) == whole["hot"]
-    assert [r["code"] for r in parts if r["package"] == "small"] == ["a"]
+    rows = merge_package_source(df).orderBy("package", "part").collect()
+    assert {r.package for r in rows} == {"hot", "small"}
+    assert [(r.part, r.path, r.code) for r in rows if r.package == "small"] == [(0, "source/small/a.py", "a\n")]
+    hot = [r for r in rows if r.package == "hot"]
+    assert [r.part for r in hot] == list(range(60)) and [r.path for r in hot] == sorted(r.path for r in hot)
+    assert "\n".join(r.code for r in hot) == "\n".join(c.replace(" # c", " ") for _, c in files[:60])
 
 
 def test_summary_invariants(spark):

@@ -14,9 +14,6 @@ from ..functions.text import package_directory, strip_comments, strip_whitespace
 from .quantiles import exact_quantiles
 from .skew import salted_join
 
-# Characters of merged source that are put into one row.
-MERGE_LIMIT = 64 * 1024 * 1024
-
 
 def _true(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(False))
@@ -194,58 +191,19 @@ def iso_timestamp(col: Column) -> Column:
     return F.when(F.date_trunc("second", col) == col, whole).otherwise(fraction)
 
 
-def merge_package_source(files: DataFrame, limit: int = MERGE_LIMIT) -> DataFrame:
-    """Comment-free source per package in path order: ``(package, part, code)``.
+def merge_package_source(files: DataFrame) -> DataFrame:
+    """Comment-free source of each package in path order: ``(package, part, path, code)``.
 
-    A package of up to ``limit`` characters is one row, part 0. A larger one stays several parts
-    of about that size, whose concatenation by part is the same text: paths are range-partitioned,
-    and only files next to each other in one range are gathered. Needs ``path, content, size``.
+    One row per file with code, whatever the size of the package: its merged text is the rows'
+    ``code`` by ``part``, so no task has to hold a package. Parts are numbered on the paths alone and
+    joined back; texts stay where they are but for that join. A path occurs once.
     """
-    files = files.select(
-        package_directory(F.col("path")).alias("package"), "path", "content", "size"
-    )
-    # The character count is an upper bound of the merged length and needs no text.
-    large = (
-        files.groupBy("package")
-        .agg(F.sum(F.col("size") + 1).alias("chars"))
-        .filter(F.col("chars") > limit)
-        .select("package")
-    )
-
-    def merged(df: DataFrame, *keys: str) -> DataFrame:
-        pieces = F.array_sort(F.collect_list(F.struct("path", "code")))["code"]
-        return df.groupBy("package", *keys).agg(F.array_join(pieces, "\n").alias("code"))
-
-    code = strip_comments(F.col("content")).alias("code")
-    small = files.join(large, "package", "left_anti").select("package", "path", code)
-    whole = (
-        merged(small)
-        .select("package", F.lit(0).alias("part"), strip_whitespace(F.col("code")).alias("code"))
-        .filter("code <> ''")
-    )
-
-    ranged = (
-        files.join(large, "package", "left_semi")
-        .select("package", "path", code)
-        .repartitionByRange("package", "path")
-        .withColumn("_range", F.spark_partition_id())
-    )
-    before = Window.partitionBy("package", "_range").orderBy("path")
-    running = F.sum(F.length("code") + 1).over(before.rowsBetween(Window.unboundedPreceding, -1))
-    cut = ranged.withColumn(
-        "_cut", F.floor(F.coalesce(running, F.lit(0)) / F.lit(limit)).cast("int")
-    )
-    order = Window.partitionBy("package").orderBy("_range", "_cut")
-    parts = merged(cut, "_range", "_cut").withColumn("part", F.row_number().over(order) - 1)
-    last = F.lead("part").over(Window.partitionBy("package").orderBy("part")).isNull()
-    ends = parts.withColumn("_last", last)
-    trimmed = F.when(
-        F.col("part") == 0, F.regexp_replace("code", r"(?U)^\s+", "")
-    ).otherwise(F.col("code"))
-    trimmed = F.when(
-        F.col("_last"), F.regexp_replace(trimmed, r"(?U)\s+$", "")
-    ).otherwise(F.concat(trimmed, F.lit("\n")))
-    return whole.unionByName(ends.select("package", "part", trimmed.alias("code")))
+    code = strip_comments(F.col("content"))
+    files = files.select(package_directory(F.col("path")).alias("package"), "path", code.alias("code"))
+    files = files.filter(strip_whitespace(F.col("code")) != "")
+    order = Window.partitionBy("package").orderBy("path")
+    numbered = files.select("package", "path", (F.row_number().over(order) - 1).alias("part"))
+    return files.join(numbered, ["package", "path"]).select("package", "part", "path", "code")
 
 
 def download_counts(log: DataFrame, project: str = "project") -> DataFrame:

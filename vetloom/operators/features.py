@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.feature import VectorAssembler
@@ -100,12 +101,27 @@ def threat_level(status: Column, cwe: Column) -> Column:
     )
 
 
-def add_noise(df: DataFrame, columns: Sequence[str], sd: float = 0.05, seed: int = 42) -> DataFrame:
-    """Gaussian noise into ``<col>_noisy``; ``sd=0`` makes plain copies, as at inference."""
+def _uniform(key: Column, start: int) -> Column:
+    """A number between 0 and 1 from 12 hex digits of the key's MD5."""
+    digits = F.conv(F.substring(F.md5(key), start, 12), 16, 10).cast("double")
+    return (digits + 0.5) / float(1 << 48)
+
+
+def add_noise(
+    df: DataFrame, columns: Sequence[str], key: Sequence[str], sd: float = 0.05, seed: int = 42
+) -> DataFrame:
+    """Gaussian noise into ``<col>_noisy``; ``sd=0`` makes plain copies, as at inference.
+
+    The noise of a row follows from its ``key`` columns and the seed (Box and Muller over two hashed
+    uniforms), so a task that runs again, another order and another partitioning give the same.
+    """
+    named = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key])
     noisy = {}
     for i, name in enumerate(columns):
         base = F.col(name).cast("double")
-        noisy[f"{name}_noisy"] = base if sd == 0 else base + sd * F.randn(seed + i)
+        mark = F.concat(named, F.lit(f"|{seed + i}")).cast("binary")
+        normal = F.sqrt(-2.0 * F.ln(_uniform(mark, 1))) * F.cos(2.0 * math.pi * _uniform(mark, 13))
+        noisy[f"{name}_noisy"] = base if sd == 0 else base + sd * normal
     return df.withColumns(noisy)
 
 
