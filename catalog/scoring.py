@@ -27,22 +27,24 @@ ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY file_id ORDER BY prob
 
 
 @query("logits_to_probs", """
-WITH l AS (SELECT vec_id, CAST(embedding[1:8] AS DOUBLE[]) AS x FROM embeddings)
+WITH l AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings)
 SELECT vec_id, CAST(k AS INTEGER) AS class_idx,
   round(exp(x[k + 1]) / list_sum(list_transform(x, lambda v: exp(v))), 6) AS prob
-FROM (SELECT *, unnest(range(8)) AS k FROM l)""")
+FROM (SELECT *, unnest(range(len(x))) AS k FROM l)""")
 def softmax(t):
-    logits = F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double"))
+    logits = F.transform("embedding", lambda x: x.cast("double"))
     return t.embeddings.select(
         "vec_id", F.posexplode(logits_to_probs(logits)).alias("class_idx", "prob")
     )
 
 
 @query("logits_to_probs_single", """
-SELECT vec_id, round(1e0 / (1e0 + exp(-CAST(embedding[1] AS DOUBLE))), 6) AS prob FROM embeddings""")
+SELECT vec_id, CAST(k AS INTEGER) AS i, round(1e0 / (1e0 + exp(-CAST(embedding[k + 1] AS DOUBLE))), 6) AS prob
+FROM (SELECT *, unnest(range(len(embedding))) AS k FROM embeddings)""")
 def sigmoid(t):
-    logit = F.transform(F.slice("embedding", 1, 1), lambda x: x.cast("double"))
-    return t.embeddings.select("vec_id", logits_to_probs(logit)[0].alias("prob"))
+    logits = t.embeddings.select("vec_id", F.posexplode("embedding").alias("i", "x"))
+    single = logits_to_probs(F.array(F.col("x").cast("double")))
+    return logits.select("vec_id", "i", single[0].alias("prob"))
 
 
 @query("agg_triangular", f"""
@@ -79,7 +81,7 @@ def agg_max(t):
 
 
 @query("agg_mean_logits", """
-WITH l AS (SELECT label AS file_id, unnest(range(8)) AS k, embedding FROM embeddings),
+WITH l AS (SELECT label AS file_id, unnest(range(len(embedding))) AS k, embedding FROM embeddings),
 m AS (SELECT file_id, k, avg(CAST(embedding[k + 1] AS DOUBLE)) AS logit FROM l GROUP BY 1, 2),
 p AS (SELECT file_id, k, exp(logit) / sum(exp(logit)) OVER (PARTITION BY file_id) AS prob FROM m)
 SELECT file_id, CAST(k AS INTEGER) AS top_class, round(prob, 6) AS top_prob FROM p
@@ -87,7 +89,7 @@ QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY prob DESC, k) = 1""")
 def agg_mean_logits(t):
     logits = t.embeddings.select(
         F.col("label").alias("file_id"),
-        F.posexplode(F.slice("embedding", 1, 8)).alias("class_idx", "logit"),
+        F.posexplode("embedding").alias("class_idx", "logit"),
     ).withColumn("logit", F.col("logit").cast("double"))
     return op.agg_mean_logits(logits).drop("probs")
 
