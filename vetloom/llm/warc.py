@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import keep, shared_dir, slices, texts
 
 #: Bytes read at once, payload bytes after which an archive is full, gzip level.
-CHUNK, ARCHIVE_BYTES, LEVEL = 1 << 18, 32 << 20, 4
+CHUNK, ARCHIVE_BYTES, LEVEL = 1 << 18, 32 << 20, 6
 # Fixed values of the format.
 VERSION, END = b"WARC/1.1\r\n", b"\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -268,7 +268,9 @@ def write_archives(
     first = keep(first.where("n > 1 AND first IS NOT NULL").select(F.col("sha").alias("_sha"), F.col("size").alias("_size"), "first"), "first")
     told = rows.join(first, (rows["sha"] == F.col("_sha")) & (rows["size"] == F.col("_size")), "left")
     refers = F.when(F.col("first").isNotNull() & ~F.col("page").eqNullSafe(F.col("first")), F.col("first"))
-    parts = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    # A task writes about one full archive, however large the table is.
+    total = rows.agg(F.sum("size")).first()[0] or 0
+    parts = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // ARCHIVE_BYTES), 1)
     told = told.select("page", "url", "html", refers.alias("refers"), F.pmod(F.xxhash64("page", "sha"), F.lit(parts)).alias("part"))
     dealt = told.repartition(parts, "part").sortWithinPartitions("part", "page", "url", "html")
     return keep(dealt.select("part", "page", "url", "html", "refers").mapInArrow(_writer(folder), "path string, records bigint"), "archives")
