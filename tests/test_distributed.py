@@ -59,7 +59,7 @@ def test_exact_quantiles(spark, kind):
     probs = [0.0, 0.05, 0.5, 0.95, 1.0]
     expected = [np.quantile(values, p) for p in probs]
     for small in (10**6, 3):
-        assert exact_quantiles(df, "v", probs, small_rows=small) == pytest.approx(expected)
+        assert exact_quantiles(df, "v", probs, held_rows=small) == pytest.approx(expected)
     ordered = sorted(values)
     x = df.select(F.col("v").alias("x")).filter("x IS NOT NULL")
     assert _order_statistic(x, 1234, ordered[0], ordered[-1]) == ordered[1234]

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..constants import MODEL_BERT, MODEL_LSTM, MODEL_PACKAGES
 from ..functions.text import package_directory, strip_comments, strip_whitespace
-from .quantiles import exact_quantiles
+from .quantiles import exact_quantiles_of
 from .skew import salted_join
 
 
@@ -266,7 +266,7 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
         .select("column", F.col("m.value").alias("top"), (-F.col("m.neg")).alias("freq"))
     )
     out = stats.join(frequencies, "column", "left")
-    quartiles = {c: exact_quantiles(df, c, (0.25, 0.5, 0.75)) for c in numeric}
+    quartiles = exact_quantiles_of(df, numeric, (0.25, 0.5, 0.75)) if numeric else {}
     for i, name in enumerate(("q25", "q50", "q75")):
         value = reduce(
             lambda acc, c: acc.when(F.col("column") == c, F.lit(quartiles[c][i])),

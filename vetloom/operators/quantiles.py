@@ -8,67 +8,80 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Up to this many rows one exact aggregate is used; its buffer is bounded by it.
-SMALL_ROWS = 50_000
+# Rows between two marks of the sketch that one exact aggregate may hold; its buffer is bounded by it.
+HELD_ROWS = 50_000
 ACCURACY = 10_000
 
 
 def exact_quantiles(
-    df: DataFrame, column: str, probs: Sequence[float], small_rows: int = SMALL_ROWS
+    df: DataFrame, column: str, probs: Sequence[float], held_rows: int = HELD_ROWS
 ) -> list[float | None]:
-    """Linearly interpolated quantiles, exact for any number of rows.
+    """Linearly interpolated quantiles of one column; see ``exact_quantiles_of``."""
+    return exact_quantiles_of(df, [column], probs, held_rows)[column]
 
-    Few rows: the built-in exact percentile. Many: a mergeable sketch gives an interval around each
-    wanted rank, one count shows how many rows lie below and inside it, and the rank is then looked
-    for among the rows inside, a few thousandths of the table. Only these counts reach the driver.
+
+def exact_quantiles_of(
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float], held_rows: int = HELD_ROWS
+) -> dict[str, list[float | None]]:
+    """Linearly interpolated quantiles of several columns, exact for any number of rows.
+
+    A mergeable sketch gives an interval around each wanted rank, one count shows how many rows lie
+    below and inside it, and the rank is then looked for among the rows inside, a few thousandths of
+    the table: three passes for all columns and ranks, at every size. Intervals that hold more than
+    ``held_rows`` are looked at in the same way again. Only counts and results reach the driver.
     """
-    x = df.select(F.col(column).cast("double").alias("x")).filter("x IS NOT NULL")
+    x = df.select(*[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
     marks = [min(max(p + d, 0.0), 1.0) for p in probs for d in (-2 / ACCURACY, 2 / ACCURACY)]
-    head = x.agg(
-        F.count("*").alias("n"),
-        F.min("x").alias("lo"),
-        F.max("x").alias("hi"),
-        F.percentile_approx("x", marks, ACCURACY).alias("marks"),
-    ).first()
-    n = head["n"]
-    if n == 0:
-        return [None] * len(probs)
-    if n <= small_rows:
-        return list(x.agg(F.percentile("x", list(probs)).alias("q")).first()["q"])
-    brackets = list(zip(head["marks"][::2], head["marks"][1::2]))
-    columns = []
-    for i, (lo, hi) in enumerate(brackets):
-        columns.append(F.count_if(F.col("x") < lo).alias(f"below{i}"))
-        columns.append(F.count_if(F.col("x").between(lo, hi)).alias(f"inside{i}"))
-    counts = x.agg(*columns).first()
-    out = []
-    for i, p in enumerate(probs):
-        (lo, hi), below, inside = brackets[i], counts[f"below{i}"], counts[f"inside{i}"]
-        position = p * (n - 1)
+    heads = x.agg(*[
+        F.struct(
+            F.count(f"x{i}").alias("n"), F.min(f"x{i}").alias("lo"), F.max(f"x{i}").alias("hi"),
+            F.percentile_approx(f"x{i}", marks, ACCURACY).alias("marks"),
+        ).alias(f"h{i}")
+        for i in range(len(columns))
+    ]).first()
+    wanted = [
+        (i, k, heads[i]["marks"][2 * k], heads[i]["marks"][2 * k + 1])
+        for i in range(len(columns)) if heads[i]["n"]
+        for k in range(len(probs))
+    ]
+    out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in columns}
+    if not wanted:
+        return out
+    counts = x.agg(*[
+        F.struct(
+            F.count_if(F.col(f"x{i}") < lo).alias("below"),
+            F.count_if(F.col(f"x{i}").between(lo, hi)).alias("inside"),
+        ).alias(f"c{at}")
+        for at, (i, _, lo, hi) in enumerate(wanted)
+    ]).first()
+    direct = []
+    for (i, k, lo, hi), (below, inside) in zip(wanted, counts):
+        n, name = heads[i]["n"], columns[i]
+        rows = x.select(F.col(f"x{i}").alias("x")).filter("x IS NOT NULL")
+        position = probs[k] * (n - 1)
         first, last = math.floor(position), math.ceil(position)
         held = below <= first and last < below + inside
-        if held and (inside <= small_rows or inside <= n / 2 or lo == hi):
-            out.append(_interpolate(x, lo, hi, position - below, inside, small_rows))
+        if held and (lo == hi or inside == 1):
+            out[name][k] = lo
+        elif held and inside <= held_rows:
+            fraction = (position - below) / (inside - 1)
+            value = F.when(F.col(f"x{i}").between(lo, hi), F.col(f"x{i}"))
+            direct.append((name, k, F.percentile(value, fraction)))
+        elif held and inside <= n / 2:
+            fraction = (position - below) / (inside - 1)
+            rows = rows.filter(F.col("x").between(lo, hi))
+            out[name][k] = exact_quantiles(rows, "x", [fraction], held_rows)[0]
         else:
             # The sketch missed, or equal values keep most rows inside: halve the value range.
-            ends = (lo, hi, below) if held else (head["lo"], head["hi"], 0)
-            out.append(_halve(x, *ends, position))
+            ends = (lo, hi, below) if held else (heads[i]["lo"], heads[i]["hi"], 0)
+            out[name][k] = _halve(rows, *ends, position)
+    if direct:
+        values = x.agg(*[value.alias(f"q{at}") for at, (_, _, value) in enumerate(direct)]).first()
+        for (name, k, _), value in zip(direct, values):
+            out[name][k] = value
     return out
 
 
-def _interpolate(
-    x: DataFrame, lo: float, hi: float, position: float, inside: int, small_rows: int
-) -> float:
-    """Value at a fractional position among the ``inside`` rows between ``lo`` and ``hi``."""
-    if lo == hi or inside == 1:
-        return lo
-    rows = x.filter(F.col("x").between(lo, hi))
-    fraction = position / (inside - 1)
-    if inside <= small_rows:
-        return rows.agg(F.percentile("x", fraction)).first()[0]
-    return exact_quantiles(rows, "x", [fraction], small_rows)[0]
-
-
 def _halve(x: DataFrame, lo: float, hi: float, below: int, position: float) -> float:
     """The same by value range only; ``below`` rows are smaller than ``lo``."""
     low = _order_statistic(x, math.floor(position) - below, lo, hi)
