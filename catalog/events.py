@@ -102,10 +102,14 @@ def file_analysis_store(t):
 
 @query("package_analysis")
 def package_analysis(t):
-    """Packages to comprehensive results with a freshly trained model."""
+    """Packages to comprehensive results with a freshly trained model.
+
+    ``part`` tells the packages the model was fitted on (``train``) from the held-out ones.
+    """
     from .training import _package_models
 
-    _, models = _package_models(t)
-    return plan.analyze_packages(
+    df, models = _package_models(t, ["gradient_boosting"])
+    results = plan.analyze_packages(
         t.packages, t.popular, t.verdicts, models["gradient_boosting"], email="author_email"
     ).select("name", "xgboost_prediction", "lstm_vulnerability_status", "download")
+    return results.join(df.select("name", "part"), "name", "left")

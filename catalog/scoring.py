@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from vetloom.constants import BENIGN_ALIASES, CLEAN_INDEX, CWE_CLASSES
 from vetloom.functions.vectors import logits_to_probs
 from vetloom.operators import scoring as op
+from vetloom.operators.sampling import stratified_split
+from vetloom.operators.windows import char_windows
 from vetloom.plans.analysis import score_files_in_place
 from vetloom.session import spread
 
@@ -319,19 +321,24 @@ def score_windows_function(t):
 
 @query("score_windows_model")
 def score_windows_model(t):
+    """Windows of the files that the model was not fitted on."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import HashingTF, RegexTokenizer
 
     tail = [
         RegexTokenizer(inputCol="text", outputCol="words", pattern=r"\W+"),
-        HashingTF(inputCol="words", outputCol="features", numFeatures=256),
-        LogisticRegression(maxIter=5),
+        HashingTF(inputCol="words", outputCol="features", numFeatures=1 << 16),
+        LogisticRegression(maxIter=50),
     ]
-    labelled = t.files.join(t.labels, F.col("file_id") == F.col("doc_id"))
-    train = labelled.select(F.col("content").alias("text"), F.col("toxic").cast("double").alias("label"))
+    labels = stratified_split(t.labels, "toxic", "doc_id", (0.8, 0.2), ("train", "test"))
+    fitted = labels.filter("part = 'train'").select(F.col("doc_id").alias("file_id"), "toxic")
+    train = t.files.join(fitted, "file_id").select(
+        F.col("content").alias("text"), F.col("toxic").cast("double").alias("label")
+    )
     model = Pipeline(stages=tail).fit(train)
-    return op.score_windows(t.windows, model).drop("text")
+    held_out = t.files.select("file_id", "content").join(fitted, "file_id", "left_anti")
+    return op.score_windows(char_windows(spread(held_out)), model).drop("text")
 
 
 @query("class_prob_map", f"""

@@ -129,15 +129,17 @@ def training_packages(t):
     return add_noise(df, ["vulnerability_status", "cwe_label", "download_log", "threat_level"], ["name"])
 
 
-def _package_models(t):
-    df = training_packages(t)
-    return df, ml.train_package_models(df, trees=20, rounds=5, iterations=100)
+def _package_models(t, kinds=ml.KINDS):
+    """The packages with their ``part`` and the models fitted on the training part alone."""
+    df = op.stratified_split(training_packages(t), "label", "name", (0.8, 0.2), ("train", "test"))
+    return df, ml.train_package_models(df.filter("part = 'train'"), kinds=kinds)
 
 
 @query("train_package_models")
 def train_package_models(t):
-    """One row per model and package: the predictions of all three fitted models."""
+    """One row per model and held-out package: the predictions of all three fitted models."""
     df, models = _package_models(t)
+    df = df.filter("part = 'test'")
     for name, model in models.items():
         df = ml.predict_packages(df, model, out=name, confidence=f"{name}_confidence")
     return df.unpivot(["name", "label"], list(models), "model", "prediction")
@@ -145,26 +147,28 @@ def train_package_models(t):
 
 @query("predict")
 def predict(t):
-    df, models = _package_models(t)
-    return ml.predict_packages(df, models["gradient_boosting"]).select(
+    df, models = _package_models(t, ["gradient_boosting"])
+    return ml.predict_packages(df.filter("part = 'test'"), models["gradient_boosting"]).select(
         "name", "is_malicious", "xgboost_confidence"
     )
 
 
 @query("feature_importance")
 def feature_importance(t):
-    df, models = _package_models(t)
+    df, models = _package_models(t, ["gradient_boosting"])
     return ml.feature_importance(df, models["gradient_boosting"])
 
 
 @query("train_code_classifier")
 def train_code_classifier(t):
-    """Language of a text from its tokens, standing in for the class of a file."""
+    """Language of a held-out text from its tokens, standing in for the class of a file."""
     languages = F.array(*map(F.lit, ["en", "fr", "de", "es"]))
     docs = spread(t.documents).select(
         "doc_id",
-        word_tokens(F.col("text")).alias("tokens"),
+        "text",
         F.greatest(F.array_position(languages, F.col("lang")) - 1, F.lit(0)).alias("label_idx"),
     )
-    model = ml.train_code_classifier(docs, buckets=1 << 12, iterations=10)
-    return ml.predict(docs, model, "predicted").select("doc_id", "label_idx", "predicted")
+    docs = op.stratified_split(docs, "label_idx", "doc_id", (0.8, 0.2), ("train", "test"))
+    docs = docs.withColumn("tokens", word_tokens(F.col("text")))
+    model = ml.train_code_classifier(docs.filter("part = 'train'"))
+    return ml.predict(docs.filter("part = 'test'"), model, "predicted").select("doc_id", "label_idx", "predicted")

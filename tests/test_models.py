@@ -1,6 +1,9 @@
+import inspect
+
 import pytest
 from pyspark.sql import functions as F
 
+from catalog import QUERIES
 from catalog.registry import Tables
 from catalog.training import training_packages
 from vetloom.operators import models as ml
@@ -56,3 +59,41 @@ def test_word2vec_is_repeatable(spark):
         for _ in range(2)
     ]
     assert runs[0] == runs[1] and set(runs[0]) == {"a", "b", "c"}
+
+
+@pytest.mark.parametrize("name", ["train_package_models", "predict", "package_analysis"])
+def test_package_queries_fit_whole_models_on_the_training_part(spark, monkeypatch, name):
+    fitted, fit = [], ml.train_package_models
+
+    def small(df, **options):
+        # Whatever a query does not set has the operator's default.
+        fitted.append((df, options))
+        return fit(df, **options, trees=2, rounds=2, iterations=5)
+
+    monkeypatch.setattr(ml, "train_package_models", small)
+    defaults = {k: p.default for k, p in inspect.signature(fit).parameters.items()}
+    assert (defaults["trees"], defaults["rounds"], defaults["iterations"]) == (100, 100, 1000)
+    out = QUERIES[name](spark, "/root/testdata/sf0.001")
+    (df, options), = fitted
+    assert not {"trees", "rounds", "iterations"} & set(options)
+    train = {r["name"] for r in df.select("name").collect()}
+    every = {r["name"] for r in Tables(spark, "/root/testdata/sf0.001").packages.collect()}
+    held_out = out.filter("part = 'test'") if "part" in out.columns else out
+    rest = {r["name"] for r in held_out.select("name").collect()}
+    assert train and rest and not train & rest and train | rest == every
+
+
+def test_code_classifier_is_whole_and_judged_on_held_out_texts(spark, monkeypatch):
+    fitted, fit = [], ml.train_code_classifier
+
+    def small(df, **options):
+        fitted.append((df, options))
+        return fit(df, **options, iterations=2)
+
+    monkeypatch.setattr(ml, "train_code_classifier", small)
+    out = QUERIES["train_code_classifier"](spark, "/root/testdata/sf0.001")
+    (df, options), = fitted
+    assert options == {}
+    train, rest = ({r["doc_id"] for r in x.select("doc_id").collect()} for x in (df, out))
+    assert train and rest and not train & rest
+    assert len(train | rest) == Tables(spark, "/root/testdata/sf0.001").documents.count()
