@@ -111,8 +111,7 @@ def vocabulary(t):
 
 @query("train_word2vec")
 def train_word2vec(t):
-    model = op.train_word2vec(tokens(t), size=16, epochs=1)
-    return op.model_vectors(model).select("token", F.size("vector").alias("dim"))
+    return op.model_vectors(op.train_word2vec(tokens(t)))
 
 
 @query("similar_tokens", f"""

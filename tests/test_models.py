@@ -97,3 +97,11 @@ def test_code_classifier_is_whole_and_judged_on_held_out_texts(spark, monkeypatc
     train, rest = ({r["doc_id"] for r in x.select("doc_id").collect()} for x in (df, out))
     assert train and rest and not train & rest
     assert len(train | rest) == Tables(spark, "/root/testdata/sf0.001").documents.count()
+
+
+def test_word2vec_query_trains_whole_vectors_in_all_partitions(spark):
+    df = spark.createDataFrame([(["a", "b", "c"] * 10,)] * 6, "tokens array<string>").repartition(3)
+    assert train_word2vec(df, size=4, min_count=2, epochs=1).getNumPartitions() == 3
+    out = QUERIES["train_word2vec"](spark, "/root/testdata/sf0.001")
+    assert out.columns == ["token", "vector"]
+    assert {len(r["vector"]) for r in out.collect()} == {100}

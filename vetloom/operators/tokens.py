@@ -80,9 +80,12 @@ def train_word2vec(
     min_count: int = 10,
     epochs: int = 6,
     window: int = 5,
-    partitions: int = 1,
+    partitions: int | None = None,
     seed: int = 42,
 ) -> Word2VecModel:
+    """Vectors of ``size``; the rows are trained in ``partitions`` tasks, by default one per input partition."""
+    if partitions is None:
+        partitions = max(1, df.rdd.getNumPartitions())
     return Word2Vec(
         inputCol=tokens,
         outputCol="vector",
