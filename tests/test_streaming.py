@@ -90,3 +90,24 @@ def test_timeouts_stream(spark, tmp_path):
     )
     query.awaitTermination()
     assert {r["session_id"] for r in spark.read.parquet(out).collect()} == {"slow", "lost"}
+
+
+def test_damaged_members_are_skipped_files(spark, tmp_path):
+    uploads, root = tmp_path / "in", str(tmp_path / "store")
+    uploads.mkdir()
+    whole = zip_bytes({"p/good.py": "aeiou" * 50, "p/bad1.py": "BROKEN1" * 9, "p/bad2.py": "BROKEN2" * 9})
+    (uploads / "part.zip").write_bytes(whole.replace(b"BROKEN", b"brokeN"))
+    (uploads / "all.zip").write_bytes(zip_bytes({"p/bad.py": "BROKEN"}).replace(b"BROKEN", b"brokeN"))
+    (uploads / "none.zip").write_bytes(b"no archive")
+
+    rows = {(r.archive, r.path): r for r in scan_archives(spark, f"{uploads}/*.zip", unreadable=True).collect()}
+    assert {k for k, r in rows.items() if r.error is None} == {("part", "p/good.py")}
+    assert set(rows) == {("part", f"p/{n}.py") for n in ("good", "bad1", "bad2")} | {("all", "p/bad.py"), ("none", None)}
+    assert all((r.content is None) == (r.error is not None) for r in rows.values())
+
+    stream_analyze(spark, str(uploads), root, analyze, is_bert=True, checkpoint=str(tmp_path / "check")).awaitTermination()
+    log, = sinks.read_log(spark, root).collect()
+    assert (log.filename, log.input_files, log.total_files, log.skipped_files) == ("part.zip", 3, 1, 2)
+    errors = sinks.read_results(spark, root).filter("status = 'Error'").select("file_path", "verdict").collect()
+    assert sorted(map(tuple, errors)) == [(f"p/bad{i}.py", f"{side}_error") for i in (1, 2) for side in ("mal", "vul")]
+    assert {r.filename for r in sinks.read_failures(spark, root).collect()} == {"all.zip", "none.zip"}

@@ -29,7 +29,8 @@ def _decode(df: DataFrame, on_bad_utf8: str) -> DataFrame:
     """``bytes`` to ``content``: drop rows with bad bytes, drop the bytes, or mark them."""
     raw = F.col("bytes").cast("string")
     if on_bad_utf8 == "strict":
-        return df.withColumn("content", F.try_validate_utf8(raw)).filter("content IS NOT NULL")
+        # Null bytes are those of a file that could not be read; its row stays.
+        return df.withColumn("content", F.try_validate_utf8(raw)).filter("content IS NOT NULL OR bytes IS NULL")
     replaced = F.make_valid_utf8(raw)
     if on_bad_utf8 == "replace":
         return df.withColumn("content", replaced)
@@ -48,14 +49,15 @@ def _is_source(path: Column, ignore_case: bool) -> Column:
     return keep
 
 
-def _as_files(df: DataFrame, on_bad_utf8: str) -> DataFrame:
-    """``(archive, path, name, content, size)``; size counts characters."""
+def _as_files(df: DataFrame, on_bad_utf8: str, *more: str) -> DataFrame:
+    """``(archive, path, name, content, size)`` and ``more``; size counts characters."""
     return _decode(df, on_bad_utf8).select(
         "archive",
         "path",
         F.element_at(F.split("path", "/"), -1).alias("name"),
         "content",
         F.length("content").cast("bigint").alias("size"),
+        *more,
     )
 
 
@@ -77,44 +79,56 @@ def scan_source_files(
     return _as_files(rows, on_bad_utf8)
 
 
-def _members(batches: Iterator[pd.DataFrame], fail: bool) -> Iterator[pd.DataFrame]:
-    """Files of the archives of one task, a bounded number of bytes at a time."""
+def _members(batches: Iterator[pd.DataFrame], fail: bool, unreadable: bool) -> Iterator[pd.DataFrame]:
+    """Files of the archives of one task, a bounded number of bytes at a time.
+
+    A damaged member is a row without bytes that says what is wrong; so is an ``unreadable`` archive
+    as a whole, without a path, if asked for.
+    """
+    columns = ["archive", "path", "bytes", "error"]
     limit = 32 * 1024 * 1024
     for batch in batches:
         for archive, data in zip(batch["archive"], batch["bytes"]):
             rows, held = [], 0
             try:
                 opened = zipfile.ZipFile(io.BytesIO(data))
-            except DAMAGE:
+            except DAMAGE as e:
                 if fail:
                     raise
+                if unreadable:
+                    row = (archive, None, None, f"{type(e).__name__}: {e}")
+                    yield pd.DataFrame([row], columns=columns)
                 continue
             for info in opened.infolist():
                 if info.is_dir() or not info.filename.lower().endswith(".py"):
                     continue
                 try:
                     member = opened.read(info)
-                except DAMAGE:
+                except DAMAGE as e:
                     # This member only; the others of the archive are read.
                     if fail:
                         raise
+                    rows.append((archive, info.filename, None, f"{type(e).__name__}: {e}"))
                     continue
-                rows.append((archive, info.filename, member))
+                rows.append((archive, info.filename, member, None))
                 held += len(member)
                 if held > limit:
-                    yield pd.DataFrame(rows, columns=["archive", "path", "bytes"])
+                    yield pd.DataFrame(rows, columns=columns)
                     rows, held = [], 0
             if rows:
-                yield pd.DataFrame(rows, columns=["archive", "path", "bytes"])
+                yield pd.DataFrame(rows, columns=columns)
 
 
-def expand_archives(archives: DataFrame, fail: bool = False) -> DataFrame:
+def expand_archives(archives: DataFrame, fail: bool = False, unreadable: bool = False) -> DataFrame:
     """``(archive, bytes)`` to one row per Python member, inside the tasks that hold the archive.
 
+    Members that cannot be read have null bytes and an ``error``, and so have archives with ``unreadable``.
+
     The members are then spread by path, since one archive may hold most of the files.
     """
     members = archives.mapInPandas(
-        lambda batches: _members(batches, fail), "archive string, path string, bytes binary"
+        lambda batches: _members(batches, fail, unreadable),
+        "archive string, path string, bytes binary, error string",
     )
     return members.repartition(F.xxhash64("archive", "path"))
 
@@ -129,20 +143,30 @@ def scan_archives(
     on_bad_utf8: str = "strict",
     fail: bool = False,
     ignore_case: bool = True,
+    unreadable: bool = False,
 ) -> DataFrame:
-    """Python files of all ZIP archives matching ``path``; unreadable archives are skipped."""
+    """Python files of all ZIP archives matching ``path``, as ``archive_files`` gives them."""
     zips = spark.read.format("binaryFile").load(path).select(
         archive_stem(F.col("path")).alias("archive"), F.col("content").alias("bytes")
     )
-    return archive_files(zips, on_bad_utf8, fail, ignore_case)
+    return archive_files(zips, on_bad_utf8, fail, ignore_case, unreadable)
 
 
 def archive_files(
-    archives: DataFrame, on_bad_utf8: str = "strict", fail: bool = False, ignore_case: bool = True
+    archives: DataFrame,
+    on_bad_utf8: str = "strict",
+    fail: bool = False,
+    ignore_case: bool = True,
+    unreadable: bool = False,
 ) -> DataFrame:
-    """File table of ``(archive, bytes)``; the batch scan and the stream of uploads share it."""
-    members = expand_archives(archives, fail).withColumn("path", unix_path(F.col("path")))
-    return _as_files(members.filter(_is_source(F.col("path"), ignore_case)), on_bad_utf8)
+    """File table of ``(archive, bytes)``; the batch scan and the stream of uploads share it.
+
+    A damaged member has null ``content`` and ``size`` and its ``error``. An archive that is none has no
+    row, or with ``unreadable`` one without a path.
+    """
+    members = expand_archives(archives, fail, unreadable).withColumn("path", unix_path(F.col("path")))
+    keep = F.col("path").isNull() | _is_source(F.col("path"), ignore_case)
+    return _as_files(members.filter(keep), on_bad_utf8, "error")
 
 
 def scan_package_metadata(spark: SparkSession, path: str) -> DataFrame:

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.files import drop_empty_content
 from ..plans.analysis import session_log
 from ..sources.scans import archive_files, archive_stem
 from ..sources.sinks import append_failures, append_log, append_results, run_results
@@ -31,8 +30,10 @@ def stream_analyze(
     ``analyze`` turns a file table with ``session_id`` into routed result rows. The run id names the
     stream by its ``checkpoint``, a folder all machines share, and the batch by its number: a batch
     that is retried replaces its own run, and another stream never does. A session is one archive.
-    Archives are read as the batch scan reads them; empty files are left out. An archive without
-    a readable source file is an ``analysis_failed`` event and gets no log row.
+    Archives are read as the batch scan reads them; empty files are left out. Damaged members reach
+    ``analyze`` with null ``content`` and have to leave it as unscored rows without ``file_size``; the
+    log counts them as skipped. An archive without a readable source file is an ``analysis_failed``
+    event and gets no log row.
     """
     arriving = (
         spark.readStream.format("binaryFile")
@@ -53,15 +54,19 @@ def stream_analyze(
 
     def run(batch: DataFrame, batch_id: int) -> None:
         run_id = f"{stream_id}-{batch_id:012d}"
-        files = drop_empty_content(archive_files(batch.select("archive", "bytes")))
+        members = archive_files(batch.select("archive", "bytes"))
+        files = members.filter("length(content) > 0 OR error IS NOT NULL")
         append_results(analyze(files.withColumn("session_id", F.col("archive"))), root, run_id)
         # The log is made from what was written, so files are scored once per batch.
         session = batch.sparkSession
         sessions = batch.select(F.col("archive").alias("session_id"), "filename", "file_size")
         written = run_results(session, root, run_id)
-        failed = sessions.join(written, "session_id", "left_anti")
+        # Only damaged members have no size.
+        readable = written.filter("file_size IS NOT NULL").select("session_id").distinct()
+        failed = sessions.join(readable, "session_id", "left_anti")
         append_failures(failed.withColumn("event", F.lit("analysis_failed")), root, run_id)
-        append_log(sessions.join(session_log(written, mode, is_bert), "session_id"), root, run_id)
+        log = session_log(written.join(readable, "session_id", "left_semi"), mode, is_bert)
+        append_log(sessions.join(log, "session_id"), root, run_id)
 
     writer = arriving_writer(uploads, run, checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
