@@ -8,7 +8,7 @@ from vetloom.operators import tokens as op
 from vetloom.operators.windows import char_windows, token_windows
 from vetloom.session import spread
 
-from .registry import FILES, WINDOWS, query
+from .registry import FILES, ORACLES, WINDOWS, query
 
 TOKENS = FILES + """,
 tokens AS (SELECT file_id, regexp_extract_all(content, '[\\p{L}\\p{N}_]+') AS tokens FROM files),
@@ -150,12 +150,12 @@ def embed_tokens_zero(t):
     return _digest(op.embed_tokens(rows, vectors(t).drop("vec_id"), "zero", DIM))
 
 
-def _sequence_digest(df):
+def _sequence_digest(df, *more):
     weighted = F.transform(
         "sequence", lambda v, i: (i + 1) * array_sum(F.transform(v, lambda x: x.cast("double")))
     )
     return df.select(
-        "file_id", "n_known", F.size("sequence").alias("length"), array_sum(weighted).alias("total")
+        "file_id", "n_known", F.size("sequence").alias("length"), array_sum(weighted).alias("total"), *more
     )
 
 
@@ -181,6 +181,27 @@ def fix_length_zero(t):
     return _sequence_digest(op.fix_length(rows, vectors(t).drop("vec_id"), 100, "zero", DIM))
 
 
+def every_file_sql(oov: str) -> str:
+    """The rows of ``fix_length_<oov>`` and an error row for each file that has none."""
+    return f"""
+WITH s AS ({ORACLES[f"fix_length_{oov}"]})
+SELECT d.doc_id AS file_id, coalesce(n_known, 0) AS n_known, 100 AS length, coalesce(total, 0e0) AS total,
+  CASE WHEN n_known IS NULL THEN 'Error' ELSE 'OK' END AS status
+FROM documents d LEFT JOIN s ON d.doc_id = s.file_id"""
+
+
+def every_file_query(oov: str):
+    @query(f"fix_length_{oov}_every_file", every_file_sql(oov))
+    def run(t):
+        rows, files = op.explode_tokens(tokens(t)), t.files.select("file_id")
+        out = op.fix_length(rows, vectors(t).drop("vec_id"), 100, oov, DIM, files=files)
+        return _sequence_digest(out, "status")
+
+
+for _oov in ("drop", "zero"):
+    every_file_query(_oov)
+
+
 @query("first_appearance_rank", f"""
 WITH {TOKENS}, firsts AS (SELECT file_id, token, min(pos) AS p FROM exploded GROUP BY 1, 2)
 SELECT file_id, token, CAST(dense_rank() OVER (PARTITION BY file_id ORDER BY p) AS INTEGER)

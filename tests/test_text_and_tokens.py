@@ -161,3 +161,14 @@ def test_fix_length(spark):
     zero = {r["file_id"]: r for r in fix_length(tokens, vectors, 4, "zero", 2).collect()}
     assert [v[0] for v in zero[1]["sequence"]] == [0.0, 1.0, 0.0, 2.0]
     assert [v[0] for v in zero[2]["sequence"]] == [0.0, 0.0, 0.0, 0.0]
+
+
+def test_fix_length_keeps_files_without_tokens(spark):
+    tokens = spark.createDataFrame([(1, 0, "a"), (2, 0, "q")], "file_id int, pos int, token string")
+    files = spark.createDataFrame([(1,), (2,), (3,)], "file_id int")
+    vectors = spark.createDataFrame([("a", [1.0, 1.0])], "token string, vector array<float>")
+    for oov, known in (("drop", [1, 0, 0]), ("zero", [1, 1, 0])):
+        out = fix_length(tokens, vectors, 2, oov, 2, files=files).orderBy("file_id").collect()
+        assert [r["n_known"] for r in out] == known
+        assert [r["status"] for r in out] == ["OK" if n else "Error" for n in known]
+        assert out[2]["sequence"] == [[0.0, 0.0]] * 2

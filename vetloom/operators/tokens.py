@@ -150,9 +150,14 @@ def fix_length(
     oov: str = "drop",
     dim: int = 100,
     key: str = "file_id",
+    files: DataFrame | None = None,
 ) -> DataFrame:
     """First ``n`` vectors of every file, zero-padded: ``(key, n_known, sequence)``.
 
+    With ``files``, a table that holds every key once, files without a sequence are kept: their
+    ``n_known`` is 0, their sequence all zeros and their ``status`` ``Error`` (else ``OK``). Without it
+    only files that have tokens to keep can be told.
+
     With ``zero`` the position filter runs before the vector join. With ``drop`` positions are
     ranked again among known tokens, and Spark keeps at most ``n`` rows per file and task before
     the shuffle, so a huge file does not arrive in one task.
@@ -170,9 +175,18 @@ def fix_length(
         F.array_sort(F.collect_list(F.struct("pos", "vector")))["vector"].alias("seq")
     )
     padding = F.array_repeat(zeros(dim), n - F.size("seq"))
-    return rows.select(
+    told = rows.select(
         key, F.size("seq").alias("n_known"), F.concat("seq", padding).alias("sequence")
     )
+    if files is None:
+        return told
+    empty = F.array_repeat(zeros(dim), n)
+    return files.select(key).join(told, key, "left").select(
+        key,
+        F.coalesce("n_known", F.lit(0)).alias("n_known"),
+        F.coalesce("sequence", empty).alias("sequence"),
+        F.when(F.col("n_known").isNull(), "Error").otherwise("OK").alias("status"),
+    )
 
 
 def first_appearance_rank(df: DataFrame, tokens: str = "tokens", key: str = "file_id") -> DataFrame:
