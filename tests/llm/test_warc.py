@@ -81,3 +81,17 @@ def test_written_again_the_files_are_the_same(spark):
 
     first = state()
     assert first and state() == first
+
+
+def test_batches_of_equal_ids_and_lengths_are_all_kept(spark):
+    rows = [(None, f"http://x/{i:03d}", None) for i in range(300)] + [(7, f"http://y/{i:03d}", f"{i:03d}") for i in range(300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, 2)
+    try:
+        found = warc.warc_round_trip(pages).collect()
+    finally:
+        spark.conf.set(size, before)
+    assert sorted(r.url for r in found) == sorted(r[1] for r in rows)
+    assert sorted(bytes(r.payload).decode() for r in found if r.page_id == 7) == [r[2] for r in rows[300:]]

@@ -175,9 +175,13 @@ class _Placed:
 
 def _writer(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Monolithic archives: all records of a file in one gzip member."""
-        for batch in slices(batches, 3, ARCHIVE_BYTES):
-            name = f"{batch.column(0)[0].as_py():08d}-{_page_key(batch.column(1)[0].as_py(), batch)}.warc.gz"
+        """Monolithic archives: all records of a file in one gzip member.
+
+        A part lies in one task, so part and number of the batch tell all archives apart. The rows of a task
+        are in total order, so a task that runs again cuts and numbers them alike.
+        """
+        for number, batch in enumerate(slices(batches, 3, ARCHIVE_BYTES)):
+            name = f"{batch.column(0)[0].as_py():08d}-{number:06d}-{_page_key(batch.column(1)[0].as_py())}.warc.gz"
             packer = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
             with _Placed(f"{folder}/{name}") as file:
                 for i, (page, url, refers) in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 2, 4)))):
@@ -189,10 +193,8 @@ def _writer(folder: str):
     return run
 
 
-def _page_key(page: int | None, batch: pa.RecordBatch) -> str:
-    """Tells the archives of a partition apart, also if pages repeat: first page and a digest of the ids."""
-    ids = ",".join(map(str, batch.column(1).to_pylist())) + "|" + ",".join(str(len(t)) for t in texts(batch.column(3)))
-    return f"{'none' if page is None else page}-{hashlib.sha1(ids.encode()).hexdigest()[:12]}"
+def _page_key(page: int | None) -> str:
+    return "none" if page is None else str(page)
 
 
 def _normaliser(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,10 +270,11 @@ def write_archives(
     first = keep(first.where("n > 1 AND first IS NOT NULL").select(F.col("sha").alias("_sha"), F.col("size").alias("_size"), "first"), "first")
     told = rows.join(first, (rows["sha"] == F.col("_sha")) & (rows["size"] == F.col("_size")), "left")
     refers = F.when(F.col("first").isNotNull() & ~F.col("page").eqNullSafe(F.col("first")), F.col("first"))
-    # A task writes about one full archive, however large the table is.
+    # A task writes about one full archive, however large the table is; rows that share an id (or have none)
+    # and a payload are spread by their url.
     total = rows.agg(F.sum("size")).first()[0] or 0
     parts = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // ARCHIVE_BYTES), 1)
-    told = told.select("page", "url", "html", refers.alias("refers"), F.pmod(F.xxhash64("page", "sha"), F.lit(parts)).alias("part"))
+    told = told.select("page", "url", "html", refers.alias("refers"), F.pmod(F.xxhash64("page", "sha", "url"), F.lit(parts)).alias("part"))
     dealt = told.repartition(parts, "part").sortWithinPartitions("part", "page", "url", "html")
     return keep(dealt.select("part", "page", "url", "html", "refers").mapInArrow(_writer(folder), "path string, records bigint"), "archives")
 
