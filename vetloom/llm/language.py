@@ -71,7 +71,7 @@ def codewords(classes: int, seed: int = 1) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Languages, their codewords, one weight vector per bit and the say of each bit."""
+    """Languages, their codewords, one weight vector per bit and 1 for each bit that parts the classes, else 0."""
 
     langs: list[str]
     code: np.ndarray
@@ -125,7 +125,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
 
 
 def decode(margins: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Loss-weighted decoding: index of the language with the smallest loss, its score and the gap.
+    """Loss-based decoding with equal weights: index of the language with the smallest loss, its score and the gap.
 
     The loss of a language is the sum over bits of log(1 + exp(-2 c m)) for its codeword bit c and the
     classifier's margin m. ``score`` is the share of exp(-loss); ``gap`` is the distance to the runner-up
