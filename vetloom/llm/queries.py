@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embeddings, language, mixing, simhash, suffixes, topk, urls, warc
+from . import bpe, chat, embeddings, language, mixing, packing, simhash, suffixes, topk, urls, warc
 from .common import keep, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -237,3 +237,15 @@ def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     captures = pages.withColumn("day", F.date_add(F.to_date(F.lit("2024-01-01")), (F.col("page_id") % 366).cast("int")))
     return urls.judge(captures, url_lists(pages)).select("page_id", "day", "blocked", "by_list", "by_pattern", "since")
+
+
+@query("op13_packing")
+def packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    found = packing.pack_texts(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end=1,
+        limits=packing.Limits(tokens=2048, segments=256, loss=2048))
+    return found.select(
+        F.col("example").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"),
+        F.col("example_tokens").alias("doc_tokens"), "sequence_id", "offset")
