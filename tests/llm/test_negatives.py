@@ -60,25 +60,21 @@ def test_empty_table(spark):
 def test_intervals_hold_the_scores_and_leave_few_rows():
     rng = np.random.default_rng(6)
     for dim, most in ((3, 10), (64, 100), (100, 1 << 20)):
-        values, q = rng.integers(-most, most, (500, dim)), rng.integers(-most, most, dim)
-        codes, anchor, seen = negatives.Codes(values), negatives.Anchor(q, negatives.LEVELS), []
-
-        def choose(low, high):
-            scores = values @ q
-            assert ((low <= scores) & (scores <= high)).all()
-            seen.append((high - low).mean())
-            return np.ones(len(low), bool)
-
-        codes.narrowed(anchor, np.arange(500), choose)
-        assert len(seen) == negatives.LEVELS and seen == sorted(seen, reverse=True)
+        values, q = rng.integers(-most, most, (500, dim)), rng.integers(-most, most, (7, dim))
+        codes, anchors, widths = negatives.Codes(values), negatives.Anchors(q, negatives.LEVELS), []
+        for levels in range(1, negatives.LEVELS + 1):
+            low, high = codes.intervals(anchors, np.arange(7), slice(0, 500), levels)
+            assert ((low <= q @ values.T) & (q @ values.T <= high)).all()
+            widths.append((high - low).mean())
+        assert widths == sorted(widths, reverse=True)
     centres = rng.normal(size=(20, 64)) * 100
     values = np.rint(centres[rng.integers(0, 20, 5000)] + rng.normal(size=(5000, 64)) * 10).astype(np.int64)
     codes, scored = negatives.Codes(values), []
     plain = codes.scores
-    codes.scores = lambda anchor, at: scored.append(len(at)) or plain(anchor, at)
+    codes.scores = lambda anchors, i, at: scored.append(len(at)) or plain(anchors, i, at)
     ids = np.arange(5000)
-    for i in range(20):
-        found, scores = negatives.best(codes, ids, negatives.Anchor(values[i], negatives.LEVELS), ids[ids != i], 5)
+    block = negatives.Block(ids, ["a"] * 5000, codes)
+    for i, found, scores in block.best(negatives.Anchors(values[:20], negatives.LEVELS), list(range(20)), ["a"] * 20, 5):
         exact = values @ values[i]
         assert found.tolist() == [j for j in np.lexsort((ids, -exact)) if j != i][:5] and (scores == exact[found]).all()
-    assert max(scored) < 1000
+    assert len(scored) == 20 and max(scored) < 1000

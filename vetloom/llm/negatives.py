@@ -4,7 +4,8 @@ A vector x is stored as the signs c of its rotated components, its alignment a =
 length 1) and the length of what is left, e = x - a c. The inner product with an anchor q is a <q, c>,
 which popcounts give, plus <q, e>. As e is orthogonal to c, Cauchy-Schwarz bounds the latter by
 |e| sqrt(|q|^2 - <q, c>^2): a certain interval, not an estimate with an error probability. What is left
-is coded again for the rows that an interval leaves open, and rows that stay open are scored in integers.
+is coded again in the same way, which narrows the interval level by level, and only rows whose interval
+leaves them open are scored in integers.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from .vectors import rows_of
 
 #: Bytes of a block of candidates (at 8 a component) and of a group of anchors; codes a row; bits of an anchor's component.
 BLOCK_BYTES, LEAST_BYTES, GROUP_BYTES, LEVELS, PLANES = 64 << 20, 1 << 20, 128 << 10, 4, 8
+#: Intervals worked out together, a bound on the memory they take.
+TOGETHER = 1 << 17
 #: Scores beyond a long are held at its ends.
 LONG = (1 << 63) - 1
 
@@ -71,22 +74,24 @@ def _words(bits: np.ndarray) -> np.ndarray:
     return np.packbits(np.pad(bits, ((0, 0), (0, short))), axis=1, bitorder="little").view(np.uint64)
 
 
-class Anchor:
-    """An anchor's rotated components, cut into bit planes."""
+class Anchors:
+    """Anchors of one length: rotated, and each component cut into bit planes."""
 
     def __init__(self, values: np.ndarray, levels: int):
         self.values, self.coded = values, values.dtype != object
         if not self.coded:
             return
-        q, dim = values.astype(np.float64), len(values)
-        self.length, self.levels = float(np.sqrt(q @ q)), []
+        q, dim = values.astype(np.float64), values.shape[1]
+        self.floats, self.length, self.levels = q, np.sqrt(np.einsum("ij,ij->i", q, q)), []
+        self.most = np.abs(values).max(axis=1, initial=0).tolist()
         for level in range(levels):
-            q = rotation(dim, level) @ q
-            low, step = float(q.min()), float(np.ptp(q)) / ((1 << PLANES) - 1) or 1.0
-            k = np.rint((q - low) / step).astype(np.int64)
-            planes = [_words((k >> b & 1).astype(bool)[None, :])[0] for b in range(PLANES)]
-            near = low + step * k
-            self.levels.append((planes, low, step, float(near.sum()), float(np.abs(q - near).sum()) / np.sqrt(dim)))
+            q = q @ rotation(dim, level).T
+            low, step = q.min(axis=1), np.ptp(q, axis=1) / ((1 << PLANES) - 1)
+            step[step == 0] = 1.0
+            k = np.rint((q - low[:, None]) / step[:, None]).astype(np.int64)
+            near = low[:, None] + step[:, None] * k
+            planes = [_words((k >> b & 1).astype(bool)) for b in range(PLANES)]
+            self.levels.append((planes, low, step, near.sum(axis=1), np.abs(q - near).sum(axis=1) / np.sqrt(dim)))
 
 
 class Codes:
@@ -96,7 +101,8 @@ class Codes:
         self.values, self.coded = values, values.dtype != object
         if not self.coded:
             return
-        left, self.root = values.astype(np.float64), np.sqrt(values.shape[1])
+        self.floats, self.root = values.astype(np.float64), np.sqrt(values.shape[1])
+        left = self.floats
         self.length = np.sqrt(np.einsum("ij,ij->i", left, left))
         self.most, self.levels = int(np.abs(values).max()) if values.size else 0, []
         for level in range(levels):
@@ -107,51 +113,106 @@ class Codes:
             code = _words(up)
             self.levels.append((code, np.bitwise_count(code).sum(axis=1, dtype=np.int64), align, np.sqrt(np.einsum("ij,ij->i", left, left))))
 
-    def narrowed(self, anchor: Anchor, at: np.ndarray, choose) -> np.ndarray:
-        """The rows of ``at`` that ``choose(low, high)`` keeps, asked once a level with tighter intervals."""
-        if not (self.coded and anchor.coded):
-            return at
-        about, loose = np.zeros(len(at)), np.zeros(len(at))
-        for (code, ones, align, rest), (planes, low, step, total, error) in zip(self.levels, anchor.levels):
-            if not len(at):
-                break
-            own, hits = code[at], np.zeros(len(at), np.int64)
+    def intervals(self, anchors: Anchors, which: slice, rows: slice, levels: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Lower and upper ends of the scores of some anchors (down) and rows (across)."""
+        about = loose = 0.0
+        for (code, ones, align, rest), (planes, low, step, total, error) in list(zip(self.levels, anchors.levels))[:levels]:
+            own, hits = code[rows], 0
             for b, plane in enumerate(planes):
-                hits += np.bitwise_count(own & plane).sum(axis=1, dtype=np.int64) << b
-            along = (2 * (low * ones[at] + step * hits) - total) / self.root
-            about += align[at] * along
-            loose += align[at] * error
-            across = np.sqrt(np.maximum(anchor.length**2 - np.maximum(np.abs(along) - error, 0) ** 2, 0))
-            # The last term covers the rounding of doubles.
-            reach = loose + rest[at] * across + 1e-9 * self.length[at] * anchor.length + 1e-6
-            kept = choose(about - reach, about + reach)
-            at, about, loose = at[kept], about[kept], loose[kept]
-        return at
-
-    def scores(self, anchor: Anchor, at: np.ndarray) -> np.ndarray:
-        """Integer inner products."""
-        rows = self.values[at]
-        if self.coded and anchor.coded:
-            bound = self.most * int(np.abs(anchor.values).max(initial=0)) * rows.shape[1]
+                for word in range(own.shape[1]):
+                    hits = hits + (np.bitwise_count(own[None, :, word] & plane[which, word][:, None]).astype(np.int32) << b)
+            along = (2 * (low[which, None] * ones[rows] + step[which, None] * hits) - total[which, None]) / self.root
+            about = about + align[rows] * along
+            loose = loose + align[rows] * error[which, None]
+            across = np.sqrt(np.maximum(anchors.length[which, None] ** 2 - np.maximum(np.abs(along) - error[which, None], 0) ** 2, 0))
+        # The last terms cover the rounding of doubles.
+        reach = loose + rest[rows] * across + 1e-9 * self.length[rows] * anchors.length[which, None] + 1e-6
+        return about - reach, about + reach
+
+    def scores(self, anchors: Anchors, one: int, at: np.ndarray) -> np.ndarray:
+        """Integer inner products of one anchor."""
+        if self.coded and anchors.coded:
+            bound = self.most * anchors.most[one] * self.values.shape[1]
             if bound < 1 << 53:
-                return (rows.astype(np.float64) @ anchor.values.astype(np.float64)).astype(np.int64)
+                return (self.floats[at] @ anchors.floats[one]).astype(np.int64)
             if bound <= LONG:
-                return rows @ anchor.values
-        exact = rows.astype(object) @ anchor.values.astype(object)
+                return self.values[at] @ anchors.values[one]
+        exact = self.values[at].astype(object) @ anchors.values[one].astype(object)
         return np.array([max(-LONG, min(LONG, s)) for s in exact], np.int64)
 
+    def open_rows(self, anchors: Anchors, which: np.ndarray, rows: slice, choose) -> Iterator[tuple[int, np.ndarray]]:
+        """For each of the anchors ``which``, the rows that ``choose(anchor, low, high)`` leaves open."""
+        n = rows.stop - rows.start
+        if not (self.coded and anchors.coded) or not n:
+            yield from ((i, np.arange(rows.start, rows.stop)) for i in which.tolist())
+            return
+        step = max(1, TOGETHER // n)
+        for start in range(0, len(which), step):
+            part = which[start : start + step]
+            low, high = self.intervals(anchors, part, rows)
+            for i, a, b in zip(part.tolist(), low, high):
+                yield i, np.flatnonzero(choose(i, a, b)) + rows.start
+
 
 def _least(low: np.ndarray, k: int) -> float:
     """The k-th largest lower end: no row below it can be among the k best."""
     return np.partition(low, len(low) - k)[len(low) - k] if len(low) >= k else -np.inf
 
 
-def best(codes: Codes, ids: np.ndarray, anchor: Anchor, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and scores of the ``k`` highest scores among the rows ``at``, ties to the smaller id."""
-    at = codes.narrowed(anchor, at, lambda low, high: high >= _least(low, k))
-    scores = codes.scores(anchor, at)
-    first = np.lexsort((ids[at], -scores))[:k]
-    return ids[at][first], scores[first]
+class Block:
+    """Candidates in the order of their labels."""
+
+    def __init__(self, ids: np.ndarray, labels: list[str], codes: Codes):
+        self.ids, self.codes, self.spans = ids, codes, {}
+        for i, label in enumerate(labels):
+            self.spans[label] = (self.spans.get(label, (i,))[0], i + 1)
+
+    def best(self, anchors: Anchors, own: list[int], labels: list[str], k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Anchor, ids and scores of the ``k`` highest scores of its label, ties to the smaller id."""
+        for label in sorted(set(labels) & set(self.spans)):
+            rows = slice(*self.spans[label])
+            which = np.array([i for i, x in enumerate(labels) if x == label])
+
+            def choose(i, low, high):
+                other = self.ids[rows] != own[i]
+                return other & (high >= _least(low[other], k))
+
+            for i, at in self.codes.open_rows(anchors, which, rows, choose):
+                at = at[self.ids[at] != own[i]]
+                yield i, *self._first(at, self.codes.scores(anchors, i, at), k)
+
+    def within(self, anchors: Anchors, own: list[int], labels: list[str], windows: list[list[tuple[int, int]]], k: int):
+        """Anchor, number of the window, ids and scores of the ``k`` highest scores of other labels in each window."""
+        allowed = np.ones(len(self.ids), bool)
+
+        def other(i):
+            keep = allowed.copy()
+            keep[slice(*self.spans.get(labels[i], (0, 0)))] = False
+            return keep & (self.ids != own[i])
+
+        def choose(i, low, high):
+            if not windows[i]:
+                return np.zeros(len(low), bool)
+            # Rows that reach any window at all; only they are looked at window by window.
+            mine = other(i) & (high >= min(least for least, _ in windows[i])) & (low <= max(most for _, most in windows[i]))
+            at = np.flatnonzero(mine)
+            low, high, kept = low[at], high[at], np.zeros(len(at), bool)
+            for least, most in windows[i]:
+                sure = low[(low >= least) & (high <= most)]
+                kept |= (high >= max(_least(sure, k), least)) & (low <= most)
+            mine[at] = kept
+            return mine
+
+        for i, at in self.codes.open_rows(anchors, np.arange(len(own)), slice(0, len(self.ids)), choose):
+            at = at[other(i)[at]]
+            scores = self.codes.scores(anchors, i, at)
+            for number, (least, most) in enumerate(windows[i]):
+                inside = (scores >= least) & (scores <= most)
+                yield i, number, *self._first(at[inside], scores[inside], k)
+
+    def _first(self, at: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        first = np.lexsort((self.ids[at], -scores))[:k]
+        return self.ids[at][first], scores[first]
 
 
 def window(positive: int, low: int, high: int) -> tuple[int, int]:
@@ -159,24 +220,6 @@ def window(positive: int, low: int, high: int) -> tuple[int, int]:
     return -(-low * positive // 100), high * positive // 100
 
 
-def best_within(codes: Codes, ids: np.ndarray, anchor: Anchor, at: np.ndarray, windows: list[tuple[int, int]], k: int):
-    """For each window of scores, ids and scores of the ``k`` highest among the rows ``at``."""
-
-    def choose(low, high):
-        kept = np.zeros(len(low), bool)
-        for least, most in windows:
-            sure = low[(low >= least) & (high <= most)]
-            kept |= (high >= max(_least(sure, k), least)) & (low <= most)
-        return kept
-
-    at = codes.narrowed(anchor, at, choose)
-    scores, own = codes.scores(anchor, at), ids[at]
-    for least, most in windows:
-        inside = np.flatnonzero((scores >= least) & (scores <= most))
-        first = inside[np.lexsort((own[inside], -scores[inside]))[:k]]
-        yield own[first], scores[first]
-
-
 def _integers(scale: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,32 +249,28 @@ def _search(k: int, levels: int, share: tuple[int, int] | None):
     """Blocks as they come, each before the anchors that were sent to it; codes are made once a block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = codes = ids = spans = None
+        place = block = None
         for batch in batches:
             for row in batch.to_pylist():
                 here = row["dim"], row["part"]
                 if row["vecs"] is not None:
-                    place, ids, labels = here, np.array(row["vecs"], np.int64), row["labels"]
-                    codes, spans = Codes(unpack(row["width"], row["data"], row["dim"]), levels), {}
-                    for i, label in enumerate(labels):
-                        spans[label] = (spans.get(label, (i,))[0], i + 1)
+                    codes = Codes(unpack(row["width"], row["data"], row["dim"]), levels)
+                    place, block = here, Block(np.array(row["vecs"], np.int64), row["labels"], codes)
                     continue
                 if here != place:
                     continue
                 out: list[tuple] = []
-                for a in row["anchors"]:
-                    anchor = Anchor(unpack(a["width"], a["q"], row["dim"])[0], levels)
-                    start, end = spans.get(a["label"], (0, 0))
-                    if share is None:
-                        at = np.arange(start, end)
-                        vecs, scores = best(codes, ids, anchor, at[ids[at] != a["vec"]], k)
-                        out += [(a["vec"], a["key"], None, v, s) for v, s in zip(vecs.tolist(), scores.tolist())]
-                        continue
-                    at = np.r_[0:start, end : len(ids)]
-                    windows = [window(p, *share) for p in a["around"]]
-                    found = best_within(codes, ids, anchor, at[ids[at] != a["vec"]], windows, k)
-                    for p, (vecs, scores) in zip(a["around"], found):
-                        out += [(a["vec"], a["key"], p, v, s) for v, s in zip(vecs.tolist(), scores.tolist())]
+                group = row["anchors"]
+                own, labels, keys = ([a[c] for a in group] for c in ("vec", "label", "key"))
+                anchors = Anchors(np.concatenate([unpack(a["width"], a["q"], row["dim"]) for a in group]), levels)
+                if share is None:
+                    for i, vecs, scores in block.best(anchors, own, labels, k):
+                        out += [(own[i], keys[i], None, v, s) for v, s in zip(vecs.tolist(), scores.tolist())]
+                else:
+                    around = [a["around"] for a in group]
+                    windows = [[window(p, *share) for p in ps] for ps in around]
+                    for i, n, vecs, scores in block.within(anchors, own, labels, windows, k):
+                        out += [(own[i], keys[i], around[i][n], v, s) for v, s in zip(vecs.tolist(), scores.tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [()] * 5, _FOUND)], schema=_FOUND)
 
     return run
