@@ -52,11 +52,11 @@ def corpus(seed, docs):
     return rows + [(None, "en"), ("", None), (" \t.,\n", "xx"), ("the same phrase " * 50, "fr"), ("The Same Phrase " * 5, "fr")]
 
 
-@pytest.mark.parametrize("least,first", [(20, 2000), (12, 7), (1, 30)])
-def test_matches_brute_force(spark, least, first):
+@pytest.mark.parametrize("least,first,block,added", [(20, 2000, 1 << 21, 1024), (12, 7, 300, 2), (1, 30, 40, 1024)])
+def test_matches_brute_force(spark, least, first, block, added):
     rows = corpus(least, 150)
     frame = spark.createDataFrame([(*r, 1, "clash") for r in rows], SCHEMA).repartition(3)
-    found = phrases.collocations(frame, least=least, first=first).collect()
+    found = phrases.collocations(frame, least=least, first=first, block=block, added=added).collect()
     assert sorted(map(tuple, found)) == brute(rows, least, first=first)
 
 

@@ -3,16 +3,19 @@
 Words get ids by frequency, so pairs of frequent words crowd into a few square tiles of the id plane,
 which are counted with ``bincount``; the thin rest is counted as sorted coordinates. Frequent pairs are
 ranked and become the ids of the next level: two neighbouring pairs are a phrase of three words, and so
-on. Ids never leave for every task: a block asks the buckets of its own pairs which are frequent.
+on. Ids are never sent to every task: a block sends its words or pairs, packed, to the buckets that count
+them, and each bucket replies to the block which of them are frequent and what their ids are.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,10 +24,12 @@ from .common import keep, slices, texts
 
 #: Bits of a tile's side, occurrences from which a tile is counted densely, words of a block, bytes folded at once.
 TILE_BITS, DENSE, BLOCK, CHUNK = 8, 4096, 1 << 21, 1 << 20
-#: Distinct words of a block, pairs of a bucket, pairs that wait to be added up.
-DISTINCT, BUCKET, WAITING = 1 << 19, 1 << 22, 1 << 21
+#: Distinct words of a block, pairs of a bucket, pairs that wait to be added up, blocks whose counts one task adds up.
+DISTINCT, BUCKET, WAITING, ADDED = 1 << 19, 1 << 22, 1 << 21, 1024
 #: A separator; the byte is not part of any UTF-8 text.
 STOP = b"\xff"
+#: Between words that are packed; not part of any UTF-8 text either.
+NEXT = b"\xfe"
 _CAPITALS = bytes(range(ord("A"), ord("Z") + 1))
 _GAP = re.compile(b"[ \xff]")
 _FOLD = bytes.maketrans(_CAPITALS + b".,;:!?\n\v\f\r\t", _CAPITALS.lower() + STOP * 10 + b" ")
@@ -57,45 +62,149 @@ class _Words(dict):
         return found
 
 
-_BLOCKS = "block bigint, seq binary, langs array<string>, words array<binary>, counts array<bigint>"
+def squeeze(ids: np.ndarray) -> bytes:
+    data = ids.astype("<u4").tobytes()
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of whole pieces: ids from 1 in order of appearance, 0 between pieces and texts."""
-    number = TaskContext.get().partitionId() << 32
-    every: list[bytes] = []
-    langs: list[str] = []
-    by_lang: dict[str, _Words] = {}
-    parts, size = [], 0
+def expand(data: bytes) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True), "<u4")
 
-    def closed() -> pa.RecordBatch:
-        nonlocal number, size
-        seq = np.concatenate(parts)
-        counts = np.bincount(seq, minlength=len(every) + 1)[1:]
-        row = [pa.array([number], pa.int64()), pa.array([seq.tobytes()], pa.binary()), pa.array([list(langs)], pa.list_(pa.string())),
-               pa.array([list(every)], pa.list_(pa.binary())), pa.array([counts.tolist()], pa.list_(pa.int64()))]
-        number, size = number + 1, 0
-        for held in (every, langs, by_lang, parts):
-            held.clear()
-        return pa.RecordBatch.from_arrays(row, names=["block", "seq", "langs", "words", "counts"])
 
-    for batch in batches:
-        for part in slices(iter([batch]), 1):
-            for lang, text in zip(part.column(0).to_pylist(), texts(part.column(1))):
-                for words in words_of(text):
-                    if lang not in by_lang:
-                        by_lang[lang] = _Words(every)
-                    ids = list(map(by_lang[lang].__getitem__, words))
-                    langs.extend([lang] * (len(every) - len(langs)))
-                    parts.append(np.array(ids, "<u4"))
-                    size += len(ids)
-                    if words and words[-1] == STOP and (size >= BLOCK or len(every) >= DISTINCT):
+def pack_words(keys: list[bytes], at: list[int], counts: list[int]) -> bytes:
+    """Words in order, their ids in the block and how often they occur."""
+    order = sorted(range(len(keys)), key=keys.__getitem__)
+    numbers = np.array([[at[i] for i in order], [counts[i] for i in order]], "<i8").tobytes()
+    data = numbers + NEXT.join(keys[i] for i in order)
+    return b"".join(n.to_bytes(8, "little") for n in (len(keys), len(data))) + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def unpack_words(data: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    n, size = (int.from_bytes(data[i : i + 8], "little") for i in (0, 8))
+    raw = pa.decompress(data[16:], size, codec="zstd", asbytes=True)
+    at, counts = np.frombuffer(raw[: 16 * n], "<i8").reshape(2, n)
+    return raw[16 * n :].split(NEXT), at, counts
+
+
+_BLOCKS = "block bigint, seq binary, langs array<string>, words array<bigint>, bucket bigint, data binary"
+
+
+def _blocks(buckets: int, block: int):
+    """Blocks of whole pieces: ids from 1 in order of appearance, 0 between pieces and texts; and their words by bucket."""
+    schema = pa.schema([("block", pa.int64()), ("seq", pa.binary()), ("langs", pa.list_(pa.string())), ("words", pa.list_(pa.int64())),
+                        ("bucket", pa.int64()), ("data", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        every: list[bytes] = []
+        by_lang: dict[str, _Words] = {}
+        parts, size = [], 0
+
+        def closed() -> pa.RecordBatch:
+            nonlocal number, size
+            seq = np.concatenate(parts)
+            counts = np.bincount(seq, minlength=len(every) + 1).tolist()
+            homes: dict[int, tuple[list, list, list]] = {}
+            totals: dict[str, int] = {}
+            for lang, words in by_lang.items():
+                begin = lang.encode() + STOP
+                for word, at in words.items():
+                    if at:
+                        key = begin + word
+                        own = homes.setdefault(zlib.crc32(key) % buckets, ([], [], []))
+                        own[0].append(key)
+                        own[1].append(at)
+                        own[2].append(counts[at])
+                        totals[lang] = totals.get(lang, 0) + counts[at]
+            rows = [(number, squeeze(seq), list(totals), list(totals.values()), None, None)]
+            rows += [(number, None, None, None, home, pack_words(*own)) for home, own in homes.items()]
+            number, size = number + 1, 0
+            for held in (every, by_lang, parts):
+                held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+        for batch in batches:
+            for part in slices(iter([batch]), 1):
+                for lang, text in zip(part.column(0).to_pylist(), texts(part.column(1))):
+                    for words in words_of(text):
+                        if lang not in by_lang:
+                            by_lang[lang] = _Words(every)
+                        ids = list(map(by_lang[lang].__getitem__, words))
+                        parts.append(np.array(ids, "<u4"))
+                        size += len(ids)
+                        if words and words[-1] == STOP and (size >= block or len(every) >= min(DISTINCT, block)):
+                            yield closed()
+                    parts.append(np.zeros(1, "<u4"))
+                    if size >= block or len(every) >= min(DISTINCT, block):
                         yield closed()
-                parts.append(np.zeros(1, "<u4"))
-                if size >= BLOCK or len(every) >= DISTINCT:
-                    yield closed()
-    if size:
-        yield closed()
+        if size:
+            yield closed()
+
+    return run
+
+
+def _frequent_words(least: int):
+    """Words of a bucket that occur ``least`` times or more; blocks' counts are added as they come."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, waiting, size = None, [], 0
+
+        def summed() -> pa.Table:
+            return pa.concat_tables(waiting).group_by("key").aggregate([("n", "sum")]).rename_columns(["key", "n"])
+
+        def made() -> pa.RecordBatch:
+            found = summed()
+            found = found.filter(pc.greater_equal(found.column("n"), least)).combine_chunks()
+            keys = found.column("key").to_pylist()
+            parted = [k.split(STOP, 1) for k in keys]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([here] * len(keys), pa.int64()), pa.array(keys, pa.binary()), pa.array([a.decode() for a, _ in parted], pa.string()),
+                 pa.array([b for _, b in parted], pa.binary()), pa.array(found.column("n").to_pylist(), pa.int64())],
+                names=["bucket", "key", "lang", "word", "f"])
+
+        for batch in batches:
+            for bucket, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if here != bucket:
+                    if waiting:
+                        yield made()
+                    here, waiting, size = bucket, [], 0
+                keys, _, counts = unpack_words(data)
+                waiting.append(pa.table({"key": pa.array(keys, pa.binary()), "n": pa.array(counts)}))
+                size += len(keys)
+                if size > WAITING // 4 + 2 * waiting[0].num_rows:
+                    waiting = [summed()]
+                    size = waiting[0].num_rows
+        if waiting:
+            yield made()
+
+    return run
+
+
+def _word_replies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For every block that counted into a bucket, its words that are frequent; a bucket's ids come first."""
+    here, keys, ids = None, [], []
+    known = None
+    for batch in batches:
+        for bucket, asks, key, number, block, data in zip(*(batch.column(i).to_pylist() for i in range(6))):
+            if here != bucket:
+                here, keys, ids, known = bucket, [], [], None
+            if not asks:
+                keys.append(key)
+                ids.append(number)
+                continue
+            if known is None:
+                known, numbers = pa.array(keys, pa.binary()), np.array(ids, np.int64)
+            own, at, _ = unpack_words(data)
+            found = pc.index_in(pa.array(own, pa.binary()), value_set=known)
+            mine = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
+            if len(mine):
+                mine = mine[np.argsort(at[mine])]
+                theirs = numbers[found.take(pa.array(mine)).to_numpy()]
+                yield _reply(block, at[mine], np.zeros(len(mine), np.int64), theirs)
+
+
+def _reply(block: int, a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([pack(a, b, ids)], pa.binary())], names=["block", "data"])
 
 
 def count_pairs(a: np.ndarray, b: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -148,9 +257,8 @@ def _bucket(a: np.ndarray, b: np.ndarray, buckets: int) -> np.ndarray:
     return ((mixed ^ mixed >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
 
 
-def _neighbours(seq: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _neighbours(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places at which two ids stand side by side, and both ids."""
-    ids = np.frombuffer(seq, "<u4")
     at = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
     return at, ids[at], ids[at + 1]
 
@@ -159,7 +267,7 @@ def _pairs(buckets: int, salts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, seq in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                _, a, b = _neighbours(seq)
+                _, a, b = _neighbours(expand(seq))
                 if not len(a):
                     continue
                 a, b, counts = count_pairs(a, b)
@@ -227,9 +335,7 @@ def _replies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 a, b, _ = unpack(data)
                 known, mine, theirs = np.intersect1d(a << 32 | b, codes, assume_unique=True, return_indices=True)
                 if len(known):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([block], pa.int64()), pa.array([known], pa.list_(pa.int64())), pa.array([ids[theirs]], pa.list_(pa.int64()))],
-                        names=["block", "codes", "ids"])
+                    yield _reply(block, a[mine], b[mine], ids[theirs])
 
 
 def _renamed(single: bool):
@@ -238,25 +344,26 @@ def _renamed(single: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, known = None, []
         for batch in batches:
-            for i, block in enumerate(batch.column(0).to_pylist()):
+            for block, reply, seq in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 if here != block:
                     here, known = block, []
-                seq = batch.column(3)[i].as_py()
                 if seq is None:
-                    known.append(tuple(batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in (1, 2)))
+                    known.append(unpack(reply))
                     continue
-                new = np.zeros(len(seq) // 4, "<u4")
+                old = expand(seq)
+                new = np.zeros(len(old), "<u4")
                 if known:
-                    codes, ids = (np.concatenate(x) for x in zip(*known))
+                    a, b, ids = (np.concatenate(x) for x in zip(*known))
+                    codes = a if single else a << 32 | b
                     order = np.argsort(codes)
                     codes, ids = codes[order], ids[order]
-                    at, a, b = (np.arange(len(new)), np.frombuffer(seq, "<u4"), None) if single else _neighbours(seq)
+                    at, a, b = (np.arange(len(old)), old, None) if single else _neighbours(old)
                     asked = a.astype(np.int64) if single else a.astype(np.int64) << 32 | b
                     place = np.minimum(np.searchsorted(codes, asked), len(codes) - 1)
                     new[at] = np.where(codes[place] == asked, ids[place], 0)
                 known = []
                 if new.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([new.tobytes()], pa.binary())], names=["block", "seq"])
+                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([squeeze(new)], pa.binary())], names=["block", "seq"])
 
     return run
 
@@ -287,25 +394,27 @@ def _class(f: Column) -> Column:
     return F.when(f < 1024, f).otherwise(F.length(bits) * 1024 + F.conv(F.substring(bits, 1, 10), 2, 10).cast("long")).cast("long")
 
 
-def _level(seqs: DataFrame, words: int, blocks: int, least: int, name: str) -> tuple[DataFrame, DataFrame]:
+def _level(seqs: DataFrame, words: int, blocks: int, least: int, added: int, name: str) -> tuple[DataFrame, DataFrame]:
     """Frequent pairs (``id``, ``a``, ``b``, ``f``) of neighbouring ids, and the blocks written with their ids."""
     spark = seqs.sparkSession
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-words // BUCKET), 1)
-    salts = max(int(np.ceil(np.sqrt(blocks))), 1)
+    salts = max(-(-blocks // added), 1)
     packed = keep(seqs.mapInArrow(_pairs(buckets, salts), "bucket bigint, salt bigint, block bigint, data binary"), f"{name}-pairs")
-    some = packed.select("bucket", "salt", "data").repartition(buckets, "bucket", "salt").sortWithinPartitions("bucket", "salt")
-    some = some.mapInArrow(_sums(None), "bucket bigint, data binary").select("bucket", F.lit(0).alias("salt"), "data")
+    some = packed.select("bucket", "salt", "data")
+    if salts > 1:  # the counts of very many blocks are added up in two steps, so that no task sees them all
+        some = some.repartition(buckets, "bucket", "salt").sortWithinPartitions("bucket", "salt")
+        some = some.mapInArrow(_sums(None), "bucket bigint, data binary").select("bucket", F.lit(0).alias("salt"), "data")
     all_ = some.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_sums(least), "bucket bigint, a bigint, b bigint, f bigint")
     found = keep(ranked(keep(all_, f"{name}-sums"), "a", "b"), name)
     told = found.select("bucket", F.lit(0).alias("asks"), "a", "b", "id").unionByName(
         packed.select("bucket", F.lit(1).alias("asks"), "block", "data"), allowMissingColumns=True)
     told = told.repartition(buckets, "bucket").sortWithinPartitions("bucket", "asks")
-    replies = told.mapInArrow(_replies, "block bigint, codes array<bigint>, ids array<bigint>")
+    replies = told.mapInArrow(_replies, "block bigint, data binary")
     return found, _applied(replies, seqs, blocks, False, f"{name}-blocks")
 
 
 def _applied(replies: DataFrame, seqs: DataFrame, blocks: int, single: bool, name: str) -> DataFrame:
-    parts = max(min(blocks, int(seqs.sparkSession.conf.get("spark.sql.shuffle.partitions")) if blocks < 1000 else blocks), 1)
+    parts = max(min(blocks, max(int(seqs.sparkSession.conf.get("spark.sql.shuffle.partitions")), blocks // 8)), 1)
     both = replies.unionByName(seqs.select("block", "seq"), allowMissingColumns=True)
     both = both.repartition(parts, "block").sortWithinPartitions("block", F.col("seq").isNotNull())
     return keep(both.mapInArrow(_renamed(single), "block bigint, seq binary"), name)
@@ -328,6 +437,7 @@ def _score(a: Column, n: Column, left: Column, right: Column) -> Column:
 
 def collocations(
     docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 100, longest: int = 5, first: int = 2000,
+    block: int = BLOCK, added: int = ADDED,
 ) -> DataFrame:
     """``lang``, ``rank``, ``phrase``, ``a``, ``l``, ``r``, ``n`` and ``score``: the best phrases of each language.
 
@@ -342,27 +452,28 @@ def collocations(
     that a longer one covers is also covered by one that is a single word longer.
 
     Null and blank texts have no words; a null language is ``und``; repeated rows count again; a text
-    without any separator stays in one block, others are cut into blocks between pieces; an empty
-    table gives an empty result; other columns are ignored.
+    without any separator stays in one block, others are cut into blocks of about ``block`` words between
+    pieces; the counts of more than ``added`` blocks are added up in two steps; an empty table gives an empty result; other columns are ignored.
     """
     named = docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("und")).alias("lang"), F.col(f"`{text}`").alias("text"))
-    blocks = keep(named.where("text IS NOT NULL").mapInArrow(_blocks, _BLOCKS), "blocks")
-    every = blocks.select("block", F.posexplode(F.arrays_zip("langs", "words", "counts")).alias("at", "w"))
-    every = every.select("block", (F.col("at") + 1).cast("long").alias("at"), F.col("w.langs").alias("lang"), F.col("w.words").alias("word"), F.col("w.counts").alias("count"))
-    size = blocks.agg(F.count("*").alias("blocks"), F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda x, y: x + y)).alias("words")).first()
-    total = keep(every.groupBy("lang").agg(F.sum("count").alias("n")), "totals").withColumnRenamed("lang", "_lang")
-    often = every.groupBy("lang", "word").agg(F.sum("count").alias("f")).where(F.col("f") >= least)
+    spark = docs.sparkSession
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    blocks = keep(named.where("text IS NOT NULL").mapInArrow(_blocks(buckets, block), _BLOCKS), "blocks")
+    every, asked = blocks.where("seq IS NOT NULL").select("block", "seq", "langs", "words"), blocks.where("data IS NOT NULL").select("bucket", "block", "data")
+    size = every.agg(F.count("*").alias("blocks"), F.sum(F.aggregate("words", F.lit(0).cast("long"), lambda x, y: x + y)).alias("words")).first()
+    total = every.select(F.explode(F.arrays_zip("langs", "words")).alias("t")).groupBy(F.col("t.langs").alias("_lang")).agg(F.sum("t.words").alias("n"))
+    total = keep(total, "totals")
+    often = asked.select("bucket", "data").repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(
+        _frequent_words(least), "bucket bigint, key binary, lang string, word binary, f bigint")
     words = keep(ranked(keep(often, "often"), "lang", "word"), "words")
-    own = every.select("block", "at", F.col("lang").alias("_lang"), F.col("word").alias("_word"))
-    met = own.join(words, (F.col("lang") == F.col("_lang")) & (F.col("word") == F.col("_word")))
-    pairs = met.groupBy("block").agg(F.collect_list(F.struct("at", "id")).alias("p"))
-    replies = pairs.select("block", F.col("p.at").alias("codes"), F.col("p.id").alias("ids"))
-    seqs = _applied(replies, blocks, size.blocks, True, "ids")
+    told = words.select("bucket", F.lit(0).alias("asks"), "key", "id").unionByName(asked.withColumn("asks", F.lit(1)), allowMissingColumns=True)
+    told = told.repartition(buckets, "bucket").sortWithinPartitions("bucket", "asks").select("bucket", "asks", "key", "id", "block", "data")
+    seqs = _applied(told.mapInArrow(_word_replies, "block bigint, data binary"), every, size.blocks, True, "ids")
 
     levels = [words.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", F.array("f").alias("before"), F.array("f").alias("after"))]
     covers = []
     for k in range(2, longest + 1):
-        pairs, seqs = _level(seqs, size.words or 0, size.blocks, least, f"phrases{k}")
+        pairs, seqs = _level(seqs, size.words or 0, size.blocks, least, added, f"phrases{k}")
         levels.append(keep(_joined(pairs, levels[-1]), f"level{k}"))
         covers.append(pairs.select(F.col("a").alias("_id"), "f").unionByName(pairs.select(F.col("b").alias("_id"), "f")).groupBy("_id").agg(F.max("f").alias("_most")))
     kept = []
