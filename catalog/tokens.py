@@ -43,35 +43,56 @@ def word_tokens(t):
     return tokens(t).select("file_id", F.size("tokens").alias("n"), joined)
 
 
-_LEXEME = op.LEXEME.replace("'", "''")
+_LEXEME = op.LEXEME.replace("*+", "*").replace("'", "''")
+_WIDE = op.WIDE.replace("'", "''")
 
 
 @query("lexical_tokens", f"""
 WITH lexemes AS (
-  SELECT doc_id AS file_id, regexp_extract_all(concat(text, chr(10)), '{_LEXEME}') AS l FROM documents),
+  SELECT doc_id AS file_id, regexp_extract_all(concat(chr(10), text, chr(10)), '{_LEXEME}') AS l
+  FROM documents WHERE text IS NOT NULL),
 rows AS (
   SELECT file_id, unnest(range(len(l))) AS k, unnest(l) AS token FROM lexemes),
 kept AS (
-  SELECT *, regexp_matches(token, '^\r?\n') AS is_end,
-    sum(CASE WHEN token IN ('(', '[', '{{') THEN 1 WHEN token IN (')', ']', '}}') THEN -1 ELSE 0 END)
-      OVER (PARTITION BY file_id ORDER BY k) AS depth
-  FROM rows WHERE token[1] <> '#' AND token[1:3] <> repeat(chr(39), 3) AND token[1:3] <> repeat('"', 3)),
+  SELECT *, regexp_matches(token, '^\r?\n') AS is_end FROM rows
+  WHERE token[1] <> '#' AND NOT regexp_matches(token, '^[\\\\]\r?\n')),
 ends AS (
-  SELECT *, lead(is_end) OVER (PARTITION BY file_id ORDER BY k) AS follows FROM kept WHERE NOT is_end OR depth <= 0),
-sized AS (
-  SELECT *, CASE WHEN is_end THEN length(replace(replace(token, chr(10), ''), chr(13), '')) END AS width,
-    max(CAST(NOT is_end AS INTEGER)) OVER (PARTITION BY file_id ORDER BY k) AS seen
-  FROM ends WHERE NOT is_end OR coalesce(NOT follows, true)),
-marked AS (
-  SELECT *, coalesce(lag(width) OVER (PARTITION BY file_id, is_end ORDER BY k), 0) AS before FROM sized),
+  SELECT *, lead(is_end) OVER (PARTITION BY file_id ORDER BY k) AS follows FROM kept),
+lined AS (
+  SELECT *, sum(CAST(is_end AS INTEGER)) OVER f AS line, follows IS NULL AS is_last,
+    sum(CASE WHEN token IN ('(', '[', '{{') THEN 1 WHEN token IN (')', ']', '}}') THEN -1 ELSE 0 END) OVER f AS depth,
+    regexp_replace(token, '[\r\n\f]', '', 'g') AS margin
+  FROM ends WHERE NOT is_end OR coalesce(NOT follows, true)
+  WINDOW f AS (PARTITION BY file_id ORDER BY k)),
+starts AS (
+  SELECT file_id, list(line ORDER BY k) AS lines, list(k ORDER BY k) AS ks,
+    list(8 * len(regexp_extract_all(margin, ' {{0,7}}\t| {{8}}')) + length(regexp_replace(margin, ' {{0,7}}\t| {{8}}', '', 'g')) ORDER BY k) AS ws
+  FROM lined WHERE is_end AND NOT is_last AND depth <= 0 GROUP BY 1),
+stacks AS (
+  SELECT file_id, unnest(lines) AS line, unnest(ks) AS k, unnest(list_transform(range(1, len(ws) + 1), lambda i:
+      len(list_distinct(list_transform(list_filter(range(1, i + 1),
+        lambda j: ws[j] > 0 AND ws[j] = list_min(ws[j:i])), lambda j: ws[j]))))) AS level,
+    unnest(list_transform(range(1, len(ws) + 1), lambda i: i > 1 AND ws[i] > 0 AND ws[i] < ws[i - 1]
+      AND len(list_filter(range(1, i), lambda j: ws[j] = ws[i] AND list_min(ws[j:i]) = ws[i])) = 0)) AS broken
+  FROM starts),
+marks AS (
+  SELECT *, level - lag(level, 1, 0) OVER (PARTITION BY file_id ORDER BY line) AS mark FROM stacks),
+cuts AS (
+  SELECT file_id, coalesce(min(line) FILTER (broken), 9000000000) AS cut, max_by(level, line) AS level FROM marks GROUP BY 1),
 told AS (
-  SELECT file_id, k, 0 AS part, CASE WHEN is_end THEN '<EOL>' ELSE token END AS token FROM marked WHERE NOT is_end OR seen = 1
+  SELECT file_id, k, 0 AS part, token FROM lined JOIN cuts USING (file_id)
+  WHERE NOT is_end AND line < cut AND NOT regexp_matches(token, '{_WIDE}')
   UNION ALL
-  SELECT file_id, k, 1, CASE WHEN width > before THEN '<INDENT>' ELSE '<DEDENT>' END
-  FROM marked WHERE is_end AND follows IS NOT NULL AND width <> before)
+  SELECT file_id, k, 0, '<EOL>' FROM lined JOIN cuts USING (file_id) WHERE is_end AND depth <= 0 AND line > 1 AND line <= cut
+  UNION ALL
+  SELECT file_id, k, unnest(range(1, abs(mark) + 1)), CASE WHEN mark > 0 THEN '<INDENT>' ELSE '<DEDENT>' END
+  FROM marks JOIN cuts USING (file_id) WHERE line < cut AND mark <> 0
+  UNION ALL
+  SELECT file_id, k, unnest(range(1, level + 1)), '<DEDENT>'
+  FROM lined JOIN cuts USING (file_id) WHERE is_last AND is_end AND depth <= 0 AND cut = 9000000000)
 SELECT file_id, CAST(row_number() OVER (PARTITION BY file_id ORDER BY k, part) - 1 AS INTEGER) AS pos, token FROM told""")
 def lexical_tokens(t):
-    return op.lexical_tokens(t.files.select("file_id", "content"))
+    return op.lexical_tokens(spread(t.files.select("file_id", "content")))
 
 
 @query("char_windows", f"""
@@ -238,7 +259,7 @@ joined AS (
   FROM placed LEFT JOIN names USING (file_id, word) GROUP BY 1)
 SELECT file_id, concat(gaps[1], tail) AS code FROM pieces LEFT JOIN joined USING (file_id)""")
 def canonicalize_identifiers(t):
-    return op.canonicalize_identifiers(t.files.select("file_id", "content"))
+    return op.canonicalize_identifiers(spread(t.files.select("file_id", "content")))
 
 
 @query("corpus_stats", """

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from vetloom.operators import sampling, scoring
 from vetloom.operators.aggregates import merge_package_source, session_detail, session_summary
-from vetloom.operators.quantiles import _order_statistic, exact_quantiles
+from vetloom.operators.aggregates import profile
+from vetloom.operators.features import quantile_flags
+from vetloom.operators.quantiles import exact_quantiles, exact_quantiles_of, ordered_key, value_of_key
 from vetloom.operators.similarity import core_pairs, typosquat_flag
 
 
@@ -58,11 +60,40 @@ def test_exact_quantiles(spark, kind):
     df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double")
     probs = [0.0, 0.05, 0.5, 0.95, 1.0]
     expected = [np.quantile(values, p) for p in probs]
-    for small in (10**6, 3):
-        assert exact_quantiles(df, "v", probs, held_rows=small) == pytest.approx(expected)
-    ordered = sorted(values)
-    x = df.select(F.col("v").alias("x")).filter("x IS NOT NULL")
-    assert _order_statistic(x, 1234, ordered[0], ordered[-1]) == ordered[1234]
+    for digit in (16, 11):
+        assert exact_quantiles(df, "v", probs, digit) == pytest.approx(expected)
+
+
+def test_keys_have_the_order_and_bits_of_doubles(spark):
+    rng = np.random.default_rng(8)
+    values = [0.0, -0.0, 5e-324, -5e-324, 2.0**-1022, float(np.nextafter(2.0**-1022, 0)), 1.7976931348623157e308, float("inf"), -float("inf"), float("nan")]
+    values += [float(np.nextafter(2.0**e, d)) for e in range(-1021, 1024, 37) for d in (0, 1e309)] + [2.0**e for e in range(-1074, 1024)]
+    values += rng.integers(-(1 << 63), 1 << 63, 4000, dtype=np.int64).view(np.float64).tolist()
+    df = spark.createDataFrame([(v,) for v in values], "v double").select("v", ordered_key(F.col("v")).alias("k"))
+    rows = df.select("v", "k", value_of_key(F.col("k")).alias("back")).collect()
+    for r in rows:
+        bits = int(np.float64(abs(r.v)).view(np.int64))
+        assert np.isnan(r.v) and r.k == (1 << 63) - 1 or r.k == (-bits if r.v < 0 else bits)
+        assert r.back == r.v or np.isnan(r.v) and np.isnan(r.back)
+
+
+def test_quantiles_of_columns_run_with_the_plan_only(spark):
+    rng = np.random.default_rng(4)
+    data = rng.normal(size=(3000, 2)) * [1e-310, 1e300]
+    df = spark.createDataFrame([(float(a), float(b) if i % 3 else None, None) for i, (a, b) in enumerate(data)], "`a.b` double, b double, c double")
+    probs = [0.25, 0.5, 0.9]
+    spark.sparkContext.setJobGroup("quantiles", "plans only")
+    found = spark.range(1).select(exact_quantiles_of(df, ["a.b", "b", "c"], probs).alias("q"))
+    flagged, profiled = quantile_flags(df, "b"), profile(df.select("b", "c"))
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("quantiles")
+    spark.sparkContext.setJobGroup("", "")
+    q = found.first()["q"]
+    assert q["a.b"] == pytest.approx(np.quantile(data[:, 0], probs).tolist(), rel=1e-12)
+    b = [v for i, v in enumerate(data[:, 1]) if i % 3]
+    assert q["b"] == pytest.approx(np.quantile(b, probs).tolist()) and "c" not in q
+    assert flagged.filter("download_too_low").count() == 100
+    rows = {r["column"]: r for r in profiled.collect()}
+    assert rows["b"]["q50"] == pytest.approx(np.quantile(b, 0.5)) and rows["c"]["q50"] is None
 
 
 def test_no_rows_have_no_quantiles(spark):

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from catalog import QUERIES
-from vetloom.operators import joins
+from vetloom.operators import joins, skew
 from vetloom.operators.similarity import typosquat_flag
 from vetloom.operators.tokens import embed_tokens
 
@@ -102,10 +102,29 @@ def test_hot_core_name_is_split(spark, small_thresholds):
 
 def test_hot_token_is_spread(spark, small_thresholds):
     tokens = hot_rows(spark).select(
-        F.lit(1).alias("file_id"), F.col("download_log").cast("int").alias("pos"),
+        (F.col("download_log") % 100).cast("int").alias("file_id"), F.col("download_log").cast("int").alias("pos"),
         F.col("name").alias("token"),
     )
-    vectors = spark.createDataFrame([("hot", [1.0, 2.0])], "token string, vector array<float>")
-    df = embed_tokens(tokens, vectors, "drop", 2, salts=4)
-    assert df.count() == 20000
+    vectors = spark.createDataFrame([("hot", [1.0, 2.0]), ("n1", [3.0, 4.0])], "token string, vector array<float>")
+    df = embed_tokens(tokens, vectors, "drop", 2)
+    assert df.count() == 20001
     assert "hashpartitioning(token" in plan(df) and "_salt" in plan(df)
+    sizes = [r["n"] for r in df.filter("token = 'hot'").groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 20000 and max(sizes) < 10000
+
+
+def test_only_hot_keys_are_dealt_out(spark):
+    rows = hot_rows(spark)
+    found = spark.range(1).select(skew.hot_keys(rows, ["name"], 30).alias("m")).first()["m"]
+    assert list(found.values()) == [40]  # a third of 30 tasks, in quarters
+    assert list(found) == [spark.range(1).select(F.xxhash64(F.lit("hot"))).first()[0]]
+    even = rows.filter("name <> 'hot'")
+    assert spark.range(1).select(skew.hot_keys(even, ["name"], 30).alias("m")).first()["m"] == {}
+    nothing = spark.range(1).select(skew.hot_keys(rows.filter("false"), ["name"], 30).alias("m")).first()["m"]
+    assert nothing == {}
+    other = spark.createDataFrame([("hot", 1), ("hot", 2), ("n1", 3), (None, 4)], "name string, v int")
+    for how in ("inner", "left", "left_semi"):
+        part = rows.filter("id < 300") if "id" in rows.columns else rows.limit(300)
+        ours = skew.salted_join(part, other, "name", how, parts=30)
+        plain = part.join(other, "name", how)
+        assert sorted(map(str, ours.collect())) == sorted(map(str, plain.collect()))

@@ -1,3 +1,8 @@
+import io
+import random
+import time
+import tokenize
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -108,11 +113,20 @@ LEXED = [
     ("a = 1\nif a:\n    b()  # c\n\nd\n", "a = 1 <EOL> if a : <EOL> <INDENT> b ( ) <EOL> <DEDENT> d <EOL>"),
     ("f(1,\n   [2,\n3])\nx", "f ( 1 , [ 2 , 3 ] ) <EOL> x <EOL>"),
     ("# only\n\n   \n", ""),
-    ("\n\n  a\n", "<INDENT> a <EOL>"),
-    ('"""doc\nmore"""\nx = "s#t" + \'q\'\n', 'x = "s#t" + \'q\' <EOL>'),
+    ("\n\n  a\n", "<INDENT> a <EOL> <DEDENT>"),
+    ("  a\n  b", "<INDENT> a <EOL> b <EOL> <DEDENT>"),
+    ('"""doc\nmore"""\nx = "s#t" + \'q\'\n', '<EOL> x = "s#t" + \'q\' <EOL>'),
     ("a **= 2.5 // b != c -> d\r\ne", "a **= 2.5 // b != c -> d <EOL> e <EOL>"),
-    ("while x:\n  if y:\n    z\nw", "while x : <EOL> <INDENT> if y : <EOL> <INDENT> z <EOL> <DEDENT> w <EOL>"),
+    ("while x:\n  if y:\n    z\nw", "while x : <EOL> <INDENT> if y : <EOL> <INDENT> z <EOL> <DEDENT> <DEDENT> w <EOL>"),
     ("été = 'öpen\n", "été = ' öpen <EOL>"),
+    ("if a:\n\tb\n        c\n    d\n", "if a : <EOL> <INDENT> b <EOL> c <EOL>"),  # tab to 8; 4 was never opened
+    ("if a:\n    b\n  c\nd", "if a : <EOL> <INDENT> b <EOL>"),
+    ("a\nf(1,\n  2\nb", "a <EOL> f ( 1 , 2 b"),
+    ("if a:\n  b\n  c = '''open\nd\n", "if a : <EOL> <INDENT> b <EOL> c ="),
+    ("a = 1 + \\\n  2\nb", "a = 1 + 2 <EOL> b <EOL>"),
+    ("x = [\n# c\n\n  1e-5, .5, 0x1F, rb'\\'', 3.j]", "x = [ 1e-5 , .5 , 0x1F , rb'\\'' , 3.j ] <EOL>"),
+    ("s = 'a\\\nb'\nt >>= ...", "s = 'a\\\nb' <EOL> t >>= ... <EOL>"),
+    ("", ""),
 ]
 
 
@@ -121,11 +135,63 @@ def test_lexical_tokens(spark):
     rows = sorted(tuple(r) for r in lexical_tokens(df).collect())
     for i, (_, expected) in enumerate(LEXED):
         own = [(pos, token) for f, pos, token in rows if f == i]
-        assert [t for _, t in own] == expected.split(" ") if expected else own == []
+        assert [t for _, t in own] == expected.split(" ") if expected else own == [], i
         assert [p for p, _ in own] == list(range(len(own)))
     assert not [r for r in rows if r[0] == 99]
 
 
+def python_tokens(code):
+    """What Python's own tokenizer gives for sound code, without comments, blank lines and triple-quoted texts."""
+    out, names = [], {tokenize.NEWLINE: "<EOL>", tokenize.INDENT: "<INDENT>", tokenize.DEDENT: "<DEDENT>"}
+    for t in tokenize.generate_tokens(io.StringIO(code).readline):
+        wide = t.type == tokenize.STRING and t.string.endswith(("'''", '"""'))
+        if t.type not in (tokenize.NL, tokenize.COMMENT, tokenize.ENDMARKER) and not wide:
+            out.append(names.get(t.type, t.string))
+    return out
+
+
+def nested_code(rng, lines):
+    """Sound code of random depth; blocks of any width, blank and comment lines, brackets over lines."""
+    margins, out, opened = [""], [], False
+    for _ in range(lines):
+        if opened:
+            margins.append(margins[-1] + rng.choice([" ", "  ", "    ", "\t"]))
+        else:
+            del margins[rng.randint(max(1, len(margins) - 3), len(margins)):]
+        opened = len(margins) < 60 and rng.random() < 0.4
+        out.append(margins[-1] + (rng.choice(["if a:", "for b in c :  # d", "def f(a,\n b=[1,\n\n2]):"]) if opened else rng.choice(
+            ["x = 1", "y = f(1, {2: 'it\\'s'})", "'''doc'''", '"""two\n  lines"""', "z = [1,\n   # c\n 2.5e-3]", "pass", "a = b or \\\n  c"])))
+        out += rng.choice([[], [], [""], ["   # note"], ["\t"]])
+    return "\n".join([*out, margins[-1] + " pass" if opened else margins[-1] + "pass"]) + "\n"
+
+
+def test_nested_code_has_the_tokens_of_python(spark):
+    rng = random.Random(5)
+    codes = [nested_code(rng, n) for n in [0, 1, 2, 3, 5, 8, 127, 128, 129, 300, 1500] * 4]
+    df = spark.createDataFrame(list(enumerate(codes)), "file_id int, content string").repartition(8)
+    found = {}
+    for r in lexical_tokens(df).collect():
+        found.setdefault(r["file_id"], []).append((r["pos"], r["token"]))
+    for i, code in enumerate(codes):
+        assert [t for _, t in sorted(found[i])] == python_tokens(code)
+        assert max(t.count("<INDENT>") for t in [python_tokens(codes[-1])]) > 100
+
+
+def test_code_operators_shuffle_nothing_and_are_linear(spark):
+    long = "if x\n" * 8000 + "a = '" + "\\x41" * 20_000 + "'\n" + "(" * 3000 + "\n" * 20_000
+    names = " ".join(f"n{i} n{i // 2}" for i in range(20_000))
+    df = spark.createDataFrame([(1, long), (2, names)], "file_id int, content string")
+    start = time.time()
+    rows = {r["file_id"]: r["code"] for r in canonicalize_identifiers(df).collect()}
+    assert rows[2].split()[:6] == ["a1", "a1", "a2", "a1", "a3", "a2"] and rows[2].split()[-2:] == ["a20000", "a10000"]
+    assert rows[1].startswith("if a1 if a1") and "cond" not in rows[1]
+    tokens = lexical_tokens(df)
+    assert tokens.filter("file_id = 1").count() == 8000 * 3 + 2 + 1 + 1 + 3000
+    assert time.time() - start < 30
+    for frame in (tokens, canonicalize_identifiers(df)):
+        assert "Exchange" not in frame._jdf.queryExecution().executedPlan().toString()
+
+
 RENAMED = [
     ("Foo = BAR(foo)\nif Foo > 1 and x:\n  y = foo\nfor i in z: pass", "a1 = a2(a1) if cond1: a3 = a1 for cond2: pass"),
     ("x = None", "a1 = none"),

@@ -266,15 +266,13 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
         .select("column", F.col("m.value").alias("top"), (-F.col("m.neg")).alias("freq"))
     )
     out = stats.join(frequencies, "column", "left")
-    quartiles = exact_quantiles_of(df, numeric, (0.25, 0.5, 0.75)) if numeric else {}
-    for i, name in enumerate(("q25", "q50", "q75")):
-        value = reduce(
-            lambda acc, c: acc.when(F.col("column") == c, F.lit(quartiles[c][i])),
-            numeric,
-            F.when(F.lit(False), F.lit(None).cast("double")),
-        )
-        out = out.withColumn(name, value)
-    return out
+    missing = F.lit(None).cast("array<double>")
+    quartiles = (
+        F.try_element_at(exact_quantiles_of(df, numeric, (0.25, 0.5, 0.75)), F.col("column"))
+        if numeric else missing
+    )
+    out = out.withColumn("_q", quartiles)
+    return out.withColumns({name: F.get("_q", i) for i, name in enumerate(("q25", "q50", "q75"))}).drop("_q")
 
 
 def timing_stats(results: DataFrame, *keys: str) -> DataFrame:

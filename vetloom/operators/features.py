@@ -16,7 +16,7 @@ from ..constants import (
     SUMMARY_MIN_LENGTH,
 )
 from ..functions.text import email_domain, is_valid_version, shannon_entropy
-from .quantiles import exact_quantiles
+from .quantiles import exact_quantiles_of
 from .similarity import typosquat_flag
 from .skew import salted_join
 
@@ -42,21 +42,22 @@ def download_log(col: Column, raw: bool = False) -> Column:
     return count if raw else F.log1p(count)
 
 
-def standard_scale(df: DataFrame, column: str, out: str) -> DataFrame:
+def standard_scale(df: DataFrame, column: str, out: str, source: DataFrame | None = None) -> DataFrame:
     """Centre and divide by the population deviation; a constant column is only centred.
 
-    The statistics are one aggregate row, read as a scalar subquery: no join is planned.
+    The statistics (of ``source``, by default ``df``) are one aggregate row, read as a scalar subquery:
+    no join is planned.
     """
-    stats = df.select(column).select(
+    stats = (df if source is None else source).select(column).select(
         F.struct(F.avg(column).alias("mean"), F.stddev_pop(column).alias("sd"))
     ).scalar()
     divisor = F.when(stats["sd"] > 0, stats["sd"]).otherwise(1.0)
     return df.withColumn(out, (F.col(column) - stats["mean"]) / divisor)
 
 
-def minmax_inverted(df: DataFrame, column: str, out: str) -> DataFrame:
-    """1 for the smallest value, 0 for the largest, 1 for a constant column."""
-    stats = df.select(column).select(
+def minmax_inverted(df: DataFrame, column: str, out: str, source: DataFrame | None = None) -> DataFrame:
+    """1 for the smallest value (of ``source``, by default ``df``), 0 for the largest, 1 for a constant column."""
+    stats = (df if source is None else source).select(column).select(
         F.struct(F.min(column).alias("lo"), F.max(column).alias("hi"))
     ).scalar()
     scaled = F.try_divide(F.col(column) - stats["lo"], stats["hi"] - stats["lo"])
@@ -71,10 +72,16 @@ def quantile_flags(
     low: str = "download_too_low",
     high: str = "download_too_high",
     probs: Sequence[float] = (0.05, 0.95),
+    source: DataFrame | None = None,
 ) -> DataFrame:
-    """Flags for values outside the two quantiles, which enter the plan as literals."""
-    bottom, top = exact_quantiles(df, column, probs)
-    return df.withColumns({low: F.col(column) < F.lit(bottom), high: F.col(column) > F.lit(top)})
+    """Flags for values outside the two quantiles, which are a scalar subquery of the plan.
+
+    The quantiles are those of ``source``, by default ``df``: the rows before joins that leave them as they are.
+    """
+    ends = F.try_element_at(exact_quantiles_of(df if source is None else source, [column], probs), F.lit(column))
+    marked = df.withColumn("_ends", ends)
+    flags = {low: F.col(column) < F.col("_ends")[0], high: F.col(column) > F.col("_ends")[1]}
+    return marked.withColumns(flags).drop("_ends")
 
 
 def disposable_email_flag(
@@ -149,11 +156,12 @@ def package_features(
     """All metadata features of packages that carry name, summary, version and download."""
     df = meta.withColumn("download", F.coalesce("download", F.lit(0)).cast("bigint"))
     df = df.withColumn("download_log", download_log(F.col("download")))
-    # Statistics first: their passes then read one column of the scan and no join.
-    df = quantile_flags(df, "download_log")
-    df = standard_scale(df, "download_log", "download_scaled")
-    df = minmax_inverted(df, "download_log", "download_log_scaled")
+    # Statistics read one column of the scan and no join; they enter behind the joins, whose plans stay small.
+    source = df.select("download_log")
     df = entropy_features(summary_features(df))
     df = df.withColumn("version_valid", is_valid_version(F.col("version")))
     df = disposable_email_flag(df, blocklist, email)
-    return typosquat_flag(df, popular)
+    df = typosquat_flag(df, popular, measured=meta)
+    df = quantile_flags(df, "download_log", source=source)
+    df = standard_scale(df, "download_log", "download_scaled", source)
+    return minmax_inverted(df, "download_log", "download_log_scaled", source)

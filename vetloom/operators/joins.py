@@ -3,7 +3,7 @@
 No side is force-broadcast: Spark broadcasts a side only after its own size check, and otherwise
 runs a sort-merge join whose hot partitions are split at run time. Each outer join keeps the large
 table on the preserved side, which is the side that can be split. Where the other table is itself
-an aggregate by the join key, ``salts`` above 1 spreads the rows of a hot key instead.
+an aggregate by the join key, ``salted`` spreads the rows of hot keys instead.
 """
 
 from __future__ import annotations
@@ -28,8 +28,12 @@ LSTM_COLUMNS = {
 }
 
 
+def _with(facts: DataFrame, dimension: DataFrame, key: str, salted: bool) -> DataFrame:
+    return salted_join(facts, dimension, key, "left") if salted else facts.join(dimension, key, "left")
+
+
 def join_code_verdicts(
-    meta: DataFrame, verdicts: DataFrame, salts: int = 1, carry: bool = False
+    meta: DataFrame, verdicts: DataFrame, salted: bool = False, carry: bool = False
 ) -> DataFrame:
     """Numeric code verdicts next to each package; a package without one gets 0, 0 and 0.0.
 
@@ -46,7 +50,7 @@ def join_code_verdicts(
         map_labels(F.col("cwe_label"), CWE_CODES, CWE_OTHER_CODE).alias("cwe_label_numeric"),
         F.col("confidence"),
     )
-    out = salted_join(meta, coded, "name", "left", salts).na.fill(
+    out = _with(meta, coded, "name", salted).na.fill(
         {"vulnerability_status_numeric": 0, "cwe_label_numeric": 0, "confidence": 0.0}
     )
     status, cwe = F.col("vulnerability_status_numeric"), F.col("cwe_label_numeric")
@@ -61,7 +65,7 @@ def join_code_verdicts(
 
 
 def comprehensive_results(
-    df: DataFrame, verdicts: DataFrame | None, prediction: str = "is_malicious", salts: int = 1
+    df: DataFrame, verdicts: DataFrame | None, prediction: str = "is_malicious", salted: bool = False
 ) -> DataFrame:
     """Verdict columns as ``lstm_*``, the prediction renamed, priority columns first.
 
@@ -72,7 +76,7 @@ def comprehensive_results(
         renamed = verdicts.select(
             F.col("package").alias("name"), *[F.col(c).alias(n) for c, n in LSTM_COLUMNS.items()]
         )
-        out = salted_join(df, renamed, "name", "left", salts)
+        out = _with(df, renamed, "name", salted)
     out = out.withColumnRenamed(prediction, "xgboost_prediction")
     return reorder_columns(out, PRIORITY_COLUMNS)
 
@@ -82,9 +86,9 @@ def attach_labels(
     extra: DataFrame,
     key: str = "package",
     columns: Sequence[str] = ("vulnerability_status", "cwe_label"),
-    salts: int = 1,
+    salted: bool = False,
 ) -> DataFrame:
-    return salted_join(main, extra.select(key, *columns), key, "left", salts)
+    return _with(main, extra.select(key, *columns), key, salted)
 
 
 def keep_common(left: DataFrame, right: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
@@ -96,7 +100,7 @@ def session_results(log: DataFrame, results: DataFrame) -> DataFrame:
     """Every result row with its session's columns.
 
     One session may hold a large part of all results, and its log row is often an aggregate by
-    session, so the results are salted.
+    session, so the results of such sessions are dealt out.
     """
     return salted_join(results, log, "session_id")
 
@@ -106,7 +110,7 @@ def download_fallback(
     first: DataFrame,
     second: DataFrame,
     name: str = "name",
-    salts: int = 1,
+    salted: bool = True,
 ) -> DataFrame:
     """Downloads from the first source, else the second, else 0; -1 means missing.
 
@@ -117,5 +121,5 @@ def download_fallback(
         count = source.groupBy(F.col("project").alias(name)).agg(
             F.max(F.nullif(F.col("downloads"), F.lit(-1))).alias(f"_d{i}")
         )
-        out = salted_join(out, count, name, "left", salts)
+        out = salted_join(out, count, name, "left", measured=packages) if salted else out.join(count, name, "left")
     return out.withColumn("download", F.coalesce("_d0", "_d1", F.lit(0))).drop("_d0", "_d1")

@@ -63,7 +63,7 @@ def typosquat_pairs(
     """Package name, its core name and every popular core name one edit away."""
     pairs = core_pairs(_cores(packages, name), _cores(popular, project))
     named = packages.select(F.col(name), core_name(F.col(name)).alias("core"))
-    return salted_join(named, pairs, "core")
+    return salted_join(named, pairs, "core", measured=_cores(packages, name))
 
 
 def typosquat_flag(
@@ -72,13 +72,17 @@ def typosquat_flag(
     name: str = "name",
     project: str = "project",
     out: str = "is_typo_like",
+    measured: DataFrame | None = None,
 ) -> DataFrame:
-    """True when any popular core name is one edit away; an equal name is no hit."""
+    """True when any popular core name is one edit away; an equal name is no hit.
+
+    Hot core names are told from ``measured``, by default ``packages``.
+    """
     hits = core_pairs(_cores(packages, name), _cores(popular, project))
     hits = hits.select("core").distinct().withColumn(out, F.lit(True))
     named = packages.withColumn("core", core_name(F.col(name)))
     return (
-        salted_join(named, hits, "core", "left")
+        salted_join(named, hits, "core", "left", measured=_cores(packages if measured is None else measured, name))
         .withColumn(out, F.coalesce(out, F.lit(False)))
         .drop("core")
     )

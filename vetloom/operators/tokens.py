@@ -13,12 +13,24 @@ from ..functions.vectors import dot, norm, zeros
 from .skew import salted_join
 
 WORD = r"[\p{L}\p{N}_]+"
-#: Comment, triple-quoted text, string, word or number, line end with the next margin, operator, any other.
+_PREFIX = "[rRbBuUfF]{0,2}"
+#: Comment; triple-quoted text, also one that nothing closes; string, which goes on after a backslash; number;
+#: word; line end with the next margin; joined line; operator; any other. Strings are matched without giving
+#: back (``*+``), which changes no match and keeps long ones off the stack.
 LEXEME = (
-    r"#[^\r\n]*|(?s:'''.*?'''|\"\"\".*?\"\"\")|'(?:[^\n'\\]|\\.)*'|\"(?:[^\n\"\\]|\\.)*\""
-    r"|[\p{L}\p{N}_]+(?:\.[0-9]+)?|\r?\n[ \t]*|\*\*=?|//=?|[-+*/%&|^=<>!:@]=|->|<<|>>|[^\x09-\x0D\x20]"
+    r"#[^\r\n]*"
+    rf"|{_PREFIX}(?s:'''.*?'''|\"\"\".*?\"\"\"|'''.*|\"\"\".*)"
+    rf"|{_PREFIX}(?:'(?:\\(?s:.)|[^\n'\\])*+'|\"(?:\\(?s:.)|[^\n\"\\])*+\")"
+    r"|(?:[0-9][0-9_]*\.?[0-9_]*|\.[0-9][0-9_]*)[eE][-+]?[0-9]+[jJ]?|[0-9][0-9_]*\.[0-9_]*[jJ]?|\.[0-9][0-9_]*[jJ]?"
+    r"|[\p{L}\p{N}_]+|\r?\n[ \t\f]*|\\\r?\n"
+    r"|\*\*=?|//=?|>>=?|<<=?|[-+*/%&|^=<>!:@]=|->|\.\.\.|[^\x09-\x0D\x20]"
 )
-CONDITION = r"(?<![\p{L}\p{N}_])(if|while|for)[\x09-\x0D\x20]+[^:]+:"
+WIDE = rf"^{_PREFIX}(?:'''|\"\"\")"
+#: A part of code without a colon from the keyword whose condition it is.
+CONDITION = r"(?s)(?<![\p{L}\p{N}_])(if|while|for)[\x09-\x0D\x20]+.+$"
+#: Elements that one step of a fold goes through, so that its result is copied in short pieces.
+FOLDED = 128
+_BROKEN = -(1 << 30)
 
 
 def word_tokens(col: Column) -> Column:
@@ -26,39 +38,133 @@ def word_tokens(col: Column) -> Column:
     return F.regexp_extract_all(col, F.lit(WORD), F.lit(0))
 
 
+def _once(x: Column) -> Column:
+    """``x``, worked out once a row: an expression that could differ between two evaluations (this one never
+    does) is not copied by the optimizer into the functions that use it for every element."""
+    return F.when(F.monotonically_increasing_id() >= 0, x)
+
+
+def _folded(df: DataFrame, values: str, out: str, state: Column, enter, step) -> DataFrame:
+    """Add ``out``: what ``step`` makes of the elements of ``values`` one after the other, as integers.
+
+    ``step(state, element)`` is a struct of the next ``state`` and ``out``. A fold that appends to its
+    result copies it every time, so the array is cut into short parts; ``enter(state, part)`` is the
+    state behind a part, worked out without its results.
+    """
+    def entered(acc, part):
+        return F.struct(
+            enter(acc["state"], part).alias("state"),
+            F.concat(acc["starts"], F.array(acc["state"])).alias("starts"),
+        )
+
+    def folded(part, start):
+        def appended(acc, x):
+            found = step(acc["state"], x)
+            return F.struct(found["state"].alias("state"), F.concat(acc["out"], F.array(found["out"])).alias("out"))
+
+        return F.aggregate(part, F.struct(start.alias("state"), empty.alias("out")), appended)["out"]
+
+    empty, nothing = F.array().cast("array<int>"), F.slice(F.array(state), 1, 0)
+    number = F.floor((F.size(values) + FOLDED - 1) / FOLDED).cast("int")
+    cut = lambda i: F.slice(values, i * FOLDED + 1, F.lit(FOLDED))
+    parts = F.when(number > 0, F.transform(F.sequence(F.lit(0), number - 1), cut)).otherwise(F.slice(F.array(F.col(values)), 1, 0))
+    starts = F.aggregate("_parts", F.struct(state.alias("state"), nothing.alias("starts")), entered)["starts"]
+    df = df.withColumn("_parts", _once(parts)).withColumn("_starts", _once(starts))
+    return df.withColumn(out, _once(F.flatten(F.zip_with("_parts", "_starts", folded)))).drop("_parts", "_starts")
+
+
+def running_sum(df: DataFrame, values: str, out: str) -> DataFrame:
+    """Add the sums of an integer array up to each element."""
+    return _folded(
+        df, values, out,
+        F.lit(0),
+        lambda state, part: F.aggregate(part, state, lambda acc, x: acc + x),
+        lambda state, x: F.struct((state + x).alias("state"), (state + x).alias("out")),
+    )
+
+
+def indentation(df: DataFrame, margins: str, out: str) -> DataFrame:
+    """Add 1 where a line opens a level, -n where it closes n, 0 elsewhere, ``_BROKEN`` at a margin that is not open.
+
+    ``margins`` are the widths before lines that begin a statement, null for others. The open margins
+    are a stack, strictly rising. Behind a part it is what lay below the part's smallest margin, and
+    then the margins of the part that nothing smaller or equal follows.
+    """
+
+    def enter(stack, part):
+        known = F.filter(part, lambda w: w.isNotNull())
+        behind = F.aggregate(
+            F.reverse(known), F.array().cast("array<int>"),
+            lambda acc, w: F.when((F.size(acc) == 0) | (w < F.get(acc, F.lit(0))), F.concat(F.array(w), acc)).otherwise(acc),
+        )
+        least = F.array_min(part)
+        return F.when(least.isNull(), stack).otherwise(F.concat(F.filter(stack, lambda s: s < least), behind))
+
+    def step(stack, w):
+        kept = F.filter(stack, lambda s: s <= w)
+        closed = F.when(F.element_at(kept, -1) == w, F.size(kept) - F.size(stack)).otherwise(_BROKEN)
+        return (
+            F.when(w.isNull() | (w == F.element_at(stack, -1)), F.struct(stack.alias("state"), F.lit(0).alias("out")))
+            .when(w > F.element_at(stack, -1), F.struct(F.concat(stack, F.array(w)).alias("state"), F.lit(1).alias("out")))
+            .otherwise(F.struct(kept.alias("state"), closed.alias("out")))
+        )
+
+    return _folded(df, margins, out, F.array(F.lit(0)), enter, step)
+
+
 def lexical_tokens(df: DataFrame, content: str = "content", key: str = "file_id") -> DataFrame:
     """``(key, pos, token)``: code tokens with ``<EOL>``, ``<INDENT>`` and ``<DEDENT>``, positions from 0.
 
-    Comments, blank lines and triple-quoted texts are left out. A line ends where no bracket is open;
-    it is indented or dedented against the line before it. ``key`` tells the files apart.
+    Comments, blank lines and triple-quoted texts are left out. A statement ends at a line end outside
+    all brackets. A line that begins one is compared with the open margins (a tab goes on to the next
+    multiple of 8): a deeper one is an ``<INDENT>``, and each level that a line or the end of the code
+    closes is a ``<DEDENT>``. Broken code yields what comes before the fault: a margin that was never
+    opened, brackets or triple quotes that nothing closes. ``key`` names the files; null code has no row.
+
+    All is worked out in the file's row, in time linear in its length; nothing is shuffled.
     """
-    lexemes = F.regexp_extract_all(F.concat(content, F.lit("\n")), F.lit(LEXEME), F.lit(0))
-    rows = df.select(key, F.posexplode(lexemes).alias("at", "token"))
-    rows = rows.filter(~F.col("token").rlike("^(#|\'\'\'|\"\"\")"))
-    order = Window.partitionBy(key).orderBy("at")
-    opened = F.when(F.col("token").isin("(", "[", "{"), 1).when(F.col("token").isin(")", "]", "}"), -1).otherwise(0)
-    is_end = F.col("token").rlike(r"^\r?\n")
-    rows = rows.withColumns({
-        "is_end": is_end,
-        "depth": F.sum(opened).over(order.rowsBetween(Window.unboundedPreceding, 0)),
-    }).filter("NOT is_end OR depth <= 0")
-    # Of the line ends in a row the last one has the margin of the line that follows.
-    rows = rows.withColumn("follows", F.lead("is_end").over(order))
-    rows = rows.filter("NOT is_end OR coalesce(NOT follows, true)")
-    lines = Window.partitionBy(key, "is_end").orderBy("at")
-    width = F.length(F.regexp_replace("token", r"[\r\n]", ""))
-    rows = rows.withColumn("width", F.when(F.col("is_end"), width))
-    rows = rows.withColumn("before", F.coalesce(F.lag("width").over(lines), F.lit(0)))
-    rows = rows.withColumn("any", F.max(~F.col("is_end")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    marks = F.array(
-        F.when(F.col("any"), F.lit("<EOL>")),
-        F.when(F.col("follows").isNull(), None).when(F.col("width") > F.col("before"), F.lit("<INDENT>"))
-        .when(F.col("width") < F.col("before"), F.lit("<DEDENT>")),
-    )
-    parts = F.when(F.col("is_end"), F.filter(marks, lambda m: m.isNotNull())).otherwise(F.array("token"))
-    out = rows.select(key, "at", F.posexplode(parts).alias("part", "token"))
-    number = F.row_number().over(Window.partitionBy(key).orderBy("at", "part")) - 1
-    return out.select(key, number.alias("pos"), "token")
+    is_end = lambda t: F.ascii(t).isin(10, 13)
+    dropped = lambda t: t.startswith("#") | t.rlike(r"^\\\r?\n")
+    code = F.concat(F.lit("\n"), content, F.lit("\n"))
+    lexemes = F.filter(F.regexp_extract_all(code, F.lit(LEXEME), F.lit(0)), lambda t: ~dropped(t))
+    rows = df.filter(F.col(content).isNotNull()).select(key, _once(lexemes).alias("all"))
+    # Of line ends in a row the last one has the margin of the line that follows.
+    after = lambda i: F.coalesce(F.get(F.col("all"), i + 1), F.lit(""))
+    rows = rows.select(key, _once(F.filter("all", lambda t, i: ~is_end(t) | ~is_end(after(i)))).alias("all"))
+    places = F.filter(F.transform("all", lambda t, i: F.when(is_end(t), i)), lambda i: i.isNotNull())
+    rows = rows.select(key, "all", _once(places).alias("ends"), is_end(F.element_at("all", -1)).alias("whole"))
+    # A line is what stands between two line ends, or behind the last one where triple quotes stay open.
+    rows = rows.withColumn("n", F.size("ends") - F.col("whole").cast("int")).filter("n > 0")
+    end = lambda i: F.get(F.col("ends"), i)
+    count = F.sequence(F.lit(0), F.col("n") - 1)
+    line = lambda i: F.slice("all", end(i) + 2, F.coalesce(end(i + 1), F.size("all")) - end(i) - 1)
+    rows = rows.withColumn("lines", _once(F.transform(count, line)))
+    among = lambda x, marks: F.size(F.filter(x, lambda t: t.isin(*marks)))
+    opened = F.transform("lines", lambda x: among(x, "([{") - among(x, ")]}"))
+    rows = running_sum(rows.withColumn("opened", _once(opened)), "opened", "depth")
+    outside = lambda i: F.get(F.col("depth"), i) <= 0
+    margin = lambda i: F.regexp_replace(F.get(F.col("all"), end(i)), r"[\r\n\f]", "")
+    unit = r" {0,7}\t| {8}"
+    width = lambda m: 8 * F.size(F.regexp_extract_all(m, F.lit(unit), F.lit(0))) + F.length(F.regexp_replace(m, unit, ""))
+    margins = F.transform(count, lambda i: F.when((i == 0) | outside(i - 1), width(margin(i))))
+    rows = indentation(rows.withColumn("margins", _once(margins)), "margins", "marks")
+    fault = F.array_position("marks", F.lit(_BROKEN))
+    rows = rows.withColumn("good", F.when(fault > 0, fault - 1).otherwise(F.col("n")).cast("int"))
+    empty = F.array().cast("array<string>")
+
+    def told(tokens, i):
+        mark = F.get(F.col("marks"), i)
+        return F.concat(
+            F.when(mark > 0, F.array(F.lit("<INDENT>"))).otherwise(F.array_repeat(F.lit("<DEDENT>"), F.greatest(-mark, F.lit(0)))),
+            F.filter(tokens, lambda t: ~t.rlike(WIDE)),
+            F.when(outside(i) & end(i + 1).isNotNull(), F.array(F.lit("<EOL>"))).otherwise(empty),
+        )
+
+    parts = F.flatten(F.transform(F.slice("lines", 1, F.col("good")), told))
+    sound = (F.col("good") == F.col("n")) & F.col("whole") & (F.element_at("depth", -1) <= 0)
+    levels = F.aggregate("marks", F.lit(0), lambda acc, x: acc + x)
+    last = F.when(sound, F.array_repeat(F.lit("<DEDENT>"), levels)).otherwise(empty)
+    return rows.select(key, F.posexplode(F.concat(parts, last)).alias("pos", "token"))
 
 
 def explode_tokens(df: DataFrame, tokens: str = "tokens", key: str = "file_id") -> DataFrame:
@@ -127,19 +233,24 @@ def similar_tokens(vectors: DataFrame, word: str, n: int = 5) -> DataFrame:
     )
 
 
+def _sampled(tokens: DataFrame, key: str) -> DataFrame:
+    """The tokens of one file in sixteen: enough to tell the hot tokens, and filtered before texts are split."""
+    return tokens.filter(F.pmod(F.xxhash64(key), F.lit(16)) == 0)
+
+
 def embed_tokens(
-    tokens: DataFrame, vectors: DataFrame, oov: str = "drop", dim: int = 100, salts: int = 8
+    tokens: DataFrame, vectors: DataFrame, oov: str = "drop", dim: int = 100, key: str = "file_id"
 ) -> DataFrame:
     """``(file_id, pos, token, vector)``; unknown tokens are dropped or get zeros.
 
-    Word counts are Zipf-shaped, so one token can be a large share of the rows: rows of a token are
-    spread by position over ``salts`` join keys. Where the vocabulary is small enough Spark
-    broadcasts it and the salt costs nothing.
+    Word counts are Zipf-shaped, so one token can be a large share of the rows. The rows of the tokens
+    that are hot among one file in sixteen (by hash of ``key``) are spread by position; only their vectors are
+    repeated. Where the vocabulary is small enough Spark broadcasts it instead.
     """
     if oov not in ("drop", "zero"):
         raise ValueError(f"unknown rule for unknown tokens: {oov}")
     how = "inner" if oov == "drop" else "left"
-    out = salted_join(tokens, vectors, "token", how, salts, by=["pos"])
+    out = salted_join(tokens, vectors, "token", how, by=["pos"], measured=_sampled(tokens, key))
     return out.withColumn("vector", F.coalesce("vector", zeros(dim)))
 
 
@@ -164,13 +275,12 @@ def fix_length(
     """
     if oov == "zero":
         first = tokens.filter(F.col("pos") < n)
-        kept = embed_tokens(first, vectors, "zero", dim)
+        kept = embed_tokens(first, vectors, "zero", dim, key)
     else:
-        words = vectors.select("token").distinct()
-        known = salted_join(tokens, words, "token", "left_semi", by=["pos"])
+        known = salted_join(tokens, vectors.select("token"), "token", "left_semi", by=["pos"], measured=_sampled(tokens, key))
         order = Window.partitionBy(key).orderBy("pos")
         first = known.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= n)
-        kept = embed_tokens(first.drop("_rank"), vectors, "drop", dim)
+        kept = embed_tokens(first.drop("_rank"), vectors, "drop", dim, key)
     rows = kept.groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct("pos", "vector")))["vector"].alias("seq")
     )
@@ -206,39 +316,34 @@ def canonicalize_identifiers(
 
     The n-th condition after ``if``, ``while`` or ``for`` becomes ``condn``. Words of ASCII letters,
     digits and underscores that are no keyword and do not begin with ``cond`` are named ``a1``, ``a2``,
-    ... by their first position in the file; the names are joined back by file and word. With
+    ... by their first position in the file, within the file's own row; nothing is shuffled. With
     ``legacy`` capitalised keywords do not match lower-cased code and are renamed too. ``key`` tells
     the files apart; null code has no row.
     """
-    lower = df.filter(F.col(content).isNotNull()).select(key, F.lower(content).alias("code"))
-    between = F.split("code", CONDITION)
-    heads = F.regexp_extract_all("code", F.lit(CONDITION), F.lit(1))
-    numbered = F.transform(
-        F.arrays_zip(between.alias("text"), heads.alias("head")),
-        lambda p, i: F.concat(p["text"], F.coalesce(F.concat(p["head"], F.lit(" cond"), i + 1, F.lit(":")), F.lit(""))),
-    )
-    spaced = F.regexp_replace(F.array_join(numbered, ""), r"(?U)[\s\x1c-\x1f]+", " ")
-    flat = lower.select(key, F.trim(spaced).alias("code"))
-    gaps, found = F.split("code", WORD), F.regexp_extract_all("code", F.lit(WORD), F.lit(0))
-    after = F.slice(gaps, 2, F.greatest(F.size(gaps), F.lit(1)))
-    # Before the rows are multiplied, so that the texts are split once.
-    parted = flat.select(
-        key, F.get(gaps, F.lit(0)).alias("head"), F.arrays_zip(found.alias("word"), after.alias("gap")).alias("zipped")
-    )
-    pieces = parted.select(key, "head", F.posexplode_outer("zipped").alias("pos", "p")).select(
-        key, "head", "pos", "p.word", "p.gap"
-    )
-    words = [w if legacy else w.lower() for w in PYTHON_KEYWORDS]
-    renamed = F.col("word").rlike("^[a-z_][a-z0-9_]*$") & ~F.col("word").startswith("cond") & ~F.col("word").isin(words)
-    firsts = pieces.filter(renamed).groupBy(key, "word").agg(F.min("pos").alias("first"))
-    rank = F.row_number().over(Window.partitionBy(key).orderBy("first"))
-    names = firsts.select(key, "word", F.concat(F.lit("a"), rank.cast("string")).alias("name"))
-    placed = pieces.join(names, [key, "word"], "left")
-    piece = F.struct("pos", F.concat(F.coalesce("name", "word"), "gap").alias("text"))
-    ordered = F.sort_array(F.collect_list(piece))
-    return placed.groupBy(key, "head").agg(ordered.alias("parts")).select(
-        key, F.concat("head", F.array_join(F.col("parts.text"), "")).alias("code")
-    )
+    lower = df.filter(F.col(content).isNotNull()).select(key, _once(F.split(F.lower(content), ":")).alias("parts"))
+    # A condition ends at the next colon, so each part between colons has at most one. Colons are
+    # written as ":0", those behind a condition as ":1", which nothing else can look like.
+    last = F.size("parts") - 1
+    begun = lambda p: F.concat(F.regexp_replace(p, CONDITION, "$1 "), F.lit(":1"))
+    written = F.transform("parts", lambda p, i: F.when(i == last, p).when(p.rlike(CONDITION), begun(p)).otherwise(F.concat(p, F.lit(":0"))))
+    marked = lower.select(key, _once(F.split(F.array_join(written, ""), ":1")).alias("parts"))
+    numbered = F.transform("parts", lambda p, i: F.when(i == last, p).otherwise(F.concat(p, F.lit("cond"), i + 1, F.lit(":"))))
+    plain = F.replace(F.array_join(numbered, ""), F.lit(":0"), F.lit(":"))
+    flat = marked.select(key, _once(F.trim(F.regexp_replace(plain, r"(?U)[\s\x1c-\x1f]+", " "))).alias("code"))
+    split = flat.select(key, _once(F.split("code", WORD)).alias("gaps"), _once(F.regexp_extract_all("code", F.lit(WORD), F.lit(0))).alias("words"))
+    keywords = [w if legacy else w.lower() for w in PYTHON_KEYWORDS]
+    renamed = lambda w: w.rlike("^[a-z_][a-z0-9_]*$") & ~w.startswith("cond") & ~w.isin(keywords)
+    names = split.withColumn("names", _once(F.array_distinct(F.filter("words", renamed))))
+    # The names lie in maps of about 64, or as many maps as a map has entries, so that looking one up is short in any file.
+    names = names.withColumn("maps", _once(F.greatest(F.least(F.ceil(F.size("names") / 64), F.ceil(F.sqrt(F.size("names")))), F.lit(1)).cast("int")))
+    place = lambda w: F.pmod(F.hash(w), F.col("maps"))
+    entry = lambda w, i: F.struct(w.alias("word"), F.concat(F.lit("a"), i + 1).alias("name"))
+    names = names.withColumn("entries", _once(F.transform("names", entry)))
+    own = lambda m: F.map_from_entries(F.filter("entries", lambda e: place(e["word"]) == m))
+    names = names.withColumn("by_hash", _once(F.transform(F.sequence(F.lit(0), F.col("maps") - 1), own)))
+    said = F.transform("words", lambda w: F.coalesce(F.try_element_at(F.get(F.col("by_hash"), place(w)), w), w))
+    pieces = F.zip_with("gaps", said, lambda gap, word: F.concat(gap, F.coalesce(word, F.lit(""))))
+    return names.select(key, F.array_join(pieces, "").alias("code"))
 
 
 def corpus_stats(df: DataFrame, text: str = "content") -> DataFrame:
