@@ -1,12 +1,14 @@
+import csv
 import io
 import json
+import random
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from vetloom.operators.models import load_model, save_model
-from vetloom.sources import scans, sinks
+from vetloom.sources import archives, csv_ranges, scans, sinks
 
 
 @pytest.fixture()
@@ -69,6 +71,42 @@ def test_scan_archives(spark, tmp_path):
         scans.scan_archives(spark, f"{tmp_path}/*.zip", fail=True).collect()
 
 
+def test_archive_beyond_one_row_is_read_by_ranges(spark, tmp_path):
+    """Members before and behind a hole of 3 GB; nothing of the hole is read."""
+    path = tmp_path / "big.zip"
+    texts = {f"source/p/m{i}.py": f"x = {i}\n" * (i * 700) for i in range(1, 40)}
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for i, (name, text) in enumerate(texts.items()):
+            if i == 20:
+                z.fp.seek(3 << 30)
+                z.start_dir = z.fp.tell()
+            z.writestr(name, text, compress_type=[zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED, zipfile.ZIP_BZIP2][i % 3])
+        z.writestr("huge.bin", b"\0" * 1000)
+        z.writestr("odd.py", b"lzma", compress_type=zipfile.ZIP_LZMA)
+    assert path.stat().st_size > 3 << 30
+    df = scans.scan_archives(spark, str(path))
+    rows = {r["path"]: r for r in df.collect()}
+    assert {p: r["content"] for p, r in rows.items() if r["error"] is None} == texts
+    assert rows["odd.py"]["error"].startswith("NotImplementedError")
+    members = archives.read_members(
+        spark.createDataFrame([("big", str(path))], "archive string, location string"), lambda p: F.lit(True), span=1 << 10, parts=16)
+    tasks = members.filter("bytes IS NOT NULL").groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(tasks) > 5 and sum(r["count"] for r in tasks) == 39
+
+
+def test_members_that_lie_are_rows_with_an_error(spark, tmp_path):
+    bomb = zip_bytes({"a.py": "ok", "b.py": "b" * 100})
+    info = zipfile.ZipFile(io.BytesIO(bomb)).getinfo("b.py")
+    short = bomb.replace((100).to_bytes(4, "little") * 2, (100).to_bytes(4, "little") + (7).to_bytes(4, "little"))
+    assert short != bomb and info.file_size == 100
+    (tmp_path / "short.zip").write_bytes(short)
+    (tmp_path / "cut.zip").write_bytes(bomb[: info.header_offset + 20] + bomb[-200:])
+    rows = scans.scan_archives(spark, f"{tmp_path}/*.zip", unreadable=True).collect()
+    errors = {(r["archive"], r["path"]): r["error"] for r in rows}
+    assert errors["short", "a.py"] is None and "BadZipFile" in errors["short", "b.py"]
+    assert all(e for (a, _), e in errors.items() if a == "cut")
+
+
 def test_scan_package_metadata(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes(b"Name: a\xff\nVersion: 1\n")
     (tmp_path / "b.txt").write_text("nothing\n")
@@ -100,6 +138,59 @@ def test_scan_csv(spark, tmp_path):
         scans.scan_csv(spark, str(path), required=["code"])
 
 
+def csv_text(rng, rows, *more):
+    cells = [*more, "", "plain", "two\nlines", 'say "hi"', ",,", "é한글漢", '"', "\n\n\n", " blank ", "x" * 300]
+    lines = [["id", "Directory", "a b"]] + [[str(i), rng.choice(cells), rng.choice(cells)] for i in range(rows)]
+    quoted = lambda c: '"' + c.replace('"', '""') + '"' if set(c) & set('",\n\r') or rng.random() < 0.3 else c
+    ends = rng.choice(["\n", "\r\n"])
+    return ends.join(",".join(map(quoted, line)) for line in lines) + rng.choice(["", ends])
+
+
+@pytest.mark.parametrize("span", [2, 30, 1000, 1 << 25])
+def test_csv_by_ranges_equals_the_plain_reader(spark, tmp_path, span):
+    rng = random.Random(span)
+    for i in range(3):
+        (tmp_path / f"{i}.csv").write_bytes(csv_text(rng, 8 if span == 2 else 60).encode())
+    ours = csv_ranges.read_csv_ranges(spark, str(tmp_path), span=span)
+    plain = spark.read.option("header", "true").option("multiLine", "true").option("escape", '"').csv(str(tmp_path))
+    assert ours.columns == plain.columns == ["id", "Directory", "a b"]
+    order = lambda df: sorted(map(str, df.collect()))
+    assert order(ours) == order(plain)
+
+
+@pytest.mark.parametrize("span", [10, 500])
+def test_csv_by_ranges_keeps_all_line_breaks_in_quotes(spark, tmp_path, span):
+    """Spark's own reader makes them line feeds in some files; Python's and pandas' keep them."""
+    text = csv_text(random.Random(span), 40, "\r\n", "a\r\nb")
+    (tmp_path / "a.csv").write_bytes(text.encode())
+    expected = list(csv.reader(io.StringIO(text, newline="")))[1:]
+    found = csv_ranges.read_csv_ranges(spark, str(tmp_path), span=span).collect()
+    assert sorted([x or "" for x in r] for r in found) == sorted(expected)
+
+
+def test_csv_encodings_are_told_file_by_file(spark, tmp_path):
+    texts = {"utf-8": "é한", "utf-8-sig": "é", "cp949": "똠방각하", "euc-kr": "한글", "utf-16": 'a"é\n한', "utf-16-be": "漢\n\n字", "latin-1": "é\n"}
+    for name, text in texts.items():
+        body = 'package,code\n' + f'{name},"' + text.replace('"', '""') * 40 + '"\n'
+        mark = b"\xfe\xff" if name == "utf-16-be" else b""
+        (tmp_path / f"{name}.csv").write_bytes(mark + body.encode(name))
+    for span in (26, 1 << 20):
+        found = csv_ranges.read_csv_ranges(spark, str(tmp_path), span=span).collect()
+        assert {r["package"]: r["code"] for r in found} == {name: text * 40 for name, text in texts.items()}
+    (tmp_path / "bad.csv").write_bytes(b"package,code\n\xff\xff,x\n")
+    with pytest.raises(ValueError):
+        scans.scan_csv(spark, str(tmp_path / "bad.csv"), encodings=["utf-8", "utf-16"])
+
+
+def test_one_csv_file_is_read_by_many_tasks(spark, tmp_path):
+    path = tmp_path / "big.csv"
+    path.write_text("n,text\n" + "".join(f'{i},"line {i}\nmore, ""q"""\n' for i in range(20_000)))
+    df = csv_ranges.read_csv_ranges(spark, str(path), span=16 << 10, parts=32)
+    tasks = df.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(tasks) > 16 and sum(r["count"] for r in tasks) == 20_000
+    assert df.filter(F.col("text") == F.concat(F.lit("line "), "n", F.lit('\nmore, "q"'))).count() == 20_000
+
+
 def test_scan_labels(spark, tmp_path):
     path = tmp_path / "labels.txt"
     path.write_text("  CWE-94\nCWE-79 \n\n CLEAN\n\n")

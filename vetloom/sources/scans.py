@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import io
 import zipfile
-import zlib
 from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
@@ -14,11 +13,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip_whitespace, unix_path
 from ..operators.files import parse_metadata
+from .archives import DAMAGE, read_members
+from .csv_ranges import ENCODINGS, read_csv_ranges
+from .ranges import can_range
 
-# What reading a damaged or unsupported archive member raises.
-DAMAGE = (
-    zipfile.BadZipFile, zlib.error, EOFError, OSError, RuntimeError, NotImplementedError, ValueError
-)
 # Path pieces whose files are not source of the project.
 EXCLUDED = ("__pycache__", ".dist-info", ".egg-info")
 # Column names that mean the same.
@@ -144,11 +142,18 @@ def scan_archives(
     fail: bool = False,
     ignore_case: bool = True,
     unreadable: bool = False,
+    ranged: bool | None = None,
 ) -> DataFrame:
-    """Python files of all ZIP archives matching ``path``, as ``archive_files`` gives them."""
-    zips = spark.read.format("binaryFile").load(path).select(
-        archive_stem(F.col("path")).alias("archive"), F.col("content").alias("bytes")
-    )
+    """Python files of all ZIP archives matching ``path``, as ``archive_files`` gives them.
+
+    Archives of any size are read by byte ranges of their members. Where executors cannot open the
+    store by themselves (``ranged`` false, by default told from the path's scheme), each archive is
+    read by Spark as one value, which bounds it to 2 GB.
+    """
+    zips = spark.read.format("binaryFile").load(path)
+    name = archive_stem(F.col("path")).alias("archive")
+    ranged = can_range(path) if ranged is None else ranged
+    zips = zips.select(name, F.col("path").alias("location") if ranged else F.col("content").alias("bytes"))
     return archive_files(zips, on_bad_utf8, fail, ignore_case, unreadable)
 
 
@@ -159,12 +164,17 @@ def archive_files(
     ignore_case: bool = True,
     unreadable: bool = False,
 ) -> DataFrame:
-    """File table of ``(archive, bytes)``; the batch scan and the stream of uploads share it.
+    """File table of ``(archive, location)`` or ``(archive, bytes)``; the batch scan and the stream share it.
 
     A damaged member has null ``content`` and ``size`` and its ``error``. An archive that is none has no
     row, or with ``unreadable`` one without a path.
     """
-    members = expand_archives(archives, fail, unreadable).withColumn("path", unix_path(F.col("path")))
+    if "location" in archives.columns:
+        wanted = lambda path: _is_source(unix_path(path), ignore_case)
+        members = read_members(archives, wanted, fail, unreadable)
+    else:
+        members = expand_archives(archives, fail, unreadable)
+    members = members.withColumn("path", unix_path(F.col("path")))
     keep = F.col("path").isNull() | _is_source(F.col("path"), ignore_case)
     return _as_files(members.filter(keep), on_bad_utf8, "error")
 
@@ -210,29 +220,26 @@ def scan_versions(spark: SparkSession, path: str, freeze: bool = False) -> DataF
 def scan_csv(
     spark: SparkSession,
     path: str,
-    encodings: Sequence[str] = ("utf-8", "latin1"),
+    encodings: Sequence[str] = ENCODINGS,
     aliases: Mapping[str, str] = ALIASES,
     required: Sequence[str] = (),
+    ranged: bool | None = None,
 ) -> DataFrame:
     """Header CSV with quoted line breaks; column names lose a byte-order mark and get aliases.
 
-    The first encoding that decodes the data is used: one distributed pass looks for text that is
-    not valid UTF-8, so nothing but a flag reaches the driver.
+    Large files are read by many tasks, and each file has the first encoding that fits it. Where
+    executors cannot open the store by themselves (``ranged`` false, by default told from the path's
+    scheme), Spark reads each file in one task, as UTF-8 or else in the last encoding.
     """
-    encoding = encodings[0]
-    if encoding.lower().replace("-", "") in ("utf8", "utf8sig") and len(encodings) > 1:
+    if can_range(path) if ranged is None else ranged:
+        df = read_csv_ranges(spark, path, encodings)
+    else:
         broken = spark.read.text(path).filter(F.try_validate_utf8("value").isNull())
-        if not broken.isEmpty():
-            encoding = encodings[1]
-    names = {"utf8sig": "UTF-8", "utf8": "UTF-8", "latin1": "ISO-8859-1"}
-    charset = names.get(encoding.lower().replace("-", ""), encoding)
-    df = (
-        spark.read.option("header", "true")
-        .option("multiLine", "true")
-        .option("escape", '"')
-        .option("encoding", charset)
-        .csv(path)
-    )
+        names = {"utf8": "UTF-8", "latin1": "ISO-8859-1"}
+        encoding = encodings[0] if broken.isEmpty() else encodings[-1]
+        charset = names.get(encoding.lower().replace("-", ""), encoding)
+        reader = spark.read.option("header", "true").option("multiLine", "true").option("escape", '"')
+        df = reader.option("encoding", charset).csv(path)
     clean = [c.replace("﻿", "").strip() for c in df.columns]
     df = df.toDF(*[aliases.get(c, c) for c in clean])
     missing = [c for c in required if c not in df.columns]
