@@ -44,6 +44,8 @@ def small_thresholds(spark):
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        # Rows as few as these would be put together again in one task of a megabyte.
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
     }
     old = {k: spark.conf.get(k, None) for k in settings}
     for k, v in settings.items():
