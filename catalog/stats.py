@@ -164,10 +164,8 @@ def merge_package_source(t):
 SELECT p_name AS project, count(*) AS downloads FROM lineitem JOIN part ON l_partkey = p_partkey
 GROUP BY 1""")
 def download_counts(t):
-    # Counted per part before the join: the log is shuffled once, as one row per part.
-    per_part = t.lineitem.groupBy("l_partkey").agg(F.count("*").alias("n"))
-    named = per_part.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
-    return named.groupBy(F.col("p_name").alias("project")).agg(F.sum("n").alias("downloads"))
+    log = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+    return op.download_counts(log.select(F.col("p_name").alias("project")))
 
 
 @query("download_counts_raw", """
@@ -284,6 +282,14 @@ def page_sessions(t):
     return order.page_sessions(order_log(t), 40, 20)
 
 
+@query("page_sessions_by_key", f"""
+WITH {ORDER_LOG} SELECT * FROM olog ORDER BY created_at DESC, session_id LIMIT 20 OFFSET 40""")
+def page_sessions_by_key(t):
+    """The third page of 20 by the stored index of page boundaries."""
+    log = order_log(t)
+    return order.page_by_key(log, order.page_index(log, 20), 2)
+
+
 @query("sorted_report", """
 SELECT CASE WHEN toxic = 1 THEN 'malicious' ELSE 'benign' END AS label, (doc_id % 100) / 1e2 AS prob,
   doc_id AS file_id FROM labels ORDER BY 1, 2 DESC, 3""")

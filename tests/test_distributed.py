@@ -1,5 +1,6 @@
 """Operators that split hot groups, against plain Python on small or forced-small settings."""
 
+import datetime as dt
 import itertools
 import math
 import random
@@ -12,6 +13,8 @@ from vetloom.operators import sampling, scoring
 from vetloom.operators.aggregates import merge_package_source, session_detail, session_summary
 from vetloom.operators.aggregates import profile
 from vetloom.operators.features import quantile_flags
+from vetloom.operators.files import find_source, find_sources
+from vetloom.operators.ordering import page_by_key, page_index
 from vetloom.operators.quantiles import exact_quantiles, exact_quantiles_of, ordered_key, value_of_key
 from vetloom.operators.similarity import core_pairs, typosquat_flag
 
@@ -213,3 +216,35 @@ def test_session_detail_keeps_sessions_without_results(spark):
     assert rows["a"]["safe_files"] == 1 and rows["a"]["cwe_label"] == "Safe"
     assert rows["a"]["upload_time"] == "2024-01-01T00:00:00"
     assert rows["b"]["result_list"] is None and rows["b"]["safe_files"] == 0
+
+
+def test_equal_names_make_one_row_each(spark):
+    files = spark.range(3000).select(F.lit("s").alias("session_id"), F.concat(F.lit("d"), "id", F.lit("/same.py")).alias("path"))
+    wanted = spark.range(3000).select(F.lit("s").alias("session_id"), F.concat(F.lit("other"), "id", F.lit("/"), F.when(F.col("id") % 2 == 0, "same.py").otherwise("me.py")).alias("wanted"))
+    rows = find_sources(files, wanted).collect()
+    assert len(rows) == 3000 and {r["path"] for r in rows} == {"d0/same.py"}
+    assert {(r["wanted"].endswith("same.py"), r["match_kind"]) for r in rows} == {(True, 1), (False, 2)}
+
+
+def test_requests_find_what_one_by_one_they_find(spark):
+    rng = random.Random(9)
+    paths = ["/".join(rng.choice("ab") for _ in range(rng.randint(0, 2))) + "/" + "".join(rng.choice("xy.") for _ in range(rng.randint(1, 4))) for _ in range(60)]
+    files = spark.createDataFrame([(rng.choice("st"), p) for p in paths], "session_id string, path string")
+    asked = [(rng.choice("stu"), rng.choice([*paths, "x", "y.", "q/xy", "zz"])) for _ in range(40)]
+    found = {(r["session_id"], r["wanted"]): (r["match_kind"], r["path"]) for r in find_sources(files, spark.createDataFrame(asked, "session_id string, wanted string")).collect()}
+    for session, path in set(asked):
+        one = [(r["match_kind"], r["path"]) for r in find_source(files, session, path).collect()]
+        assert [found[session, path]] == one if one else (session, path) not in found
+
+
+def test_pages_by_key(spark):
+    rng = random.Random(2)
+    rows = [(f"s{i}", None if i % 50 == 0 else dt.datetime(2024, 1, 1, rng.randint(0, 5))) for i in range(205)]
+    log = spark.createDataFrame(rows, "session_id string, created_at timestamp").repartition(6)
+    index = page_index(log, 20, parts=5)
+    every = [r["session_id"] for r in log.orderBy(F.desc("created_at"), "session_id").collect()]
+    assert sorted((r["page"], r["first_id"]) for r in index.collect()) == [(i, every[20 * i]) for i in range(11)]
+    for page in (0, 3, 10, 11):
+        df = page_by_key(log, index, page)
+        assert [r["session_id"] for r in df.collect()] == every[20 * page : 20 * page + 20]
+    assert page_index(log.filter("false"), 20).count() == 0

@@ -15,6 +15,7 @@ from ..functions.text import (
     strip_whitespace,
     unix_path,
 )
+from .skew import salted_join
 
 
 def admit_uploads(
@@ -121,8 +122,9 @@ def find_sources(files: DataFrame, requests: DataFrame) -> DataFrame:
     """``find_source`` for a table of ``(session_id, wanted)`` requests.
 
     All three match kinds are equi-joins on the session and a piece of text: the path, the name, or
-    one of the endings of the name. Names are short, so the endings of one file are few, and they
-    are made only for sessions that still have an unanswered request.
+    an ending of the name. Files are first reduced to their smallest path per session and text, so
+    equal names make one row; and names are cut only to the lengths that the session's unanswered
+    requests have, not to all their endings.
     """
     files = files.select(
         "session_id",
@@ -137,30 +139,24 @@ def find_sources(files: DataFrame, requests: DataFrame) -> DataFrame:
         base_name(F.col("wanted")).alias("_name"),
     ).distinct()
 
-    def best(pairs: DataFrame, kind: int) -> DataFrame:
-        return pairs.groupBy("session_id", "wanted").agg(
-            F.lit(kind).alias("match_kind"), F.min("path").alias("path")
-        )
+    def hits(pairs: DataFrame, kind: int) -> DataFrame:
+        return pairs.select("session_id", "wanted", F.lit(kind).alias("match_kind"), "path")
 
-    by_path = best(asked.drop("_name").join(files.drop("_name"), ["session_id", "_own"]), 0)
-    by_name = best(asked.drop("_own").join(files.drop("_own"), ["session_id", "_name"]), 1)
+    first = F.min("path").alias("path")
+    names = files.groupBy("session_id", "_name").agg(first)
+    by_path = hits(asked.join(files.groupBy("session_id", "_own").agg(first), ["session_id", "_own"]), 0)
+    by_name = hits(asked.join(names, ["session_id", "_name"]), 1)
     exact = by_path.unionByName(by_name)
     open_requests = asked.drop("_own").join(exact, ["session_id", "wanted"], "left_anti")
+    lengths = open_requests.groupBy("session_id").agg(F.collect_set(F.length("_name")).alias("_lengths"))
+    fitting = F.filter("_lengths", lambda n: (n > 0) & (n <= F.length("_name")))
     endings = (
-        files.join(open_requests.select("session_id").distinct(), "session_id", "left_semi")
-        .filter("_name <> ''")
-        .select(
-            "session_id",
-            "path",
-            F.explode(
-                F.transform(
-                    F.sequence(F.lit(1), F.length("_name")),
-                    lambda i: F.substring(F.col("_name"), i, F.length("_name")),
-                )
-            ).alias("_name"),
-        )
+        salted_join(names, lengths, "session_id", by=["_name"], measured=files.select("session_id"))
+        .withColumn("_n", F.explode(fitting))
+        .groupBy("session_id", F.expr("right(_name, _n)").alias("_name"))
+        .agg(first)
     )
-    by_ending = best(open_requests.join(endings, ["session_id", "_name"]), 2)
+    by_ending = hits(open_requests.join(endings, ["session_id", "_name"]), 2)
     return (
         exact.unionByName(by_ending)
         .groupBy("session_id", "wanted")

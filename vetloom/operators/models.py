@@ -69,12 +69,12 @@ def train_code_classifier(
 ) -> PipelineModel:
     """Multiclass code classifier over hashed tokens; rare classes weigh more.
 
-    The weights are one row per class, joined to the training rows.
+    The weights, one per class, are a map that the plan reads as a scalar; the token rows are not joined.
     """
     train = df.withColumn("label", F.col(label).cast("double"))
     if weighted:
-        weights = class_weights(df, label).select(F.col("label").alias(label), "weight")
-        train = train.join(weights, label)
+        weights = class_weights(df, label).agg(F.map_from_entries(F.collect_list(F.struct("label", "weight")))).scalar()
+        train = train.withColumn("weight", F.element_at(weights, F.col(label)))
     model = Pipeline(
         stages=[
             HashingTF(inputCol=tokens, outputCol="features", numFeatures=buckets),

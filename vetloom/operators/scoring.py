@@ -33,12 +33,12 @@ def with_chunk_count(
     """
     if "n_chunks" in df.columns:
         return df
-    counts = df.groupBy(key).agg((F.max(idx) + 1).alias("n_chunks"))
+    counts = df.groupBy(key).agg(F.count("*").alias("n_chunks"), F.max(idx).alias("_last"))
     blocks = counts.select(
         key,
         F.col("n_chunks").cast("int").alias("n_chunks"),
         F.explode(
-            F.sequence(F.lit(0), F.floor((F.col("n_chunks") - 1) / F.lit(block)).cast("int"))
+            F.sequence(F.lit(0), F.floor(F.col("_last") / F.lit(block)).cast("int"))
         ).alias("_block"),
     )
     keyed = df.withColumn("_block", F.floor(F.col(idx) / F.lit(block)).cast("int"))
