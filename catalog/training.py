@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from vetloom.operators import boosting
 from vetloom.operators import evaluation as ev
 from vetloom.operators import models as ml
 from vetloom.operators import sampling as op
@@ -172,3 +173,24 @@ def train_code_classifier(t):
     docs = docs.withColumn("tokens", word_tokens(F.col("text")))
     model = ml.train_code_classifier(docs.filter("part = 'train'"))
     return ml.predict(docs.filter("part = 'test'"), model, "predicted").select("doc_id", "label_idx", "predicted")
+
+
+@query("split_gains", """
+WITH cells AS (
+  SELECT 5e-1 - CAST(l_returnflag = 'R' AS INTEGER) AS g, unnest([0, 1, 2]) AS feature,
+    unnest([CAST(l_quantity AS INTEGER), CAST(round(l_discount * 100) AS INTEGER), CAST(round(l_tax * 100) AS INTEGER)]) AS bin
+  FROM lineitem),
+sums AS (SELECT feature, bin, sum(g) AS g, count(*) * 25e-2 AS h FROM cells GROUP BY 1, 2),
+upto AS (
+  SELECT feature, bin, max(bin) OVER f AS last, sum(g) OVER u AS gl, sum(h) OVER u AS hl, sum(g) OVER f AS ga, sum(h) OVER f AS ha
+  FROM sums WINDOW f AS (PARTITION BY feature), u AS (PARTITION BY feature ORDER BY bin)),
+sides AS (SELECT feature, bin, unnest([gl, ga - gl, ga]) AS g, unnest([hl, ha - hl, ha]) AS h, unnest([1, 1, -1]) AS s FROM upto WHERE bin < last)
+SELECT feature, bin, round(sum(s * pow(greatest(abs(g) - 2e-1, 0), 2) / (h + 2e-1)), 6) AS gain FROM sides GROUP BY 1, 2""")
+def split_gains(t):
+    """Gains of all first splits of boosting for returned line items by quantity, discount and tax."""
+    cell = lambda x: F.round(x).cast("int")
+    rows = t.lineitem.select(
+        (F.col("l_returnflag") == "R").cast("double").alias("label"),
+        F.array(F.col("l_quantity").cast("int"), cell(F.col("l_discount") * 100), cell(F.col("l_tax") * 100)).alias("bins"))
+    sums = boosting.gradient_sums(rows, "0D", "1", range(3))
+    return boosting.split_gains(sums).select("feature", "bin", "gain")
