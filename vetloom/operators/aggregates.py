@@ -197,13 +197,18 @@ def merge_package_source(files: DataFrame) -> DataFrame:
     One row per file with code, whatever the size of the package: its merged text is the rows'
     ``code`` by ``part``, so no task has to hold a package. Parts are numbered on the paths alone and
     joined back; texts stay where they are but for that join. A path occurs once.
+
+    Whether code is left is told without stripping where a text begins with anything but a comment or
+    a quote, since nothing before the first mark is ever removed.
     """
-    code = strip_comments(F.col("content"))
-    files = files.select(package_directory(F.col("path")).alias("package"), "path", code.alias("code"))
-    files = files.filter(strip_whitespace(F.col("code")) != "")
+    content = F.col("content")
+    first = F.substring(F.regexp_extract(content, r"(?U)^\s*(\S)", 1), 1, 1)
+    kept = F.when(~first.isin("#", "'", '"', ""), True).otherwise(strip_whitespace(strip_comments(content)) != "")
+    files = files.select(package_directory(F.col("path")).alias("package"), "path", "content")
     order = Window.partitionBy("package").orderBy("path")
-    numbered = files.select("package", "path", (F.row_number().over(order) - 1).alias("part"))
-    return files.join(numbered, ["package", "path"]).select("package", "part", "path", "code")
+    numbered = files.filter(kept).select("package", "path", (F.row_number().over(order) - 1).alias("part"))
+    whole = files.select("package", "path", strip_comments(content).alias("code"))
+    return whole.join(numbered, ["package", "path"]).select("package", "part", "path", "code")
 
 
 def download_counts(log: DataFrame, project: str = "project") -> DataFrame:

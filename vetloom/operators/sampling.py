@@ -1,9 +1,9 @@
 """Seeded, repeatable sampling and splitting by the hash order of a unique row key.
 
 The order is the MD5 text of seed and key, so any engine reproduces it. Taking "the first n of a
-class" never ranks the class as a whole: rows are counted per hash bucket, whole buckets are
-decided by the running counts, and only rows of the few buckets a cut runs through are ranked. A
-class with a third of all rows thus moves a tiny part of its rows, and no task sees the class.
+class" never ranks the class and never moves a row: the hash of the n-th row is found digit by digit
+from histograms, which combine map-side, and then every row is decided where it lies by comparing its own
+hash. A class with a third of all rows costs no more than its histograms.
 """
 
 from __future__ import annotations
@@ -13,51 +13,69 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Leading hex digits of the hash that name a bucket: 4096 buckets per class.
-BUCKET_DIGITS = 3
+# Hex digits of the hash that one histogram resolves, and digits after which the rows left are ranked:
+# 40 bits, which a row shares with one other in a group of 10^12.
+DIGITS, RESOLVED = 5, 10
 
 
 def hash_order(key: str, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
 
 
+def _at_rank(counts: DataFrame) -> DataFrame:
+    """Rows of the histogram that hold the rank looked for, with the rank inside them."""
+    upto = F.sum("n").over(Window.partitionBy("g", "i").orderBy("prefix"))
+    found = counts.withColumn("below", upto - F.col("n"))
+    found = found.filter((F.col("below") < F.col("rank")) & (F.col("rank") <= F.col("below") + F.col("n")))
+    return found.withColumn("rank", F.col("rank") - F.col("below"))
+
+
+def _cut_hashes(rows: DataFrame, cuts: Callable[[Column], Column], digits: int) -> Column:
+    """A map from group to its cuts: each cut rank, the group's size and the hash of the row at that rank.
+
+    A scalar subquery with one entry per group and cut; ``rows`` are ``(g, h)``.
+    """
+    prefix = lambda n: F.substring("h", 1, n).alias("prefix")
+    counts = rows.groupBy("g", prefix(digits)).agg(F.count("*").alias("n"))
+    counts = counts.withColumn("size", F.sum("n").over(Window.partitionBy("g")))
+    asked = counts.withColumn("cuts", cuts(F.col("size"))).select("g", "prefix", "n", "size", F.posexplode("cuts").alias("i", "cut"))
+    found = _at_rank(asked.withColumn("rank", F.greatest(F.lit(1), F.least("cut", "size"))))
+    known, carried = digits, ["g", "i", "cut", "size", "rank"]
+
+    def agreeing() -> DataFrame:
+        """Rows whose hash begins as that of a row looked for."""
+        state = found.agg(F.collect_list(F.struct(*carried, "prefix")).alias("s")).scalar()
+        same = F.filter("state", lambda s: (s["g"] == F.col("g")) & (s["prefix"] == F.substring("h", 1, known)))
+        return rows.withColumn("state", state).select("h", F.explode(same).alias("s")).select("s.*", "h")
+
+    while known < RESOLVED:
+        hits, known = agreeing().drop("prefix"), min(known + digits, RESOLVED)
+        found = _at_rank(hits.groupBy(*carried, prefix(known)).agg(F.count("*").alias("n")))
+    place = F.row_number().over(Window.partitionBy("g", "i").orderBy("h"))
+    last = agreeing().withColumn("place", place).filter("place = rank")
+    each = last.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("i", "cut", "size", "h"))).alias("cuts"))
+    return each.agg(F.map_from_entries(F.collect_list(F.struct("g", "cuts")))).scalar()
+
+
 def hash_cut(
     df: DataFrame,
     group: Column,
     key: str,
     cuts: Callable[[Column], Column],
     seed: int = 42,
-    digits: int = BUCKET_DIGITS,
+    digits: int = DIGITS,
 ) -> DataFrame:
     """Add ``_part``: how many of the group's cut ranks lie before the row's hash rank.
 
     ``cuts`` turns the class size into an array of cut ranks. ``key`` has to be unique, else equal
-    keys share a bucket.
+    keys fall on one side of a cut together. Null is a group of its own. Groups are classes, of which there
+    are few: the hashes at their cuts enter the plan as one value, and the rows stay where they are.
     """
-    rows = df.withColumns({"_g": group, "_h": hash_order(key, seed)}).withColumn(
-        "_b", F.substring("_h", 1, digits)
-    )
-    counts = rows.groupBy("_g", "_b").agg(F.count("*").alias("_n"))
-    # At most 16**digits rows per class from here on, whatever the size of the table.
-    whole = Window.partitionBy("_g")
-    running = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    buckets = (
-        counts.withColumns({"_hi": F.sum("_n").over(running), "_size": F.sum("_n").over(whole)})
-        .withColumns({"_lo": F.col("_hi") - F.col("_n"), "_cuts": cuts(F.col("_size"))})
-        .withColumn(
-            "_split",
-            F.exists("_cuts", lambda c: (c > F.col("_lo")) & (c < F.col("_hi"))),
-        )
-        .select("_g", "_b", "_lo", "_cuts", "_split")
-    )
-    located = rows.join(buckets, ["_g", "_b"])
-    part = lambda rank: F.size(F.filter("_cuts", lambda c: c < rank))
-    decided = located.filter(~F.col("_split")).withColumn("_part", part(F.col("_lo") + 1))
-    order = Window.partitionBy("_g", "_b").orderBy("_h", key)
-    ranked = located.filter("_split").withColumn(
-        "_part", part(F.col("_lo") + F.row_number().over(order))
-    )
-    return decided.unionByName(ranked).select(*df.columns, "_part")
+    name = F.coalesce(F.concat(F.lit("="), group.cast("string")), F.lit(""))
+    rows = df.select(name.alias("g"), hash_order(key, seed).alias("h"))
+    own = df.withColumns({"_h": hash_order(key, seed), "_cuts": F.try_element_at(_cut_hashes(rows, cuts, digits), name)})
+    passed = F.filter("_cuts", lambda c: (c["cut"] <= 0) | (c["cut"] < c["size"]) & (F.col("_h") > c["h"]))
+    return own.withColumn("_part", F.size(passed)).drop("_h", "_cuts")
 
 
 def _smallest(df: DataFrame, label: str) -> Column:
