@@ -7,6 +7,7 @@ from catalog import QUERIES
 from vetloom.operators import joins, skew
 from vetloom.operators.similarity import typosquat_flag
 from vetloom.operators.tokens import embed_tokens
+from vetloom.session import scratch_dir
 
 SF_DIR = "/root/testdata/sf0.001"
 TRAINING = {
@@ -130,3 +131,15 @@ def test_only_hot_keys_are_dealt_out(spark):
         ours = skew.salted_join(part, other, "name", how, parts=30)
         plain = part.join(other, "name", how)
         assert sorted(map(str, ours.collect())) == sorted(map(str, plain.collect()))
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Session:
+        def __init__(self, master):
+            self.sparkContext = type("Context", (), {"master": master})
+            self.conf = type("Conf", (), {"get": lambda _, k, d: None, "set": lambda _, k, v: None})()
+
+    for master in ("yarn", "spark://x:7077", "local-cluster[2,1,1024]", "k8s://x"):
+        with pytest.raises(ValueError):
+            scratch_dir(Session(master), "x")
+    assert scratch_dir(Session("local[2]"), "x").startswith("file://")

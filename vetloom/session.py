@@ -34,11 +34,15 @@ def get_spark(app: str = "vetloom", master: str | None = None, **conf: str) -> S
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder for checkpoints and hand-off tables.
 
-    On a cluster this lies in the shared folder named by ``spark.checkpoint.dir``; only where that
-    is unset (tests on one machine) a local temporary folder is taken and set for later calls.
+    This lies in the shared folder named by ``spark.checkpoint.dir``. Only where that is unset and Spark
+    runs in one process (tests) a local temporary folder is taken and set for later calls; on a cluster,
+    whose machines would each write to their own disk, a missing setting is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
         root = f"file://{tempfile.mkdtemp(prefix='vetloom-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{os.urandom(6).hex()}"
