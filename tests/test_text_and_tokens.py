@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from vetloom.functions import text as fn
+from vetloom.operators import tokens as op
 from vetloom.operators.files import fill_author, parse_metadata
 from vetloom.operators.tokens import canonicalize_identifiers, fix_length, lexical_tokens, word_tokens
 from vetloom.operators.windows import char_windows, token_windows
@@ -238,3 +239,30 @@ def test_fix_length_keeps_files_without_tokens(spark):
         assert [r["n_known"] for r in out] == known
         assert [r["status"] for r in out] == ["OK" if n else "Error" for n in known]
         assert out[2]["sequence"] == [[0.0, 0.0]] * 2
+
+
+def odd_tokens(spark):
+    """Known, unknown and null tokens, a file id of two files, and a token that has two vectors or a null one."""
+    words = ["a", "b", "c", None, "x", "a", "y", "z", "twice", "none"]
+    given = [(f, p, words[(p * 7 + (f or 0)) % len(words)]) for f in (1, 2, 2, 3, None) for p in range(25)]
+    vectors = [("a", [1.0, 2.0]), ("b", [3.0, 4.0]), ("twice", [5.0, 6.0]), ("twice", [7.0, 8.0]), ("none", None), (None, [9.0, 9.0]), ("far", [0.5, 0.5])]
+    return (spark.createDataFrame(given, "file_id int, pos int, token string"),
+            spark.createDataFrame(vectors, "token string, vector array<float>"), given, vectors)
+
+
+@pytest.mark.parametrize("oov", ["drop", "zero"])
+def test_unknown_tokens_are_told_before_they_move(spark, oov):
+    tokens, vectors, given, table = odd_tokens(spark)
+    out = op.embed_tokens(tokens, vectors, oov, 2)
+    expected = [(f, p, t, v or [0.0, 0.0]) for f, p, t in given for k, v in table if t is not None and t == k]
+    if oov == "zero":
+        expected += [(f, p, t, [0.0, 0.0]) for f, p, t in given if t is None or t not in [k for k, _ in table]]
+    assert sorted(map(str, (tuple(r) for r in out.select("file_id", "pos", "token", "vector").collect()))) == sorted(map(str, expected))
+    assert "bit_get" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_filter_of_known_tokens_loses_none(spark):
+    vectors = spark.range(50_000).selectExpr("concat('k', id) AS token")
+    words = vectors.union(spark.range(50_000).selectExpr("concat('u', id)"))
+    passed = words.filter(op.maybe_known(vectors)).selectExpr("count_if(token LIKE 'k%') AS k", "count_if(token LIKE 'u%') AS u").first()
+    assert passed.k == 50_000 and passed.u < 1_000

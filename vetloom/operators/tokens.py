@@ -30,6 +30,8 @@ WIDE = rf"^{_PREFIX}(?:'''|\"\"\")"
 CONDITION = r"(?s)(?<![\p{L}\p{N}_])(if|while|for)[\x09-\x0D\x20]+.+$"
 #: Elements that one step of a fold goes through, so that its result is copied in short pieces.
 FOLDED = 128
+#: 64-bit words of the filter that tells tokens without a vector before their rows move: 1 MB, whatever the vocabulary.
+FILTER_WORDS = 1 << 17
 _BROKEN = -(1 << 30)
 
 
@@ -238,6 +240,21 @@ def _sampled(tokens: DataFrame, key: str) -> DataFrame:
     return tokens.filter(F.pmod(F.xxhash64(key), F.lit(16)) == 0)
 
 
+def maybe_known(vectors: DataFrame) -> Column:
+    """Whether the column ``token`` may be one of ``vectors``; false only for tokens that have none.
+
+    Every known token sets one bit of a filter, a scalar subquery of fixed size. The larger the vocabulary,
+    the more unknown tokens pass, and the join behind drops them; a token that has a vector always passes.
+    """
+    h = F.xxhash64("token")
+    word, bit = F.pmod(h, F.lit(FILTER_WORDS)).cast("int"), F.pmod(F.shiftright(h, 32), F.lit(64)).cast("int")
+    known = vectors.filter("token IS NOT NULL").select(word.alias("word"), bit.alias("bit"))
+    every = vectors.sparkSession.range(FILTER_WORDS).selectExpr("cast(id AS int) AS word", "0L AS bits")
+    words = known.selectExpr("word", "shiftleft(1L, bit) AS bits").union(every).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    bits = words.agg(F.array_sort(F.collect_list(F.struct("word", "bits")))["bits"].alias("bits")).scalar()
+    return F.col("token").isNotNull() & (F.bit_get(F.get(bits, word), bit) == 1)
+
+
 def embed_tokens(
     tokens: DataFrame, vectors: DataFrame, oov: str = "drop", dim: int = 100, key: str = "file_id"
 ) -> DataFrame:
@@ -245,12 +262,17 @@ def embed_tokens(
 
     Word counts are Zipf-shaped, so one token can be a large share of the rows. The rows of the tokens
     that are hot among one file in sixteen (by hash of ``key``) are spread by position; only their vectors are
-    repeated. Where the vocabulary is small enough Spark broadcasts it instead.
+    repeated. Where the vocabulary is small enough Spark broadcasts it instead. Most tokens without a vector
+    are told where they lie (``maybe_known``) and never move.
     """
     if oov not in ("drop", "zero"):
         raise ValueError(f"unknown rule for unknown tokens: {oov}")
+    known = maybe_known(vectors)
+    likely = tokens.filter(known)
     how = "inner" if oov == "drop" else "left"
-    out = salted_join(tokens, vectors, "token", how, by=["pos"], measured=_sampled(tokens, key))
+    out = salted_join(likely, vectors, "token", how, by=["pos"], measured=_sampled(likely, key))
+    if oov == "zero":
+        out = out.unionByName(tokens.filter(~known), allowMissingColumns=True)
     return out.withColumn("vector", F.coalesce("vector", zeros(dim)))
 
 
