@@ -266,3 +266,20 @@ def test_the_filter_of_known_tokens_loses_none(spark):
     words = vectors.union(spark.range(50_000).selectExpr("concat('u', id)"))
     passed = words.filter(op.maybe_known(vectors)).selectExpr("count_if(token LIKE 'k%') AS k", "count_if(token LIKE 'u%') AS u").first()
     assert passed.k == 50_000 and passed.u < 1_000
+
+
+@pytest.mark.parametrize("n", [4, 100])
+def test_a_file_gets_a_vector_once_for_all_places(spark, n, monkeypatch):
+    tokens, vectors, given, table = odd_tokens(spark)
+    moved, embed = [], op.embed_tokens
+    monkeypatch.setattr(op, "embed_tokens", lambda rows, *more: moved.append(rows) or embed(rows, *more))
+    tokens, given = tokens.filter("file_id <> 2"), [g for g in given if g[0] in (1, 3)]
+    found = {r.file_id: (r.n_known, r.sequence) for r in op.fix_length(tokens, vectors, n, "drop", 2).collect()}
+    expected = {}
+    for f in (1, 3):
+        known = [(p, t) for g, p, t in given if g == f and t in ("a", "b", "twice", "none")][:n]
+        seq = [v for _, v in sorted(((p, v or [0.0, 0.0]) for p, t in known for k, v in table if k == t))]
+        expected[f] = (len(seq), seq + [[0.0, 0.0]] * (n - len(seq)))
+    assert found == expected
+    rows, = moved
+    assert rows.count() == rows.select("file_id", "token").distinct().count()

@@ -293,19 +293,22 @@ def fix_length(
 
     With ``zero`` the position filter runs before the vector join. With ``drop`` positions are
     ranked again among known tokens, and Spark keeps at most ``n`` rows per file and task before
-    the shuffle, so a huge file does not arrive in one task.
+    the shuffle, so a huge file does not arrive in one task. Tokens that cannot be known stay where they
+    lie, and a file is sent a vector once for all places of its token.
     """
     if oov == "zero":
-        first = tokens.filter(F.col("pos") < n)
-        kept = embed_tokens(first, vectors, "zero", dim, key)
+        kept = embed_tokens(tokens.filter(F.col("pos") < n), vectors, "zero", dim, key)
+        pairs = F.collect_list(F.struct("pos", "vector"))
     else:
-        known = salted_join(tokens, vectors.select("token"), "token", "left_semi", by=["pos"], measured=_sampled(tokens, key))
+        likely = tokens.filter(maybe_known(vectors))
+        known = salted_join(likely, vectors.select("token"), "token", "left_semi", by=["pos"], measured=_sampled(likely, key))
         order = Window.partitionBy(key).orderBy("pos")
         first = known.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= n)
-        kept = embed_tokens(first.drop("_rank"), vectors, "drop", dim, key)
-    rows = kept.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("pos", "vector")))["vector"].alias("seq")
-    )
+        places = first.groupBy(key, "token").agg(F.sort_array(F.collect_list("pos")).alias("pos"))
+        kept = embed_tokens(places, vectors, "drop", dim, key)
+        at = lambda x: F.transform(x["pos"], lambda p: F.struct(p.alias("pos"), x["vector"].alias("vector")))
+        pairs = F.flatten(F.transform(F.collect_list(F.struct("pos", "vector")), at))
+    rows = kept.groupBy(key).agg(F.array_sort(pairs)["vector"].alias("seq"))
     padding = F.array_repeat(zeros(dim), n - F.size("seq"))
     told = rows.select(
         key, F.size("seq").alias("n_known"), F.concat("seq", padding).alias("sequence")
