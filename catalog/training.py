@@ -9,7 +9,7 @@ from vetloom.operators import sampling as op
 from vetloom.operators.features import add_noise, package_features
 from vetloom.operators.joins import join_code_verdicts
 from vetloom.operators.tokens import word_tokens
-from vetloom.session import spread
+from vetloom.session import scratch_dir, spread
 
 from .registry import query
 
@@ -132,7 +132,11 @@ def training_packages(t):
 
 def _package_models(t, kinds=ml.KINDS):
     """The packages with their ``part`` and the models fitted on the training part alone."""
-    df = op.stratified_split(training_packages(t), "label", "name", (0.8, 0.2), ("train", "test"))
+    path, df = scratch_dir(t.spark, "packages"), training_packages(t)
+    # The split, the fit and the predictions read the rows again; behind joins they would be worked out each time.
+    df.write.parquet(path)
+    df = t.spark.read.schema(df.schema).parquet(path)
+    df = op.stratified_split(df, "label", "name", (0.8, 0.2), ("train", "test"))
     return df, ml.train_package_models(df.filter("part = 'train'"), kinds=kinds)
 
 

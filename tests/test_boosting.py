@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.ml.functions import array_to_vector
 
+from vetloom.operators import boosting
 from vetloom.operators.boosting import Boosted, Penalty, gradient_sums, split_gains, train_boosting, walk
 
 
@@ -81,3 +82,24 @@ def test_penalties_shrink_leaves(spark, rows):
     assert max(leaves(held)) < max(leaves(free))
     nothing = train_boosting(df, rounds=2, columns=0.9, penalty=Penalty(1e6, 0.2))
     assert nothing.trees == [] and nothing.transform(df).filter("prediction = 1").isEmpty()
+
+
+def test_cells_are_plain_numbers_and_keep_missing_and_negative_bins(spark):
+    given = [(1, 0, [-5, None], 0.0), (1, 1, [-5, 7], 0.0), (1, 1, [2147483647, -2147483648], 0.0), (2, 1, [None, 7], 0.0)]
+    df = spark.createDataFrame(given, "node int, label int, bins array<int>, margin double")
+    sums = gradient_sums(df, "margin", "node", [0, 1])
+    found = {(r.node, r.feature, r.bin): (r.g, r.h) for r in sums.collect()}
+    assert found == {
+        (1, 0, -5): (0.0, 0.5), (1, 0, 2147483647): (-0.5, 0.25), (2, 0, None): (-0.5, 0.25),
+        (1, 1, None): (0.5, 0.25), (1, 1, 7): (-0.5, 0.25), (1, 1, -2147483648): (-0.5, 0.25), (2, 1, 7): (-0.5, 0.25),
+    }
+    assert "explode(array(c0" in sums._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_level_reads_the_drawn_features_only(spark, rows, monkeypatch):
+    seen, sums = [], boosting.gradient_sums
+    monkeypatch.setattr(boosting, "gradient_sums", lambda *a: seen.append((a[3], sums(*a))) or seen[-1][1])
+    train_boosting(rows[0], rounds=1, columns=0.4)
+    drawn, df = seen[0]
+    scan, = [x for x in df._jdf.queryExecution().executedPlan().toString().split("\n") if "FileScan" in x]
+    assert [i for i in range(5) if f"b{i}#" in scan] == drawn and len(drawn) == 2

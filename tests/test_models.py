@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from catalog import QUERIES
 from catalog.registry import Tables
-from catalog.training import training_packages
+from catalog.training import _package_models, training_packages
 from vetloom.operators import models as ml
 from vetloom.operators.tokens import model_vectors, train_word2vec
 from vetloom.plans.analysis import analyze_packages, package_store_rows
@@ -105,3 +105,9 @@ def test_word2vec_query_trains_whole_vectors_in_all_partitions(spark):
     out = QUERIES["train_word2vec"](spark, "/root/testdata/sf0.001")
     assert out.columns == ["token", "vector"]
     assert {len(r["vector"]) for r in out.collect()} == {100}
+
+
+def test_package_rows_are_worked_out_once(spark, monkeypatch):
+    monkeypatch.setattr(ml, "train_package_models", lambda df, **options: {})
+    df, _ = _package_models(Tables(spark, "/root/testdata/sf0.001"))
+    assert {name.rsplit("/", 2)[1].split("-")[0] for name in df.inputFiles()} == {"packages"}

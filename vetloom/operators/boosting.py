@@ -23,6 +23,8 @@ from ..session import scratch_dir
 UNIT = 1 << 20
 #: Rounds after which the margins are written, so that neither plan nor lineage grows with the rounds.
 WRITTEN = 10
+#: Numbers that the bins of a feature may have, and the one that stands for no bin.
+SPAN, NO_BIN = 1 << 33, -(1 << 31) - 1
 
 
 @dataclass(frozen=True)
@@ -62,13 +64,18 @@ def gradient_sums(rows: DataFrame, margin: str, node: str, features: Sequence[in
 
     ``margin`` and ``node`` are SQL text over the columns of ``rows``.
     """
-    p = f"(1D / (1D + exp(-({margin}))))"
-    cells = ", ".join(f"struct({i} AS feature, bins[{i}] AS bin)" for i in features)
-    slim = rows.selectExpr(
-        f"{node} AS node", f"cast(round(({p} - label) * {UNIT}) AS bigint) AS g",
-        f"cast(round({p} * (1D - {p}) * {UNIT}) AS bigint) AS h", f"explode(array({cells})) AS cell")
-    summed = slim.groupBy("node", "cell.feature", "cell.bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
-    return summed.selectExpr("node", "feature", "bin", f"g / {UNIT}D AS g", f"h / {UNIT}D AS h")
+    told = rows.selectExpr(
+        f"{node} AS node", "label", f"1D / (1D + exp(-({margin}))) AS p",
+        *[f"{i}L * {SPAN}L + coalesce(bins[{i}], {NO_BIN}L) AS c{k}" for k, i in enumerate(features)])
+    # Feature and bin are one number, so that a row's cells are an array of plain numbers; halves are rounded up in size.
+    unit = lambda x: f"cast(signum({x}) * floor(abs({x}) * {UNIT} + 0.5D) AS bigint)"
+    slim = told.selectExpr(
+        "node", f"{unit('(p - label)')} AS g", f"{unit('(p * (1D - p))')} AS h",
+        f"explode(array({', '.join(f'c{k}' for k in range(len(features)))})) AS cell")
+    summed = slim.groupBy("node", "cell").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
+    cells = summed.selectExpr("node", f"cast(floor((cell + {SPAN // 2}L) / {SPAN}) AS int) AS feature", "cell", "g", "h")
+    bins = f"nullif(cell - feature * {SPAN}L, {NO_BIN}L)"
+    return cells.selectExpr("node", "feature", f"cast({bins} AS int) AS bin", f"g / {UNIT}D AS g", f"h / {UNIT}D AS h")
 
 
 def _reached(tree: dict, at: int, goes_left, found) -> str:
@@ -171,13 +178,15 @@ def train_boosting(
     found = values.agg(*[F.percentile_approx(F.get("values", i), marks, 10_000).alias(f"c{i}") for i in range(width)]).first()
     model = Boosted([sorted(c for c in set(found[i] or []) if math.isfinite(c)) for i in range(width)])
     cut = lambda i: F.size(F.filter(F.array(*[F.lit(float(c)) for c in model.cuts[i]]), lambda c: c < F.get("values", i)))
-    binned = F.array(*[cut(i) if model.cuts[i] else F.lit(0) for i in range(width)])
-    table = values.select("label", binned.alias("bins"), F.xxhash64("label", "values").alias("row"), F.lit(0.0).alias("margin"))
+    # A column for each feature, so that a level reads those drawn and no others.
+    own = [f"b{i}" for i in range(width)]
+    binned = [(cut(i) if model.cuts[i] else F.lit(0)).alias(own[i]) for i in range(width)]
+    table = values.select("label", *binned, F.xxhash64("label", "values").alias("row"), F.lit(0.0).alias("margin"))
 
     def kept(df: DataFrame) -> DataFrame:
-        path = scratch_dir(spark, "boosting")
+        path, df = scratch_dir(spark, "boosting"), df.select("label", *own, "row", "margin")
         df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
+        return spark.read.schema(df.schema).parquet(path).withColumn("bins", F.array(*own))
 
     by_bin = lambda n: f"bins[{n[0]}] <= {n[1]}"
     table = kept(table)
