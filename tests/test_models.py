@@ -1,12 +1,17 @@
 import inspect
+import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import functions as F
 
 from catalog import QUERIES
 from catalog.registry import Tables
 from catalog.training import _package_models, training_packages
 from vetloom.operators import models as ml
+from vetloom.operators import word2vec
 from vetloom.operators.tokens import model_vectors, train_word2vec
 from vetloom.plans.analysis import analyze_packages, package_store_rows
 
@@ -107,6 +112,51 @@ def test_word2vec_query_trains_whole_vectors_in_all_partitions(spark):
     assert {len(r["vector"]) for r in out.collect()} == {100}
 
 
+def test_word2vec_vectors_stay_off_the_driver(spark):
+    """Spark's estimator hands its vectors out as rows of the driver, and fails at null texts."""
+    topics = [[f"{t}{i}" for i in range(8)] for t in "xy"]
+    rng = random.Random(1)
+    rows = [([rng.choice(topics[k % 2]) for _ in range(60)] + ["rare"] * (k == 0),) for k in range(200)]
+    df = spark.createDataFrame([*rows, (None,), ([],), ([None, "x0"],)], "tokens array<string>").repartition(4)
+    out = model_vectors(train_word2vec(df, size=16, min_count=3, epochs=4))
+    assert out.inputFiles()
+    found = {r["token"]: np.array(r["vector"]) for r in out.collect()}
+    assert set(found) == {w for t in topics for w in t}
+    unit = np.array([[found[w] / np.linalg.norm(found[w]) for w in t] for t in topics])
+    near, far = (unit[0] @ unit[0].T)[~np.eye(8, dtype=bool)].mean(), (unit[0] @ unit[1].T).mean()
+    assert near > far + 0.3
+
+
+def test_leaves_are_a_prefix_code_of_shannon_lengths(spark):
+    counts = [10] * 300 + [17] * 40 + [5000, 900, 64, 33]
+    rows = spark.createDataFrame([(f"w{i}", n) for i, n in enumerate(counts)], "token string, n bigint")
+    code = {r["token"]: f"{r['leaf']:b}"[1:] for r in word2vec.leaves(rows).collect()}
+    total = sum(counts)
+    for i, n in enumerate(counts):
+        depth = len(code[f"w{i}"])
+        assert n * 2**depth >= total > n * 2 ** (depth - 1)
+    order = sorted(code.values())
+    assert len(code) == len(counts) and not any(b.startswith(a) for a, b in zip(order, order[1:]))
+    one = spark.createDataFrame([("a", 10)], "token string, n bigint")
+    assert [r["leaf"] for r in word2vec.leaves(one).collect()] == [2]
+    with pytest.raises(IllegalArgumentException):
+        word2vec.leaves(rows.limit(0))
+
+
+def test_means_join_runs_across_batches():
+    rows = [(p, 0, at, float(p + at)) for at in range(5) for p in range(3)]
+
+    def batch(some):
+        part, kind, at, x = zip(*some)
+        data = [np.full(2, v, np.float32).tobytes() for v in x]
+        columns = [pa.array(part, pa.int32()), pa.array(kind, pa.int32()), pa.array(at, pa.int64()), pa.array(data, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, schema=word2vec._SCHEMA)
+
+    got = [r for b in word2vec._means(2)(batch(rows[i : i + 4]) for i in range(0, len(rows), 4)) for r in b.to_pylist()]
+    assert [(r["part"], r["at"]) for r in got] == [(p, at) for p, _, at, _ in rows]
+    assert all(np.frombuffer(r["data"], np.float32).tolist() == [r["at"] + 1.0] * 2 for r in got)
+
+
 def test_package_rows_are_worked_out_once(spark, monkeypatch):
     monkeypatch.setattr(ml, "train_package_models", lambda df, **options: {})
     df, _ = _package_models(Tables(spark, "/root/testdata/sf0.001"))
