@@ -5,6 +5,7 @@ import random
 import zipfile
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from vetloom.operators.models import load_model, save_model
@@ -49,6 +50,36 @@ def test_scan_source_files(spark, tree):
         scans.scan_source_files(spark, str(tree), "guess")
 
 
+def test_trees_are_listed_and_read_by_tasks(spark, tmp_path):
+    """Spark's source lists every file on the driver and makes a task of each 32 small ones."""
+    root = tmp_path / "many"
+    places = [f"{a}/{b}" if b else str(a) for a in range(40) for b in ("", "x", "x/y z/ü", "_metadata_of/z")]
+    places += ["_hidden", ".git", "k=1", "_k=1", "a/__pycache__", "t._COPYING_"]
+    for i, place in enumerate(places):
+        (root / place).mkdir(parents=True, exist_ok=True)
+        for name in ("m.py", "_n.py", ".o.py", "_p=1.py", "empty.py", "notes.txt", "u.py._COPYING_", "_metadata.py"):
+            (root / place / name).write_text("" if name == "empty.py" else f"x = {i}\n")
+    (root / "gone.py").symlink_to(tmp_path / "nowhere")
+    (root / "link").symlink_to(root / "0", target_is_directory=True)
+    for scan, column in ((scans.scan_source_files, "path"), (scans.scan_package_metadata, "file_name")):
+        df = scan(spark, str(root))
+        assert not df.inputFiles() and df.rdd.getNumPartitions() <= 8
+        rows = sorted(tuple(r) for r in df.collect())
+        assert rows == sorted(tuple(r) for r in scan(spark, f"file://{root}/", ranged=False).collect())
+    assert len(contents(scans.scan_source_files(spark, str(root)))) > 300
+    part = scans.scan_source_files(spark, f"{root}/[01]")
+    assert part.inputFiles() and part.count()
+    with pytest.raises(AnalysisException) as missing:
+        scans.scan_source_files(spark, str(tmp_path / "none"))
+    assert missing.value.getCondition() == "PATH_NOT_FOUND"
+
+
+def test_written_trees_are_read_back(spark, tmp_path):
+    files = spark.createDataFrame([(f"s{i % 3}/{i % 5}/{i}.py", f"é = {i}") for i in range(60)], "path string, content string")
+    assert archives.write_tree(files.repartition(4), f"file://{tmp_path}/t").count() == 60
+    assert contents(scans.scan_source_files(spark, f"file://{tmp_path}/t")) == dict(tuple(r) for r in files.collect())
+
+
 def zip_bytes(members):
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:

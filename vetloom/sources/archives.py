@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ranges import RANGE, create_file, open_file, replace_file
+from .ranges import RANGE, create_file, open_file, replace_file, store
 
 # What reading a damaged or unsupported archive member raises.
 DAMAGE = (
@@ -177,13 +177,20 @@ def write_archives(files: DataFrame, root: str) -> DataFrame:
 
 
 def write_tree(files: DataFrame, root: str) -> DataFrame:
-    """Files ``(path, content)`` as single files below ``root``; gives their locations."""
+    """Files ``(path, content)`` as single files below ``root``; gives their locations. A task makes a folder once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, base = store(root)
+        folders = set()
         for batch in batches:
             made = []
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 made.append(f"{root}/{path}")
-                with create_file(made[-1]) as out:
+                place = f"{base}/{path}"
+                folder = place.rsplit("/", 1)[0]
+                if folder not in folders:
+                    at.create_dir(folder, recursive=True)
+                    folders.add(folder)
+                with at.open_output_stream(place) as out:
                     out.write(content if isinstance(content, bytes) else (content or "").encode())
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.string())], names=["location"])
 

@@ -15,7 +15,8 @@ def can_range(path: str) -> bool:
     return not mark or scheme in SCHEMES
 
 
-def _store(location: str) -> tuple[fs.FileSystem, str]:
+def store(location: str) -> tuple[fs.FileSystem, str]:
+    """The file system and the path in it."""
     scheme, _, rest = location.partition(":")
     if location.startswith("/"):
         return fs.LocalFileSystem(), location
@@ -26,17 +27,17 @@ def _store(location: str) -> tuple[fs.FileSystem, str]:
 
 def open_file(location: str):
     """The file for reading at any place; nothing is read ahead."""
-    store, path = _store(location)
-    return store.open_input_file(path)
+    at, path = store(location)
+    return at.open_input_file(path)
 
 
 def create_file(location: str):
     """A new file for writing; folders above it are made."""
-    store, path = _store(location)
-    store.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    return store.open_output_stream(path)
+    at, path = store(location)
+    at.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    return at.open_output_stream(path)
 
 
 def replace_file(old: str, new: str) -> None:
-    store, path = _store(old)
-    store.move(path, _store(new)[1])
+    at, path = store(old)
+    at.move(path, store(new)[1])

@@ -16,6 +16,7 @@ from ..operators.files import parse_metadata
 from .archives import DAMAGE, read_members
 from .csv_ranges import ENCODINGS, read_csv_ranges
 from .ranges import can_range
+from .trees import read_tree
 
 # Path pieces whose files are not source of the project.
 EXCLUDED = ("__pycache__", ".dist-info", ".egg-info")
@@ -60,20 +61,21 @@ def _as_files(df: DataFrame, on_bad_utf8: str, *more: str) -> DataFrame:
 
 
 def scan_source_files(
-    spark: SparkSession, path: str, on_bad_utf8: str = "strict", ignore_case: bool = True
+    spark: SparkSession, path: str, on_bad_utf8: str = "strict", ignore_case: bool = True, ranged: bool | None = None
 ) -> DataFrame:
     """All ``.py`` files below a folder; paths are relative to it.
 
-    Spark's scan leaves out files of no bytes, which the analysis would drop as empty anyway.
+    The scan leaves out files of no bytes, which the analysis would drop as empty anyway. Tasks list and read the
+    files; where they cannot open the store by themselves (``ranged`` false, by default told from the path), Spark does.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     root = path.split("://", 1)[-1].rstrip("/") + "/"
-    relative = F.substring_index(F.regexp_replace("path", "^[a-z0-9]+:/*", "/"), root, -1)
+    relative = lambda p: F.substring_index(F.regexp_replace(p, "^[a-z0-9]+:/*", "/"), root, -1)
+    files = read_tree(spark, path, lambda p: _is_source(relative(p), ignore_case), ranged)
     rows = files.select(
         F.element_at(F.split(F.lit(root.rstrip("/")), "/"), -1).alias("archive"),
-        relative.alias("path"),
+        relative(F.col("path")).alias("path"),
         F.col("content").alias("bytes"),
-    ).filter(_is_source(F.col("path"), ignore_case))
+    )
     return _as_files(rows, on_bad_utf8)
 
 
@@ -179,17 +181,14 @@ def archive_files(
     return _as_files(members.filter(keep), on_bad_utf8, "error")
 
 
-def scan_package_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """One row per ``*.txt`` file with its recognised keys; files without any are dropped."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.txt")
-        .load(path)
-        .select(
-            F.element_at(F.split("path", "/"), -1).alias("file_name"),
-            F.col("content").alias("bytes"),
-        )
+def scan_package_metadata(spark: SparkSession, path: str, ranged: bool | None = None) -> DataFrame:
+    """One row per ``*.txt`` file with its recognised keys; files without any are dropped.
+
+    Tasks list and read the files, as for ``scan_source_files``.
+    """
+    files = read_tree(spark, path, lambda p: p.endswith(".txt"), ranged).select(
+        F.element_at(F.split("path", "/"), -1).alias("file_name"),
+        F.col("content").alias("bytes"),
     )
     text = _decode(files, "ignore").select("file_name", F.col("content").alias("text"))
     return parse_metadata(text)
