@@ -1,6 +1,7 @@
 """Embedding near-dedup and top-k search next to brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,3 +104,50 @@ def test_top_k_matches_brute_force(spark, block, queries):
             expected += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored)]
     assert sorted(map(tuple, found)) == sorted(expected)
     assert topk.top_k(frame.where("false"), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_no_row_holds_a_block(spark):
+    """Candidates and queries move as single rows; a block that is one row is copied for every group and fills the heap."""
+    frame = spark.createDataFrame([(*r, 0) for r in clustered(3, 60, 4)], SCHEMA)
+    found = topk.top_k(frame, F.col("vec_id") % 10 == 0, k=3, block=16, queries=2)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan and "Join" not in plan
+
+
+def test_slices_are_made_once_a_block(monkeypatch):
+    rng, made, rows = np.random.default_rng(5), [], []
+
+    class Counted(topk.Slices):
+        def __init__(self, values, keep):
+            made.append(len(values))
+            super().__init__(values, keep)
+
+    monkeypatch.setattr(topk, "Slices", Counted)
+    x = rng.integers(-500, 500, (60, 3))
+    x[7] *= 1000
+    packed = [topk.quantise(v, 1.0) for v in x]
+    assert {len(p) for p in packed} == {6, 12}
+    for part in range(2):
+        rows += [(3, part, 0, i, None, packed[i]) for i in range(part, 60, 2)] + [(3, part, 0, i, i, packed[i]) for i in range(12)]
+    rows += [(3, 2, 0, 1, 1, packed[1])]
+    names, types = ["dim", "part", "slot", "vec", "ask", "q"], [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[a : a + 7]), types)], names=names) for a in range(0, len(rows), 7)]
+    found = [r for b in topk._search(4, 8, 5)(iter(batches)) for r in b.to_pylist()]
+    assert made == [30, 30]
+    for i in range(12):
+        for part in range(2):
+            best = sorted((-int(x[i] @ x[j]), j) for j in range(part, 60, 2) if j != i)[:4]
+            assert [(r["vec_id"], r["score"]) for r in found if r["ask"] == i and r["vec_id"] % 2 == part] == [(j, -s) for s, j in best]
+
+
+def test_blocks_are_bounded_by_bytes_and_equal_rows_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK_BYTES", 512)
+    rows = [(10 + i, [0.5 * i, -1.0, 2.0, 40000.0 * (i == 3)]) for i in range(20)] + [(5, [1.0, 1.0, 1.0, 1.0])] * 90
+    frame = spark.createDataFrame([(*r, 0) for r in rows], SCHEMA)
+    found = topk.top_k(frame, F.col("vec_id") % 5 == 0, k=25, queries=1)
+    ints = [(i, np.floor(1024 * np.array(v)).astype(np.int64)) for i, v in rows]
+    expected = []
+    for q, x in {i: x for i, x in ints if i % 5 == 0}.items():
+        scored = sorted((-int(x @ y), i) for i, y in ints if i != q)[:25]
+        expected += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored)]
+    assert sorted(map(tuple, found.collect())) == sorted(expected)

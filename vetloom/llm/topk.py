@@ -12,18 +12,28 @@ from pyspark.sql import functions as F
 from .common import keep
 from .vectors import rows_of
 
-#: Candidates of a block, queries that meet it in one task, slices kept of each attribute.
-BLOCK, QUERIES, SLICES = 1 << 16, 128, 8
+#: Candidates of a block and its bytes at 8 a component, queries worth a copy of a block, slices kept of each attribute.
+BLOCK, BLOCK_BYTES, QUERIES, SLICES = 1 << 16, 64 << 20, 128, 8
 
 
 def quantise(x: np.ndarray | None, scale: float = 1024.0) -> bytes | None:
-    """floor(scale * x) as packed 64-bit integers."""
+    """floor(scale * x) as packed integers, all of 2, 4 or 8 bytes."""
     if x is None:
         return None
     q = np.floor(scale * x)
-    if len(q) and np.abs(q).max() >= 2.0**62:
+    most = np.abs(q).max() if len(q) else 0
+    if most >= 2.0**62:
         raise ValueError("a component is too large for a score that is a long")
-    return q.astype("<i8").tobytes()
+    width = 2 if most < 1 << 15 else 4 if most < 1 << 31 else 8
+    return q.astype(f"<i{width}").tobytes()
+
+
+def _unpacked(column: pa.Array, dim: int) -> np.ndarray:
+    """Packed rows of ``dim`` integers as a matrix, as wide as the widest of them."""
+    rows = column.to_pylist()
+    if len({len(r) for r in rows}) == 1:
+        return np.frombuffer(b"".join(rows), f"<i{len(rows[0]) // dim}").reshape(-1, dim)
+    return np.stack([np.frombuffer(r, f"<i{len(r) // dim}") for r in rows])
 
 
 class Slices:
@@ -35,57 +45,61 @@ class Slices:
 
     def __init__(self, values: np.ndarray, keep: int = SLICES):
         self.values, self.rows = values, len(values)
-        self.low = values.min(axis=0)
-        above = (values - self.low).astype(np.uint64)
-        width = int(above.max()).bit_length() if above.size else 0
+        low, high = ([int(x) for x in f(axis=0)] for f in (values.min, values.max))
+        width = max((b - a).bit_length() for a, b in zip(low, high))
         self.dropped, self.bits = max(width - keep, 0), min(width, keep)
-        above >>= np.uint64(self.dropped)
         words = (self.rows + 63) // 64
-        self.planes = np.zeros((values.shape[1], self.bits, words), np.uint64)
+        # Of each bit first the slices of all attributes, then their complements.
+        self.planes = np.zeros((self.bits, 2 * len(low), words), np.uint64)
         padded = np.zeros(words * 64, np.uint8)
-        for d in range(values.shape[1]):
+        for d in range(len(low)):
+            above = (values[:, d].astype(np.int64) - low[d]) >> self.dropped
             for b in range(self.bits):
-                padded[: self.rows] = above[:, d] >> np.uint64(b) & np.uint64(1)
-                self.planes[d, b] = np.packbits(padded, bitorder="little").view(np.uint64)
+                padded[: self.rows] = above >> b & 1
+                self.planes[b, d] = np.packbits(padded, bitorder="little").view(np.uint64)
+        np.invert(self.planes[:, : len(low)], out=self.planes[:, len(low) :])
         padded[:] = 0
         padded[: self.rows] = 1
         self.every = np.packbits(padded, bitorder="little").view(np.uint64)
+        self.room = [self.planes[:0, 0]] * 3
 
     def sum(self, query: np.ndarray) -> list[np.ndarray]:
         """Slices of sum |q| * a, where a is the stored attribute, or its complement where q is negative.
 
         A slice of weight 2^b enters at 2^(b + c) for each bit c of |q|; slices of one weight are added
-        three at a time, two bits out for three bits in, until one of each weight is left.
+        three at a time, two bits out for three bits in, until one of each weight is left. All threes of
+        a weight are added at once.
         """
-        weights: list[list[np.ndarray]] = []
-        for d, q in enumerate(query.tolist()):
-            for b in range(self.bits):
-                plane, size, at = None, abs(q), b
-                while size:
-                    if size & 1:
-                        if plane is None:
-                            plane = self.planes[d, b] if q > 0 else ~self.planes[d, b]
-                        while len(weights) <= at:
-                            weights.append([])
-                        weights[at].append(plane)
-                    size >>= 1
-                    at += 1
-        out, at = [], 0
-        while at < len(weights):
-            here = weights[at]
-            if at + 1 == len(weights) and len(here) > 1:
-                weights.append([])
-            while len(here) > 2:
-                a, b, c = here.pop(), here.pop(), here.pop()
-                half = a ^ b
-                here.append(half ^ c)
-                weights[at + 1].append((a & b) | (half & c))
-            if len(here) == 2:
-                a, b = here
-                here = [a ^ b]
-                weights[at + 1].append(a & b)
-            out.append(here[0] if here else np.zeros_like(self.every))
-            at += 1
+        size, place = np.abs(query), np.arange(len(query)) + len(query) * (query < 0)
+        chosen = [place[size >> c & 1 == 1] for c in range(int(size.max()).bit_length())]
+        weights = range(max(len(chosen) + self.bits - 1, 0))
+        entering = [[(at - c, rows) for c, rows in enumerate(chosen) if 0 <= at - c < self.bits and len(rows)] for at in weights]
+        # Half of what a weight has, at most, is carried to the next one.
+        most = 2 * max((sum(len(rows) for _, rows in x) for x in entering), default=0) + 2
+        if len(self.room[0]) < most:
+            self.room = [np.empty((most, len(self.every)), np.uint64) for _ in range(3)]
+        here, then, half = self.room
+        out, end, at = [], 0, 0
+        while end or at < len(entering):
+            for b, rows in entering[at] if at < len(entering) else []:
+                np.take(self.planes[b], rows, axis=0, out=here[end : end + len(rows)], mode="clip")
+                end += len(rows)
+            begin = carried = 0
+            while end - begin > 2:
+                n = (end - begin) // 3
+                a, b, c = (here[begin + i * n : begin + i * n + n] for i in range(3))
+                np.bitwise_xor(a, b, out=half[:n])
+                a &= b
+                np.bitwise_and(half[:n], c, out=b)
+                np.bitwise_or(a, b, out=then[carried : carried + n])
+                c ^= half[:n]
+                begin, carried = begin + 2 * n, carried + n
+            if end - begin == 2:
+                np.bitwise_and(here[begin], here[begin + 1], out=then[carried])
+                here[begin] ^= here[begin + 1]
+                carried += 1
+            out.append(here[begin].copy() if end else np.zeros_like(self.every))
+            here, then, end, at = then, here, carried, at + 1
         return out
 
     def candidates(self, query: np.ndarray, k: int, allowed: np.ndarray) -> np.ndarray:
@@ -134,40 +148,45 @@ def best(slices: Slices, ids: np.ndarray, query: np.ndarray, own: int, k: int) -
     bits[: len(ids)] = ids != own
     allowed = np.packbits(bits, bitorder="little").view(np.uint64)
     at = slices.candidates(query, k, allowed)
-    scores = exact_scores(slices.values[at], query)
+    scores = exact_scores(slices.values[at].astype(np.int64), query)
     first = np.lexsort((ids[at], -scores))[:k]
     return ids[at][first], scores[first]
 
 
-def _pack(rows: pa.Table) -> pa.Table:
-    data = b"".join(rows.column("q").to_pylist())
-    dim = rows.column("dim")[0].as_py()
-    return pa.table({"part": rows.column("part").slice(0, 1), "dim": pa.array([dim], pa.int32()),
-                     "ids": pa.array([rows.column("vec").to_numpy().astype("<i8").tobytes()], pa.binary()), "data": pa.array([data], pa.binary())})
-
-
-def _packed(rows: DataFrame, parts: int) -> DataFrame:
-    """Rows in ``parts`` blocks per vector length, each one packed row."""
-    placed = rows.withColumn("part", F.pmod(F.xxhash64("vec", "q"), F.lit(parts)).cast("int"))
-    return placed.groupBy("dim", "part").applyInArrow(_pack, "part int, dim int, ids binary, data binary")
-
+def _search(k: int, keep_slices: int, queries: int):
+    """Candidates of a block as they come, then the queries that were sent to it; slices are made once a block."""
+    schema = pa.schema([("ask", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
-def _search(k: int, keep_slices: int):
-    schema = pa.schema([("query_id", pa.int64()), ("query_key", pa.binary()), ("vec_id", pa.int64()), ("score", pa.int64())])
+    def answers(slices: Slices, ids: np.ndarray, asked: pa.RecordBatch, numbers: np.ndarray) -> pa.RecordBatch:
+        found = [best(slices, ids, q, i, k) for q, i in zip(numbers.astype(np.int64), asked.column("vec").to_pylist())]
+        sizes = [len(vecs) for vecs, _ in found]
+        own = [np.repeat(asked.column(c).to_numpy(), sizes) for c in ("ask", "vec")]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (*own, *map(np.concatenate, zip(*found)))], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, block, slices, ids = None, [], None, None
         for batch in batches:
-            for row in batch.to_pylist():
-                ids = np.frombuffer(row["ids"], "<i8")
-                slices = Slices(np.frombuffer(row["data"], "<i8").reshape(len(ids), row["dim"]), keep_slices)
-                own = np.frombuffer(row["query_ids"], "<i8")
-                queries = np.frombuffer(row["query_data"], "<i8").reshape(len(own), row["dim"])
-                out = []
-                for q, i in zip(queries, own.tolist()):
-                    vecs, scores = best(slices, ids, q, i, k)
-                    key = q.tobytes()
-                    out += [(i, key, v, s) for v, s in zip(vecs.tolist(), scores.tolist())]
-                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, o)) for o in out], schema=schema)
+            if not batch.num_rows:
+                continue
+            asks = batch.column("ask").is_valid().to_numpy(zero_copy_only=False)
+            keys = np.stack([batch.column(c).to_numpy() for c in ("dim", "part", "slot")] + [asks])
+            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+            for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
+                here = tuple(keys[:3, a].tolist())
+                if here != place:
+                    place, block, slices = here, [], None
+                if not asks[a]:
+                    rows = batch.slice(a, b - a)
+                    block.append((rows.column("vec").to_numpy(), _unpacked(rows.column("q"), here[0])))
+                    continue
+                if slices is None:
+                    if not block:
+                        continue
+                    ids, values = (np.concatenate(x) for x in zip(*block))
+                    block, slices = [], Slices(values, keep_slices)
+                for at in range(a, b, queries):
+                    asked = batch.slice(at, min(queries, b - at))
+                    yield answers(slices, ids, asked, _unpacked(asked.column("q"), here[0]))
 
     return run
 
@@ -180,8 +199,10 @@ def top_k(
 
     Components become floor(``scale`` * x); the score is the inner product of the integers. Queries are
     the rows for which ``is_query`` (of ``vec``) holds, candidates all rows but those of the query's
-    id; ties go to the smaller id. Candidates lie in blocks, queries in groups; each group meets each
-    block once, and only ``k`` rows per query leave a block.
+    id; ties go to the smaller id. Candidates lie in blocks that stay where they are dealt, queries travel
+    to every block, and only ``k`` rows per query leave one. No row holds a block: a task gathers its
+    candidates as they come. Where there are fewer blocks than cores, a block is copied so that several tasks
+    share its queries, at least about ``queries`` each.
 
     Vectors that are null or hold null or non-finite components, and rows without an id, take no
     part; vectors of different lengths do not meet; repeated candidates each have a rank, repeated
@@ -197,17 +218,20 @@ def top_k(
     named = vectors.where(F.col(vec).isNotNull()).select(
         F.col(vec).cast("long").alias("vec"), F.coalesce(is_query, F.lit(False)).alias("asks"), F.col(embedding).alias("x"))
     rows = keep(named.mapInArrow(integers, "vec bigint, asks boolean, dim int, q binary").where("dim > 0"), "integers")
-    count = rows.agg(F.count("*").alias("n"), F.count_if("asks").alias("q")).first()
-    blocks = max(-(-count.n // block), 1)
-    groups = max(-(-(count.q or 0) // queries), 1)
-    candidates = _packed(rows.select("vec", "dim", "q"), blocks)
-    asked = _packed(rows.where("asks").select("vec", "dim", "q").distinct(), groups).select(
-        F.col("part").alias("query_group"), F.col("dim").alias("_dim"), F.col("ids").alias("query_ids"), F.col("data").alias("query_data"))
-    asked = keep(asked, "asked")
-    spread = candidates.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    spread = spread.repartition(min(blocks * groups, 100_000), "part", "dim", "g")
-    met = spread.join(asked, (F.col("g") == F.col("query_group")) & (F.col("dim") == F.col("_dim")))
-    met = met.select("dim", "ids", "data", "query_ids", "query_data")
-    found = met.mapInArrow(_search(k, slices), "query_id bigint, query_key binary, vec_id bigint, score bigint")
-    order = Window.partitionBy("query_id", "query_key").orderBy(F.col("score").desc(), "vec_id")
+    count = rows.agg(F.count("*").alias("n"), F.count_if("asks").alias("q"), F.sum(F.col("dim").cast("bigint") * 8).alias("bytes")).first()
+    parts = max(-(-count.n // block), -(-(count.bytes or 0) // BLOCK_BYTES), 1)
+    cores = 2 * vectors.sparkSession.sparkContext.defaultParallelism
+    copies = max(min(-(-cores // parts), -(-(count.q or 0) // queries)), 1)
+    tasks = min(parts * copies, 100_000)
+    # Equal rows are dealt to all blocks, too.
+    part = F.pmod(F.xxhash64("vec", "q", F.monotonically_increasing_id()), F.lit(parts)).cast("int").alias("part")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    candidates = rows.select("vec", "dim", "q", part, F.lit(None).cast("bigint").alias("ask")).withColumn("slot", every(copies))
+    asked = rows.where("asks").select("vec", "dim", "q").distinct().withColumn("ask", F.monotonically_increasing_id())
+    sent = keep(asked, "asked").withColumn("slot", F.pmod(F.xxhash64("ask"), F.lit(copies)).cast("int")).withColumn("part", every(parts))
+    task = F.pmod(F.col("part").cast("bigint") * copies + F.col("slot") + F.pmod(F.xxhash64("dim"), F.lit(tasks)), F.lit(tasks)).cast("int")
+    dealt = candidates.unionByName(sent).repartitionById(tasks, task)
+    dealt = dealt.sortWithinPartitions("dim", "part", "slot", F.col("ask").isNotNull())
+    found = dealt.mapInArrow(_search(k, slices, queries), "ask bigint, query_id bigint, vec_id bigint, score bigint")
+    order = Window.partitionBy("ask").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
