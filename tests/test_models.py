@@ -157,6 +157,65 @@ def test_means_join_runs_across_batches():
     assert all(np.frombuffer(r["data"], np.float32).tolist() == [r["at"] + 1.0] * 2 for r in got)
 
 
+def _pairwise(leaf, words, nodes, word, text, window, rates, rng):
+    """The training of a part, pair by pair: the vectors of a batch move together, by at most STEPS single steps."""
+    words, nodes, reach = words.astype(float), nodes.astype(float), rng.integers(1, window + 1, len(word))
+    ids = sorted({int(x) >> up for x in leaf for up in range(1, int(x).bit_length())})
+    at = {n: i for i, n in enumerate(ids)}
+    for a in range(0, len(word), word2vec.BATCH):
+        moves, counts = {}, {}
+        for c in range(a, min(a + word2vec.BATCH, len(word))):
+            for i in range(max(c - reach[c], 0), min(c + reach[c] + 1, len(word))):
+                if i == c or text[i] != text[c]:
+                    continue
+                own, goal = word[i], int(leaf[word[c]])
+                counts["w", own] = counts.get(("w", own), 0) + 1
+                for up in range(1, goal.bit_length()):
+                    n = at[goal >> up]
+                    error = (goal >> up - 1 & 1 == 0) - 1 / (1 + np.exp(-words[own] @ nodes[n]))
+                    counts["n", n] = counts.get(("n", n), 0) + 1
+                    moves["w", own] = moves.get(("w", own), 0) + error * nodes[n]
+                    moves["n", n] = moves.get(("n", n), 0) + error * words[own]
+        for (kind, x), move in moves.items():
+            (words if kind == "w" else nodes)[x] += rates[a] * min(1, word2vec.STEPS / counts[kind, x]) * move
+    return words, nodes
+
+
+@pytest.mark.parametrize("window", [1, 5, 40])
+def test_batches_looked_up_together_train_as_pair_by_pair(monkeypatch, window):
+    rng = np.random.default_rng(2)
+    leaf = np.array([2, 6, 14, 30, 62, 126, 127])
+    word = rng.choice(7, 400, p=[0.5, 0.2, 0.1, 0.08, 0.05, 0.04, 0.03])
+    text = np.repeat(np.arange(5), [1, 150, 70, 2, 177])
+    rates = np.linspace(0.025, 0.01, 400)
+    monkeypatch.setattr(word2vec, "TOGETHER", 3)
+    part = word2vec._Part(leaf, word2vec._first_vectors(leaf, 6, 1), 6)
+    part.nodes += rng.normal(size=part.nodes.shape).astype(np.float32) / 4
+    expected = _pairwise(leaf, part.words, part.nodes, word, text, window, rates, np.random.default_rng(3))
+    part.train(word, text, window, rates, np.random.default_rng(3))
+    assert np.allclose(part.words, expected[0], atol=1e-4) and np.allclose(part.nodes, expected[1], atol=1e-4)
+
+
+def test_word2vec_epochs_leave_the_disk(spark, tmp_path, monkeypatch):
+    """An epoch is written in place of the one before the last, and is dealt out again without a join."""
+    monkeypatch.setattr(word2vec, "scratch_dir", lambda spark, name: f"file://{tmp_path}/{name}")
+    dealt, keep = [], word2vec._keep
+
+    def kept(df, name, path=None):
+        if name == "epoch":
+            dealt.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return keep(df, name, path)
+
+    monkeypatch.setattr(word2vec, "_keep", kept)
+    df = spark.createDataFrame([(["a", "b", "c"] * 10,)] * 6, "tokens array<string>").repartition(3)
+    model = train_word2vec(df, size=4, min_count=2, epochs=5)
+    assert model.getVectors().count() == 3
+    assert len(dealt) == 5 and not any("Join" in plan for plan in dealt)
+    last = spark.read.parquet(f"file://{tmp_path}/texts")
+    assert last.columns == ["kind", "at", "parts", "data"]
+    assert {(r["kind"], tuple(r["parts"])) for r in last.collect()} == {(word2vec.WORD, (0, 1, 2)), (word2vec.NODE, (0, 1, 2))}
+
+
 def test_package_rows_are_worked_out_once(spark, monkeypatch):
     monkeypatch.setattr(ml, "train_package_models", lambda df, **options: {})
     df, _ = _package_models(Tables(spark, "/root/testdata/sf0.001"))
